@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodevec.llm import exact_dedup, fingerprints, near_dedup, packing, secret_scan, sharding, toxicity, url_filters, warc
+from lodevec.llm import exact_dedup, fingerprints, mixing, near_dedup, packing, secret_scan, sharding, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_soft_mixing": mixing.op3_soft_mixing,
     "op4_bagminhash": near_dedup.op4_bagminhash,
     "op5_consistent_parsing": fingerprints.op5_consistent_parsing,
     "op6_warc": warc.op6_warc,

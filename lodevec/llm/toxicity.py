@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodevec.llm.common import table, text_or_empty
-from lodevec.llm.words import U, mix, powers, slices, words
+from lodevec.llm.words import U, mix, powers, raw_bytes, slices, words
 
 #: Labelled rows of each class that the model is fitted on, at most; mined terms kept; least likelihood ratio of a term.
 SAMPLE, TERMS, EVIDENCE = 6000, 192, 15.0
@@ -64,8 +64,7 @@ def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def pattern_votes(texts: pa.Array, has_words: np.ndarray) -> np.ndarray:
     """texts x PATTERNS, from shares of characters; has_words: whether each text has any."""
     out = np.zeros((len(texts), len(PATTERNS)), bool)
-    data = np.frombuffer(b"".join(x.encode() for x in texts.to_pylist()), np.uint8)
-    ends = np.cumsum([0, *(len(x.encode()) for x in texts.to_pylist())])
+    data, ends = raw_bytes(texts)
     long = np.maximum(np.diff(ends), 1)
     sums = {}
     for name, hit in (("!", data == 33), ("upper", (data >= 65) & (data <= 90)), ("symbol", np.isin(data, np.frombuffer(b"#$%&*@^~", np.uint8)))):
@@ -236,9 +235,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs' own columns and score (0 to 1). Null texts are empty; every row gets a score."""
-    columns = docs.columns
-    at = columns.index(text_col)
+    """docs' own columns and score (0 to 1), which replaces a column of that name. Null texts are empty; every row gets a score."""
+    docs = docs.drop("score")
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,8 +245,6 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             score = np.concatenate([np.zeros(0), *(model.score(x) for _, x in slices(texts))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
 
-    if "score" in {c.lower() for c in columns}:
-        raise ValueError("docs already has a column score")
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 

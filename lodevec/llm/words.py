@@ -58,7 +58,7 @@ def slices(texts: pa.Array, size: int = BATCH):
         at = end
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts (no nulls), and where each text begins, and the end."""
     texts = texts.cast(pa.large_string())
     if not len(texts):
@@ -70,7 +70,7 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte, end byte of each word; for each text and the end, its first word; the bytes."""
-    data, edges = _bytes(pc.utf8_lower(texts) if lower else texts)
+    data, edges = raw_bytes(pc.utf8_lower(texts) if lower else texts)
     part, values = _tables()
     inside = part[data]
     before = np.concatenate([[False], inside[:-1]])

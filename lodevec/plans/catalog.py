@@ -1,4 +1,588 @@
-"""The queries of the vector engine, by name, and their SQL."""
+"""The queries of the vector engine by name, over the table embeddings, and the same in SQL.
 
-QUERIES: dict = {}
+Vectors are compared in double precision and rounded to 6 places on output, to 9 before ranking, so both engines agree.
+Array results are one row for each element (j from 0).
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodevec import cli
+from lodevec.functions import vectors as fv
+from lodevec.operators import evaluate, index, kmeans, knn, pq, stats
+from lodevec.operators.rng import sample_rows
+from lodevec.sources import word2vec
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), "label")
+
+
+def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths that differ by label, so that L2 and cosine rank differently."""
+    return vectors(spark, sf_dir).withColumn("vector", F.transform(fv.doubles(F.col("vector")), lambda x: x * (1 + F.col("label"))))
+
+
+def keyed(v: DataFrame) -> DataFrame:
+    return v.select("key", "vector")
+
+
+def asked(v: DataFrame, n: int = 20) -> DataFrame:
+    return v.where(F.col("key") < n).select(F.col("key").alias("query_id"), "vector")
+
+
+def elements(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    return df.select(*keep, F.posexplode(column).alias("j", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
+
+
+def rows_of(spark: SparkSession, sf_dir: str, keys: list[int], make: Callable = vectors) -> np.ndarray:
+    found = {r["key"]: r["vector"] for r in make(spark, sf_dir).where(F.col("key").isin(keys)).collect()}
+    return np.array([found[k] for k in keys], np.float64)
+
+
+# Parts of the SQL.
+V = "v AS (SELECT vec_id AS key, embedding::DOUBLE[] AS v, label FROM embeddings)"
+SV = "v AS (SELECT vec_id AS key, list_transform(embedding::DOUBLE[], lambda x: x * (1 + label)) AS v, label FROM embeddings)"
+UV = "v AS (SELECT key, list_transform(v0, lambda x: x / sqrt(list_inner_product(v0, v0))) AS v FROM (SELECT vec_id AS key, list_transform(embedding::DOUBLE[], lambda x: x * (1 + label)) AS v0 FROM embeddings))"
+LONG = "l AS (SELECT key, generate_subscripts(v, 1) - 1 AS j, unnest(v) AS x FROM v)"
+
+
+def d2(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def pairs_sql(body: str) -> str:
+    """Each vector with the one whose key follows."""
+    return f"WITH {V} SELECT a.key, {body} FROM v a JOIN v b ON b.key = a.key + 1"
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = keyed(vectors(spark, sf_dir))
+    b = a.select((F.col("key") - 1).alias("key"), F.col("vector").alias("other"))
+    return a.join(b, "key")
+
+
+# --- vector functions
+
+
+def _pair_elements(name: str, f: Callable, sign: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return elements(pairs(spark, sf_dir).withColumn("r", f(F.col("vector"), F.col("other"))), "r", ["key"])
+
+    QUERIES[name] = run
+    ORACLE[name] = pairs_sql(f"unnest(range(64))::INT AS j, round(unnest(list_transform(list_zip(a.v, b.v), lambda z: z[1] {sign} z[2])), 6) AS x")
+
+
+_pair_elements("vec_add", fv.add, "+")
+_pair_elements("vec_subtract", fv.subtract, "-")
+
+
+@query(pairs_sql(f"round({d2('a.v', 'b.v')}, 6) AS d, round(sqrt({d2('a.v', 'b.v')}), 6) AS root"))
+def vec_distance(spark, sf_dir):
+    x, y = F.col("vector"), F.col("other")
+    return pairs(spark, sf_dir).select("key", F.round(fv.distance_sq(x, y), 6).alias("d"), F.round(fv.distance(x, y), 6).alias("root"))
+
+
+@query(f"WITH {SV} SELECT key, round(sqrt(list_inner_product(v, v)), 6) AS n FROM v")
+def vec_norm(spark, sf_dir):
+    return scaled(spark, sf_dir).select("key", F.round(fv.norm(F.col("vector")), 6).alias("n"))
+
+
+@query(f"WITH {UV} SELECT key, unnest(range(64))::INT AS j, round(unnest(v), 6) AS x FROM v")
+def vec_normalize(spark, sf_dir):
+    return elements(scaled(spark, sf_dir).withColumn("u", fv.normalize(F.col("vector"))), "u", ["key"])
+
+
+@query(f"WITH {V} SELECT key, unnest(range(7))::INT AS j, round(unnest(v[6:12]), 6) AS x FROM v")
+def vec_slice(spark, sf_dir):
+    return elements(vectors(spark, sf_dir).withColumn("s", fv.section(F.col("vector"), 5, 7)), "s", ["key"])
+
+
+@query(f"""WITH {V}, r AS (SELECT i AS section, CASE WHEN i < 14 THEN 3 * i ELSE 42 + 2 * (i - 14) END AS b, CASE WHEN i < 14 THEN 3 ELSE 2 END AS n FROM range(25) t(i))
+SELECT key, section::INT AS section, round(list_sum(v[b + 1:b + n]), 6) AS total, n::INT AS n FROM v, r""")
+def subvector_split(spark, sf_dir):
+    parts = [F.struct(F.lit(i).alias("section"), fv.section(F.col("vector"), b, n).alias("s"), F.lit(n).alias("n")) for i, (b, n) in enumerate(fv.split_ranges(64, 25))]
+    total = F.aggregate(fv.doubles(F.col("p.s")), F.lit(0.0), lambda a, x: a + x)
+    return vectors(spark, sf_dir).select("key", F.explode(F.array(*parts)).alias("p")).select("key", "p.section", F.round(total, 6).alias("total"), "p.n")
+
+
+# --- lookups and exact neighbours
+
+
+@query("SELECT vec_id AS key, label FROM embeddings WHERE vec_id IN (3, 77)")
+def lookup_key(spark, sf_dir):
+    return vectors(spark, sf_dir).where(F.col("key").isin(3, 77)).select("key", "label")
+
+
+@query("SELECT w.key, e.vec_id IS NOT NULL AS found, e.label FROM (VALUES (5), (-1), (9999999)) w(key) LEFT JOIN embeddings e ON e.vec_id = w.key")
+def lookup_missing(spark, sf_dir):
+    wanted = spark.createDataFrame([(5,), (-1,), (9999999,)], "key int")
+    has = vectors(spark, sf_dir).select("key", "label", F.lit(True).alias("has"))
+    return wanted.join(has, "key", "left").select(F.col("key").cast("int").alias("key"), F.coalesce("has", F.lit(False)).alias("found"), "label")
+
+
+def knn_sql(v: str, k: int, where: str = "", ask: str = "key < 20", rank: str = "rank <= {k}") -> str:
+    return f"""WITH {v}, d AS (SELECT q.key AS query_id, x.key AS key, {d2("q.v", "x.v")} AS distance FROM v q, v x WHERE q.{ask} {where}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), key) AS rank FROM d)
+    SELECT query_id, rank::INT AS rank, key, round(distance, 6) AS distance FROM r WHERE rank <= {k}"""
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("distance", F.round("distance", 6))
+
+
+@query(knn_sql(V, 10))
+def exact_knn_l2(spark, sf_dir):
+    v = keyed(vectors(spark, sf_dir))
+    return rounded(knn.exact(asked(v), v, 10))
+
+
+@query(knn_sql(UV, 10))
+def exact_knn_cosine(spark, sf_dir):
+    v = keyed(scaled(spark, sf_dir))
+    return rounded(knn.exact(asked(v), v, 10, "cosine"))
+
+
+@query(knn_sql(V, 5, "AND x.key BETWEEN 100 AND 299"))
+def exact_knn_range(spark, sf_dir):
+    v = keyed(vectors(spark, sf_dir))
+    return rounded(knn.exact(asked(v), v.where(F.col("key").between(100, 299)), 5))
+
+
+@query(knn_sql(SV, 7, ask="key IN (7, 42)"))
+def knn_by_key(spark, sf_dir):
+    v = keyed(scaled(spark, sf_dir))
+    return rounded(knn.exact(v.where(F.col("key").isin(7, 42)).select(F.col("key").alias("query_id"), "vector"), v, 7))
+
+
+@query(knn_sql(V, 8))
+def topk_merge(spark, sf_dir):
+    """The k best of each label's k best are the k best of all."""
+    v = vectors(spark, sf_dir)
+    parts = None
+    for label in range(10):
+        some = knn.exact(asked(keyed(v)), keyed(v.where(F.col("label") == label)), 8)
+        parts = some if parts is None else parts.unionByName(some)
+    return rounded(knn.top_k(parts.drop("rank"), ["query_id"], 8).select("query_id", "rank", "key", "distance"))
+
+
+# --- k-means: eight clusters that start at keys 0 to 7
+
+
+def start(spark: SparkSession, sf_dir: str, keys: list[int] | None = None) -> kmeans.KMeans:
+    return kmeans.KMeans(rows_of(spark, sf_dir, keys or list(range(8))))
+
+
+def lloyd_sql(rounds: int, tail: str, init: str = "SELECT key AS c, j, x FROM l WHERE key < 8") -> str:
+    """CTEs c0, a0, c1, a1, ...: centroids and assignments in turn, in long form."""
+    out = [V, LONG, f"c0 AS ({init})"]
+    for i in range(rounds + 1):
+        out.append(f"d{i} AS (SELECT l.key, c.c, sum((l.x - c.x) * (l.x - c.x)) AS d FROM l JOIN c{i} c ON c.j = l.j GROUP BY l.key, c.c)")
+        out.append(f"a{i} AS (SELECT key, c, d FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(d, 9), c) AS r FROM d{i}) WHERE r = 1)")
+        out.append(f"c{i + 1} AS (SELECT k.c, k.j, coalesce(m.x, 0) AS x FROM (SELECT DISTINCT c, j FROM c0) k LEFT JOIN (SELECT a.c, l.j, avg(l.x) AS x FROM a{i} a JOIN l ON l.key = a.key GROUP BY a.c, l.j) m ON m.c = k.c AND m.j = k.j)")
+    return "WITH " + ",\n".join(out) + "\n" + tail
+
+
+def centroid_elements(spark: SparkSession, model: kmeans.KMeans) -> DataFrame:
+    return elements(model.frame(spark), "centroid", ["cluster"])
+
+
+CENTROIDS = "SELECT c::INT AS cluster, j::INT AS j, round(x, 6) AS x FROM c{}"
+
+
+def _init_sql() -> str:
+    picks = {n: sample_rows(n, 6, 0) for n in (500, 2000)}
+    cases = " UNION ALL ".join(f"SELECT {n} AS n, {i} AS cluster, {r} AS row_id" for n, rs in picks.items() for i, r in enumerate(rs))
+    return f"""WITH {V}, p AS ({cases}), o AS (SELECT v, row_number() OVER (ORDER BY key) - 1 AS row_id FROM v)
+    SELECT cluster::INT AS cluster, unnest(range(64))::INT AS j, round(unnest(v), 6) AS x FROM p JOIN o USING (row_id) WHERE n = (SELECT count(*) FROM v)"""
+
+
+@query(_init_sql())
+def kmeans_init(spark, sf_dir):
+    return centroid_elements(spark, kmeans.initial(keyed(vectors(spark, sf_dir)), 6, 0))
+
+
+@query(lloyd_sql(0, "SELECT key, c::INT AS cluster, round(d, 6) AS distance FROM a0"))
+def kmeans_assign(spark, sf_dir):
+    return rounded(start(spark, sf_dir).assign(keyed(vectors(spark, sf_dir)))).select("key", "cluster", "distance")
+
+
+@query(lloyd_sql(0, CENTROIDS.format(1)))
+def kmeans_update(spark, sf_dir):
+    return centroid_elements(spark, kmeans.iterate(keyed(vectors(spark, sf_dir)), start(spark, sf_dir), 1))
+
+
+@query(lloyd_sql(2, CENTROIDS.format(3)))
+def kmeans_iterate3(spark, sf_dir):
+    return centroid_elements(spark, kmeans.iterate(keyed(vectors(spark, sf_dir)), start(spark, sf_dir), 3))
+
+
+@query(lloyd_sql(1, "SELECT round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS stddev FROM (SELECT a.c, sum((a.x - b.x) * (a.x - b.x)) AS d FROM c1 a JOIN c2 b ON a.c = b.c AND a.j = b.j GROUP BY a.c)"))
+def kmeans_step_size(spark, sf_dir):
+    v = keyed(vectors(spark, sf_dir))
+    one = kmeans.iterate(v, start(spark, sf_dir), 1)
+    mean, stddev = kmeans.step_size(one.centroids, kmeans.iterate(v, one, 1).centroids)
+    return spark.createDataFrame([(round(mean, 6), round(stddev, 6))], "mean double, stddev double")
+
+
+@query(lloyd_sql(2, "SELECT 0::INT AS round, round(sum(d), 5) AS objective FROM a0 UNION ALL SELECT 1, round(sum(d), 5) FROM a1 UNION ALL SELECT 2, round(sum(d), 5) FROM a2"))
+def kmeans_objective(spark, sf_dir):
+    v, c, out = keyed(vectors(spark, sf_dir)), start(spark, sf_dir).centroids, []
+    for i in range(3):
+        total, many, _, objective = kmeans.sums(v, c)
+        out.append((i, round(objective, 5)))
+        c = kmeans.means(total, many)
+    return spark.createDataFrame(out, "round int, objective double")
+
+
+@query(lloyd_sql(0, "SELECT c::INT AS cluster, j::INT AS j, round(x, 6) AS x FROM c1", "SELECT key AS c, j, CASE WHEN key = 3 THEN x + 100 ELSE x END AS x FROM l WHERE key < 8"))
+def kmeans_empty_cluster(spark, sf_dir):
+    model = start(spark, sf_dir)
+    model.centroids[3] += 100
+    return centroid_elements(spark, kmeans.iterate(keyed(vectors(spark, sf_dir)), model, 1))
+
+
+def _converged_sql(rounds: int = 40) -> str:
+    """Lloyd's rounds as a recursive query over lists; sums are taken at the end of enough rounds."""
+    return lloyd_sql(rounds, f"SELECT c::INT AS cluster, count(*) AS n, round(sum(d), 5) AS objective FROM a{rounds} GROUP BY c", "SELECT key AS c, j, x FROM l WHERE key < 3")
+
+
+@query(_converged_sql(24))
+def kmeans_converged(spark, sf_dir):
+    v = keyed(vectors(spark, sf_dir))
+    model = kmeans.train(v, 3, 100, start=start(spark, sf_dir, [0, 1, 2]))
+    return model.assign(v).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("distance"), 5).alias("objective"))
+
+
+# --- layouts
+
+
+@query("SELECT vec_id AS key, row_number() OVER (ORDER BY vec_id) - 1 AS row_id, label FROM embeddings")
+def sorted_layout(spark, sf_dir):
+    return kmeans.numbered(vectors(spark, sf_dir).select("key", "label")).select("key", "row_id", "label")
+
+
+@query(lloyd_sql(0, "SELECT c::INT AS partition, key, row_number() OVER (PARTITION BY c ORDER BY key)::INT AS place FROM a0"))
+def grouped_layout(spark, sf_dir):
+    rows = index.grouped(keyed(vectors(spark, sf_dir)), start(spark, sf_dir))
+    return rows.select("partition", "key", F.expr("row_number() OVER (PARTITION BY partition ORDER BY key)").alias("place"))
+
+
+@query(lloyd_sql(0, "SELECT c::INT AS partition, count(*) AS n FROM a0 GROUP BY c"))
+def group_sizes(spark, sf_dir):
+    return index.grouped(keyed(vectors(spark, sf_dir)), start(spark, sf_dir)).groupBy("partition").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(lloyd_sql(0, "SELECT a.key, l.j::INT AS j, round(l.x - c.x, 6) AS x FROM a0 a JOIN l ON l.key = a.key JOIN c0 c ON c.c = a.c AND c.j = l.j"))
+def residuals(spark, sf_dir):
+    coarse = start(spark, sf_dir)
+    return elements(index.residuals(index.grouped(keyed(vectors(spark, sf_dir)), coarse), coarse), "vector", ["key"])
+
+
+# --- product quantisation: 8 sections of 8, codebook from keys 0 to 15
+
+
+def codebook(spark: SparkSession, sf_dir: str) -> pq.ProductQuantizer:
+    x = rows_of(spark, sf_dir, list(range(16)))
+    ranges = fv.split_ranges(64, 8)
+    return pq.ProductQuantizer(ranges, [x[:, b : b + n] for b, n in ranges])
+
+
+BOOK = "b AS (SELECT j // 8 AS s, key AS code, j, x FROM l WHERE key < 16)"
+NEAR = "SELECT l.key, b.s, b.code, sum((l.x - b.x) * (l.x - b.x)) AS d FROM {l} l JOIN {b} b ON b.j = l.j GROUP BY l.key, b.s, b.code"
+
+
+def codes_sql(rows: str = "l", book: str = "b", name: str = "e") -> str:
+    return f"{name} AS (SELECT key, s, code FROM (SELECT *, row_number() OVER (PARTITION BY key, s ORDER BY round(d, 9), code) AS r FROM ({NEAR.format(l=rows, b=book)})) WHERE r = 1)"
+
+
+PQ = f"WITH {V}, {LONG}, {BOOK}, {codes_sql()}"
+
+
+@query(f"{PQ} SELECT key, s::INT AS section, code::INT AS code FROM e")
+def pq_encode(spark, sf_dir):
+    codes = codebook(spark, sf_dir).encode(keyed(vectors(spark, sf_dir)))
+    return codes.select("key", F.posexplode("codes").alias("section", "code"))
+
+
+@query(f"{PQ} SELECT e.key, b.j::INT AS j, round(b.x, 6) AS x FROM e JOIN b ON b.s = e.s AND b.code = e.code")
+def pq_decode(spark, sf_dir):
+    q = codebook(spark, sf_dir)
+    return elements(q.decode(q.encode(keyed(vectors(spark, sf_dir)))), "vector", ["key"])
+
+
+@query(f"{PQ} SELECT round(sum((l.x - b.x) * (l.x - b.x)), 5) AS error FROM e JOIN b ON b.s = e.s AND b.code = e.code JOIN l ON l.key = e.key AND l.j = b.j")
+def pq_error(spark, sf_dir):
+    return spark.createDataFrame([(round(codebook(spark, sf_dir).error(keyed(vectors(spark, sf_dir))), 5),)], "error double")
+
+
+def _pq_train_sql(rounds: int = 3) -> str:
+    out = [V, LONG, BOOK.replace("b AS", "b0 AS", 1)]
+    for i in range(rounds):
+        out.append(codes_sql(book=f"b{i}", name=f"e{i}"))
+        out.append(f"b{i + 1} AS (SELECT k.s, k.code, k.j, coalesce(m.x, 0) AS x FROM b0 k LEFT JOIN (SELECT e.s, e.code, l.j, avg(l.x) AS x FROM e{i} e JOIN l ON l.key = e.key AND l.j // 8 = e.s GROUP BY e.s, e.code, l.j) m ON m.s = k.s AND m.code = k.code AND m.j = k.j)")
+    return "WITH " + ",\n".join(out) + f"\nSELECT s::INT AS quantizer, code::INT AS code, (j % 8)::INT AS j, round(x, 6) AS x FROM b{rounds}"
+
+
+@query(_pq_train_sql())
+def pq_train(spark, sf_dir):
+    model = pq.train(keyed(vectors(spark, sf_dir)), 8, 16, iterations=2, start=codebook(spark, sf_dir))
+    return elements(model.frame(spark), "centroid", ["quantizer", "code"])
+
+
+def _packed(name: str, width: int) -> None:
+    """Per label, the keys modulo 2^width in the order of keys, packed, as hexadecimal."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def packs(pdf):
+            import pandas as pd
+
+            codes = pdf.sort_values("key")["key"].to_numpy() % (1 << width)
+            data = pq.pack(codes, width)
+            assert (pq.unpack(data, width, len(codes)) == codes).all()
+            return pd.DataFrame({"label": [pdf["label"].iloc[0]], "bytes": [len(data)], "hex": [data.hex()]})
+
+        return vectors(spark, sf_dir).select("label", "key").groupBy("label").applyInPandas(packs, "label int, bytes long, hex string")
+
+    low = width - 8 if width > 8 else width
+    each = 8 // low if low else 1
+    high = f"(SELECT label, string_agg(printf('%02x', ((c >> {low}) & 255)::INT), '' ORDER BY i) AS h FROM c GROUP BY label)" if width > 8 else "(SELECT DISTINCT label, '' AS h FROM c)"
+    QUERIES[name] = run
+    ORACLE[name] = f"""WITH c AS (SELECT label, vec_id % {1 << width} AS c, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM embeddings),
+    b AS (SELECT label, i // {each} AS byte, sum((c & {(1 << low) - 1}) << ((i % {each}) * {low})::INT) AS x FROM c GROUP BY label, i // {each}),
+    g AS (SELECT label, string_agg(printf('%02x', x::INT), '' ORDER BY byte) AS l FROM b GROUP BY label)
+    SELECT label, (length(h || l) // 2)::BIGINT AS bytes, h || l AS hex FROM g JOIN {high} USING (label)"""
+
+
+for _w in (2, 4, 8, 10, 12, 16):
+    _packed(f"code_pack_w{_w}", _w)
+
+
+@query("SELECT k::INT AS clusters, w::INT AS width FROM (VALUES (1, 0), (2, 2), (4, 2), (5, 4), (16, 4), (17, 8), (256, 8), (257, 10), (1025, 12), (4097, 16), (65536, 16)) t(k, w)")
+def code_width(spark, sf_dir):
+    return spark.createDataFrame([(k, pq.code_width(k)) for k in (1, 2, 4, 5, 16, 17, 256, 257, 1025, 4097, 65536)], "clusters int, width int")
+
+
+# --- flat index
+
+
+def flat(spark: SparkSession, sf_dir: str) -> index.FlatPQIndex:
+    return index.FlatPQIndex.build(keyed(vectors(spark, sf_dir)), codebook(spark, sf_dir))
+
+
+@query(f"WITH {V}, {LONG}, {BOOK} SELECT key AS query_id, s::INT AS quantizer, code::INT AS code, round(d, 6) AS d FROM ({NEAR.format(l='(SELECT * FROM l WHERE key < 20)', b='b')})")
+def adc_lut(spark, sf_dir):
+    rows = asked(keyed(vectors(spark, sf_dir))).orderBy("query_id").collect()
+    tables = codebook(spark, sf_dir).tables(np.array([r["vector"] for r in rows], np.float64))
+    out = [(rows[i]["query_id"], s, c, round(float(tables[i, s, c]), 6)) for i in range(len(rows)) for s in range(8) for c in range(16)]
+    return spark.createDataFrame(out, "query_id long, quantizer int, code int, d double")
+
+
+def adc_sql(k: int, ask: str, query: str = "l") -> str:
+    return f"""{PQ}, t AS ({NEAR.format(l=f'(SELECT * FROM {query} WHERE {ask})', b='b')}),
+    d AS (SELECT t.key AS query_id, e.key, sum(t.d) AS distance FROM t JOIN e ON e.s = t.s AND e.code = t.code GROUP BY t.key, e.key),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), key) AS rank FROM d)
+    SELECT query_id, rank::INT AS rank, key, round(distance, 6) AS distance FROM r WHERE rank <= {k}"""
+
+
+@query(adc_sql(10, "key < 20"))
+def flat_query(spark, sf_dir):
+    return rounded(flat(spark, sf_dir).query(asked(keyed(vectors(spark, sf_dir))), 10))
+
+
+@query(adc_sql(10, "key >= 0"))
+def flat_batch_query(spark, sf_dir):
+    v = keyed(vectors(spark, sf_dir))
+    return rounded(flat(spark, sf_dir).query(v.select(F.col("key").alias("query_id"), "vector"), 10))
+
+
+@query(f"{PQ} SELECT e.key, b.j::INT AS j, round(b.x, 6) AS x FROM e JOIN b ON b.s = e.s AND b.code = e.code WHERE e.key IN (17, 300)")
+def flat_lookup(spark, sf_dir):
+    return elements(flat(spark, sf_dir).lookup(spark.createDataFrame([(17,), (300,)], "key long")), "vector", ["key"])
+
+
+RECONSTRUCTED = "(SELECT e.key, b.j, b.x FROM e JOIN b ON b.s = e.s AND b.code = e.code)"
+
+
+@query(adc_sql(6, "key IN (40, 41)", RECONSTRUCTED))
+def flat_query_by_key(spark, sf_dir):
+    return rounded(flat(spark, sf_dir).query_by_key(spark.createDataFrame([(40,), (41,), (-5,)], "key long"), 6))
+
+
+# --- partitioned index: coarse centroids keys 0 to 7, codebook from the residuals of keys 100 to 115
+
+
+def partitioned(spark: SparkSession, sf_dir: str, strategy=index.LimitGroups(3)) -> index.IVFPQIndex:
+    v, coarse = keyed(vectors(spark, sf_dir)), start(spark, sf_dir)
+    rows = index.grouped(v, coarse)
+    some = index.residuals(rows.where(F.col("key").between(100, 115)), coarse).select("key", "vector").collect()
+    x = np.array([r["vector"] for r in sorted(some, key=lambda r: r["key"])], np.float64)
+    ranges = fv.split_ranges(64, 8)
+    return index.IVFPQIndex.build(rows, pq.ProductQuantizer(ranges, [x[:, b : b + n] for b, n in ranges]), coarse, strategy=strategy)
+
+
+IVF = f"""WITH {V}, {LONG}, c AS (SELECT key AS c, j, x FROM l WHERE key < 8),
+dc AS (SELECT l.key, c.c, sum((l.x - c.x) * (l.x - c.x)) AS d FROM l JOIN c ON c.j = l.j GROUP BY l.key, c.c),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(d, 9), c) AS r FROM dc),
+a AS (SELECT key, c FROM o WHERE r = 1),
+z AS (SELECT c, count(*) AS n FROM a GROUP BY c),
+res AS (SELECT a.key, l.j, l.x - c.x AS x FROM a JOIN l ON l.key = a.key JOIN c ON c.c = a.c AND c.j = l.j),
+b AS (SELECT j // 8 AS s, key - 100 AS code, j, x FROM res WHERE key BETWEEN 100 AND 115),
+{codes_sql(rows="res")},
+rec AS (SELECT e.key, b.j, c.x + b.x AS x FROM e JOIN b ON b.s = e.s AND b.code = e.code JOIN a ON a.key = e.key JOIN c ON c.c = a.c AND c.j = b.j)"""
+
+
+def ivf_sql(k: int, probes: str, ask: str = "SELECT key, j, x FROM l WHERE key < 20", last: str | None = None) -> str:
+    return f"""{IVF}, q AS ({ask}),
+    qd AS (SELECT q.key, c.c, sum((q.x - c.x) * (q.x - c.x)) AS d FROM q JOIN c ON c.j = q.j WHERE c.c IN (SELECT c FROM z) GROUP BY q.key, c.c),
+    qo AS (SELECT qd.*, row_number() OVER w AS r, coalesce(sum(z.n) OVER (PARTITION BY qd.key ORDER BY round(qd.d, 9), qd.c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM qd JOIN z ON z.c = qd.c WINDOW w AS (PARTITION BY qd.key ORDER BY round(qd.d, 9), qd.c)),
+    p AS (SELECT key, c, r FROM qo WHERE {probes}),
+    """ + (last or f"""dd AS (SELECT p.key AS query_id, rec.key, sum((q.x - rec.x) * (q.x - rec.x)) AS distance FROM p JOIN a ON a.c = p.c JOIN rec ON rec.key = a.key JOIN q ON q.key = p.key AND q.j = rec.j GROUP BY p.key, rec.key),
+    rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), key) AS rank FROM dd)
+    SELECT query_id, rank::INT AS rank, key, round(distance, 6) AS distance FROM rr WHERE rank <= {k}""")
+
+
+PROBES = "one AS (SELECT 1) SELECT key AS query_id, c::INT AS partition, r::INT AS probe_rank FROM p"
+
+
+@query(ivf_sql(0, "r <= 3", last=PROBES))
+def ivf_probe_limit_groups(spark, sf_dir):
+    return partitioned(spark, sf_dir).probe_frame(asked(keyed(vectors(spark, sf_dir))))
+
+
+@query(ivf_sql(0, "held < 150", last=PROBES))
+def ivf_probe_limit_vectors(spark, sf_dir):
+    return partitioned(spark, sf_dir, index.LimitVectors(150)).probe_frame(asked(keyed(vectors(spark, sf_dir))))
+
+
+@query(ivf_sql(10, "r <= 3"))
+def ivf_query_limit_groups(spark, sf_dir):
+    return rounded(partitioned(spark, sf_dir).query(asked(keyed(vectors(spark, sf_dir))), 10))
+
+
+@query(ivf_sql(10, "held < 150"))
+def ivf_query_limit_vectors(spark, sf_dir):
+    return rounded(partitioned(spark, sf_dir, index.LimitVectors(150)).query(asked(keyed(vectors(spark, sf_dir))), 10))
+
+
+@query(f"{IVF} SELECT key, j::INT AS j, round(x, 6) AS x FROM rec WHERE key IN (17, 300)")
+def ivf_lookup(spark, sf_dir):
+    return elements(partitioned(spark, sf_dir).lookup(spark.createDataFrame([(17,), (300,)], "key long")), "vector", ["key"])
+
+
+@query(ivf_sql(6, "r <= 3", "SELECT key, j, x FROM rec WHERE key IN (40, 41)"))
+def ivf_query_by_key(spark, sf_dir):
+    return rounded(partitioned(spark, sf_dir).query_by_key(spark.createDataFrame([(40,), (41,), (-5,)], "key long"), 6))
+
+
+# --- evaluation
+
+
+def _sample_sql(n: int) -> str:
+    cases = " UNION ALL ".join(f"SELECT {size} AS n, {i} AS query_id, {r} AS row_id" for size in (500, 2000) for i, r in enumerate(sample_rows(size, n, 0)))
+    return f"s AS (SELECT p.query_id, o.v, o.key FROM ({cases}) p JOIN (SELECT key, v, row_number() OVER (ORDER BY key) - 1 AS row_id FROM v) o USING (row_id) WHERE p.n = (SELECT count(*) FROM v))"
+
+
+@query(f"WITH {V}, {_sample_sql(50)} SELECT query_id::BIGINT AS query_id, round(list_sum(v), 6) AS total FROM s")
+def sample_queries(spark, sf_dir):
+    total = F.aggregate(fv.doubles(F.col("vector")), F.lit(0.0), lambda a, x: a + x)
+    return evaluate.sample(keyed(vectors(spark, sf_dir)), 50).select("query_id", F.round(total, 6).alias("total"))
+
+
+TRUTH = f"""{_sample_sql(30)}, dd AS (SELECT s.query_id, x.key, {d2("s.v", "x.v")} AS d FROM s, v x),
+tr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), key) AS r FROM dd),
+truth AS (SELECT query_id, r AS k, d AS m FROM tr WHERE r IN (1, 5, 10))"""
+
+
+@query(f"WITH {V}, {TRUTH} SELECT query_id::BIGINT AS query_id, k::INT AS k, round(m, 6) AS max_dist_sq FROM truth")
+def ground_truth_kth(spark, sf_dir):
+    v = keyed(vectors(spark, sf_dir))
+    return evaluate.truth(evaluate.sample(v, 30), v, (1, 5, 10)).withColumn("max_dist_sq", F.round("max_dist_sq", 6))
+
+
+def recall_sql(epsilon: float) -> str:
+    return f"""{PQ}, {TRUTH}, t AS (SELECT s.query_id, b.s, b.code, sum((s.v[b.j + 1] - b.x) * (s.v[b.j + 1] - b.x)) AS d FROM s, b GROUP BY s.query_id, b.s, b.code),
+    ad AS (SELECT t.query_id, e.key, sum(t.d) AS d FROM t JOIN e ON e.s = t.s AND e.code = t.code GROUP BY t.query_id, e.key),
+    ar AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), key) AS rank FROM ad),
+    hit AS (SELECT truth.query_id, truth.k, count(*) FILTER (WHERE ar.rank <= truth.k AND dd.d <= CASE WHEN {epsilon} = 0 THEN m ELSE pow(sqrt(m) * (1 + {epsilon}), 2) END + 1e-12) / truth.k AS recall
+            FROM truth JOIN ar ON ar.query_id = truth.query_id AND ar.rank <= 10 JOIN dd ON dd.query_id = ar.query_id AND dd.key = ar.key GROUP BY truth.query_id, truth.k)
+    SELECT k::INT AS k, count(*) AS n, round(avg(recall), 6) AS mean, round(stddev_pop(recall), 6) AS stddev FROM hit GROUP BY k"""
+
+
+def _recall(spark: SparkSession, sf_dir: str, epsilon: float) -> DataFrame:
+    v = keyed(vectors(spark, sf_dir))
+    queries = evaluate.sample(v, 30)
+    out = evaluate.recall(flat(spark, sf_dir).query(queries, 10), queries, v, evaluate.truth(queries, v, (1, 5, 10)), epsilon)
+    return out.select("k", "n", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"))
+
+
+@query(recall_sql(0))
+def recall_at_k(spark, sf_dir):
+    return _recall(spark, sf_dir, 0.0)
+
+
+@query(recall_sql(0.1))
+def recall_at_k_eps(spark, sf_dir):
+    return _recall(spark, sf_dir, 0.1)
+
+
+STATS = "count(l_quantity) AS n, round(avg(l_quantity), 4) AS mean, round(var_pop(l_quantity), 4) AS variance"
+
+
+@query(f"SELECT l_returnflag, {STATS}, round(stddev_pop(l_quantity), 4) AS stddev FROM lineitem GROUP BY l_returnflag")
+def summary_stats(spark, sf_dir):
+    out = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(*stats.summary("l_quantity"))
+    return out.select("l_returnflag", "n", *(F.round(c, 4).alias(c) for c in ("mean", "variance", "stddev")))
+
+
+@query(f"SELECT {STATS} FROM lineitem")
+def summary_stats_merge(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag", "l_linestatus").agg(*stats.summary("l_quantity"))
+    return parts.agg(*stats.merged(parts)).select("n", F.round("mean", 4).alias("mean"), F.round("variance", 4).alias("variance"))
+
+
+# --- files and printing
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}"
+    return f"{root.rstrip('/')}/lodevec-{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query(f"WITH {V} SELECT key::VARCHAR AS key, unnest(range(64))::INT AS j, round(unnest(v), 6) AS x FROM v")
+def w2v_text_roundtrip(spark, sf_dir):
+    path = _folder(spark, "text")
+    word2vec.write(keyed(vectors(spark, sf_dir)), path, with_header=True)
+    return elements(word2vec.read(spark, path), "vector", ["key"])
+
+
+@query(ivf_sql(10, "r <= 3"))
+def index_save_load(spark, sf_dir):
+    path = _folder(spark, "index")
+    partitioned(spark, sf_dir).save(path)
+    return rounded(index.load(spark, path).query(asked(keyed(vectors(spark, sf_dir))), 10))
+
+
+@query(f"SELECT w.key, coalesce(l.line, 'not found') AS line FROM (VALUES (40::BIGINT), (41), (-5)) w(key) LEFT JOIN (SELECT query_id, string_agg(key::VARCHAR, ',' ORDER BY rank) AS line FROM ({adc_sql(6, 'key IN (40, 41)', RECONSTRUCTED)}) GROUP BY query_id) l ON l.query_id = w.key")
+def print_results(spark, sf_dir):
+    wanted = spark.createDataFrame([(40,), (41,), (-5,)], "key long")
+    return cli.word_lines(wanted, flat(spark, sf_dir).query_by_key(wanted, 6))

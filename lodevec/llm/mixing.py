@@ -6,7 +6,7 @@ least squares: the domains' expected token totals, sum of rate x tokens x poster
 
 The gradient for one document is its tokens times its posterior's product with the residual, a vector of one number a
 domain. Steps are scaled by 1 / tokens for each document and by the inverse of sum(tokens x posterior x posterior') for
-the residual, which makes the problem well conditioned; a document's rate then follows from the residuals so far, which
+the residual (over the documents whose rate is free to move), which makes the problem well conditioned; a document's rate then follows from the residuals so far, which
 is all that a round of the loop has to pass on: one aggregation to a few numbers, no state per document.
 """
 
@@ -169,20 +169,23 @@ def rates(members: DataFrame, targets: list[float], least: float = 0.0, rounds:
     k = len(targets)
     t = np.array(targets)
     p = [F.col("_p")[i] for i in range(k)]
-    cross = members.agg(*(F.sum(F.col("_tokens") * p[i] * p[j]) for i in range(k) for j in range(k)), F.sum("_tokens")).first()
-    total = float(cross[-1] or 0)
+    total = float(members.agg(F.sum("_tokens")).first()[0] or 0)
     if not total:
         return F.lit(0.0), np.zeros(k)
-    gram = np.array([float(x) for x in cross[:-1]]).reshape(k, k)
-    inverse = np.linalg.inv(gram + 1e-9 * np.trace(gram) * np.eye(k))
     start, history, reached = float(t.sum() / total), [], np.zeros(k)
+    error, pace = np.inf, 1.0
+    free = F.when(F.col("rate") > least, F.col("_tokens")).otherwise(0)
     for _ in range(rounds):
-        rate = _rate(history, start, least)
-        sums = members.select(F.col("_tokens") * rate, "_p").toDF("mass", "_p").agg(*(F.sum(F.col("mass") * p[i]) for i in range(k))).first()
-        reached = np.array([float(x) for x in sums])
-        if np.abs(reached - t).max() <= tolerance * t.sum():
+        rated = members.select("_tokens", "_p", _rate(history, start, least).alias("rate"))
+        sums = rated.agg(*(F.sum(F.col("_tokens") * F.col("rate") * p[i]) for i in range(k)), *(F.sum(free * p[i] * p[j]) for i in range(k) for j in range(k))).first()
+        reached, gram = np.array([float(x) for x in sums[:k]]), np.array([float(x) for x in sums[k:]]).reshape(k, k)
+        if np.trace(gram) < 1e-6 * total:
+            gram = total * np.eye(k)  # every rate is at the least
+        last, error = error, float(np.abs(reached - t).max())
+        if error <= tolerance * t.sum():
             break
-        history.append(inverse @ (reached - t))
+        pace = min(1.0, pace * 1.5) if error < last else pace / 2
+        history.append(pace * np.linalg.inv(gram + 1e-9 * (np.trace(gram) + total) * np.eye(k)) @ (reached - t))
     return _rate(history, start, least), reached
 
 

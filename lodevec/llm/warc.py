@@ -91,7 +91,10 @@ def _header(head: bytes) -> dict[str, str]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("a header line without a colon")
-        out[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        key = name.decode("utf-8", "replace").strip().lower()
+        if key in out and key != "warc-concurrent-to":
+            raise Damaged("a repeated field")
+        out[key] = value.decode("utf-8", "replace").strip()
     if not out.get("content-length", "").isdigit():
         raise Damaged("no length")
     return out

@@ -1,0 +1,286 @@
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from lodevec.llm import fingerprints, mixing, packing, queries, secret_scan, sharding, tokens, toxicity
+
+PATH = packing.tokenizer_path()
+CHARS = list("ab'sStTrelvmd0129 \n\t 　éñ中😀½²!?.-_́​\x00\x1c\x85\U0010ffff") + ["'s", "'ll", "  ", "<|endoftext|>"]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(CHARS), max_size=25).map("".join), min_size=1, max_size=8))
+def test_ids_are_the_library_s(library, some):
+    got = tokens.ids_for(PATH).encode(some)
+    assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_long_texts_are_cut_where_words_begin(library, monkeypatch):
+    monkeypatch.setattr(tokens, "BATCH", 64)
+    text = "It's a  long\n\n text,  isn't it? " * 30
+    assert tokens.Ids(PATH).encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=12), st.sampled_from(["norm", "dot"]), st.sampled_from([(64, None, None), (64, 3, None), (64, None, 1500)]))
+def test_plan_respects_every_capacity(counts, score, caps):
+    capacity, documents, attention = caps
+    out = packing.plan(counts, capacity, documents, attention, (1.0, 0.5, 0.5), score)
+    bins, seen = collections.defaultdict(list), collections.Counter()
+    for length, rank, n, first, offset in out:
+        assert rank == seen[length]
+        seen[length] += n
+        for k in range(n):
+            bins[first + k].append((offset, length))
+    assert seen == counts
+    for items in bins.values():
+        items.sort()
+        at = 0
+        for offset, length in items:
+            assert offset == at
+            at += length
+        assert at <= capacity and (documents is None or len(items) <= documents)
+        assert attention is None or len(items) == 1 or sum(n * n for _, n in items) <= attention
+
+
+def check_packing(rows, texts, library):
+    """texts: (id, text) of every row."""
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for items in by.values():
+        at = 0
+        for offset, length in sorted(items):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    want = collections.Counter()
+    for i, t in texts:
+        ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        edges = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            want[i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    return len(by), -(-sum(r["length"] for r in rows) // 1024)
+
+
+def test_packing(spark, sf_dir, texts, library):
+    bins, least = check_packing(queries.QUERIES["op1_best_fit_packing"](spark, sf_dir).collect(), texts.items(), library)
+    assert bins <= least * 1.03 + 1
+
+
+def test_packing_odd(spark, clashing, odd_rows, none, library):
+    check_packing(packing.pack(clashing, PATH).collect(), [(i, t) for i, t, *_ in odd_rows], library)
+    assert packing.pack(none, PATH).count() == 0
+
+
+def test_sharding(spark, sf_dir, texts):
+    rows = queries.QUERIES["op10_sharding"](spark, sf_dir).collect()
+    check_shards(rows, texts.items(), 40)
+    size = collections.Counter()
+    for r in rows:
+        size[r["shard"]] += r["size"]
+    assert max(size.values()) - min(size.values()) <= 2 * max(len(t.encode()) + 16 for t in texts.values())
+
+
+def check_shards(rows, texts, shards):
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == collections.Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in texts)
+    slots = collections.defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(shards))
+
+
+def test_sharding_odd(spark, clashing, odd_rows, none, tmp_path):
+    for name, df, rows in (("odd", clashing, odd_rows), ("none", none, [])):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        check_shards(sharding.op10_sharding(spark, str(tmp_path / name), 3).collect(), [(i, t) for i, t, *_ in rows], 3)
+
+
+def test_splitters_cut_a_hot_group_evenly(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 77).otherwise(F.xxhash64("id").bitwiseAND((1 << 62) - 1)).alias("h"), "id", F.lit(100).cast("long").alias("size"))
+    out = sharding.shard_by_bytes(rows, 16).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    assert len(out) == 16 and max(r["s"] for r in out) - min(r["s"] for r in out) <= 400
+
+
+BASE = re.compile(secret_scan.ASSIGN.replace("(?i:(password", "((?i:password").replace("api_?key))", "api_?key))"), re.ASCII)
+
+
+def base_spans(t):
+    s = [(m.start(), 0, m.end(), "assign") for m in BASE.finditer(t) if len(m[2]) >= 6]
+    s += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    s += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+    return [f"{k}:{a}:{e}" for a, _, e, k in sorted(s)]
+
+
+def scanned(rows):
+    return {r["id"]: (r["n_assign"], r["n_access"], r["n_hex"], r["base"], r["spans"]) for r in rows}
+
+
+def scan_texts(spark, some):
+    df = secret_scan.scan(spark.createDataFrame(list(enumerate(some)), "id long, text string"), "id")
+    return scanned(df.select("id", "n_assign", "n_access", "n_hex", secret_scan.joined(F.col("base")).alias("base"), secret_scan.joined(F.col("spans")).alias("spans")).collect())
+
+
+def test_secrets_equal_brute_force(spark, sf_dir, texts):
+    for r in queries.QUERIES["op9_secret_scan"](spark, sf_dir).collect():
+        want = base_spans(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert set(want) <= set(r["spans"].split(",")) | {""}
+
+
+def test_secret_cases(spark):
+    r = __import__("random").Random(4)
+    pieces = ["token", "=", ":", " ", "'", "AKIA", "ABCDEFGHIJ012345", "secret", "api_key", "apikey", "PassWord", "deadbeef0123", "x", "é", "😀", "abc.def", "\n", "0123456789abcdef"]
+    some = ["".join(r.choices(pieces, k=r.randint(0, 14))) for _ in range(400)] + [None, "", "token=token:abcdefg", "token = " + "a" * 70_000]
+    for i, (a, c, h, base, spans) in scan_texts(spark, some).items():
+        want = base_spans(some[i] or "")
+        assert base == ",".join(want)
+        assert (a, c, h) == tuple(sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex"))
+        assert set(want) <= set(spans.split(",")) | {""}
+
+
+def test_weak_candidates_need_a_complement(spark):
+    weak = "k9Zq8Lm2Xw7Rt5Yb3Nc1Vp4H"
+    account, far = "user: svc_backup", "filler " * 200
+    got = scan_texts(spark, [weak, account, f"{account} {weak}", f"{account} {far} {weak}", f"https://api.example.com {weak}", "https://api.example.com only", f"https://db.example.com token=abcdef123"])
+    found = {i: {s.split(":")[0] for s in x[4].split(",") if s} for i, x in got.items()}
+    assert found == {0: set(), 1: set(), 2: {"account", "mixed"}, 3: set(), 4: {"mixed", "endpoint"}, 5: set(), 6: {"assign", "endpoint"}}
+
+
+def test_secrets_odd(spark, clashing, odd_rows, none):
+    assert secret_scan.scan(clashing).count() == len(odd_rows) and secret_scan.scan(none).count() == 0
+
+
+def check_fingerprints(rows, ordered):
+    """ordered: (id, text) by descending id."""
+    want = collections.Counter()
+    for k, (i, t) in enumerate(ordered):
+        nxt = ordered[(k + 1) % len(ordered)][1]
+        cut = len(t) // 3
+        e = t[: len(t) - cut] + nxt[:cut] if cut else t
+        f, g, h = (fingerprints.fingerprints([x.encode()])[0][0] for x in (t, e, nxt))
+        want[i, len(t), hashlib.sha256(e.encode()).hexdigest(), f, g, round(fingerprints.compare(f, g), 9), round(fingerprints.compare(f, h), 9)] += 1
+    assert collections.Counter((r["id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in rows) == want
+
+
+def test_fingerprints(spark, docs, texts):
+    check_fingerprints(fingerprints.fingerprint_pairs(docs).collect(), sorted(texts.items(), reverse=True))
+
+
+def test_fingerprints_odd(spark, odd, odd_rows, clashing, none):
+    ordered = sorted(((i, t or "") for i, t, *_ in odd_rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1].encode()))
+    check_fingerprints(fingerprints.fingerprint_pairs(odd).collect(), ordered)
+    check_fingerprints(fingerprints.fingerprint_pairs(clashing.where("doc_id = 6")).collect(), [(6, "short")])
+    assert fingerprints.fingerprint_pairs(none).count() == 0
+
+
+def test_equal_substrings_share_phrases():
+    r = np.random.default_rng(2)
+    text = bytes(r.integers(97, 123, 3000).astype(np.uint8))
+    a, b = text, b"shifted by some bytes " + text
+    whole = [fingerprints.parse(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0] for x in (a, b)]
+    assert len(np.intersect1d(*whole)) > 0.97 * len(np.unique(whole[0]))
+    f, g = (fingerprints.fingerprints([x])[0][0] for x in (a, b))
+    assert fingerprints.compare(f, g) > 0.8 > 0.2 > fingerprints.compare(f, fingerprints.fingerprints([bytes(r.integers(97, 123, 3000).astype(np.uint8))])[0][0])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(max_size=60), min_size=1, max_size=6))
+def test_fingerprints_do_not_depend_on_the_batch(some):
+    assert fingerprints.fingerprints(some)[0] == [fingerprints.fingerprints([x])[0][0] for x in some]
+
+
+def test_phrases_are_short():
+    x = np.frombuffer(bytes(np.random.default_rng(1).integers(0, 256, 20_000).astype(np.uint8)), np.uint8)
+    assert len(x) / 12 < len(fingerprints.parse(x, np.array([0, len(x)]))[0]) < len(x) / 2
+
+
+def test_toxicity_finds_held_out(spark, sf_dir):
+    base = sf_dir.rsplit("/", 1)[0] + "/sf0.01"
+    got = {r["doc_id"]: r for r in toxicity.op7_toxicity(spark, base).collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{base}/labels.parquet").collect()}
+    held = [(y, got[i]["predicted"]) for i, y in labels.items() if i in got and got[i]["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    assert sum(p for y, p in held if y) >= 0.6 * sum(y for y, _ in held) and sum(p for y, p in held if not y) <= 0.02 * len(held)
+
+
+def test_labels_of_the_held_out_are_not_read(spark, sf_dir, docs):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")).cast("int"))
+    a, b = (toxicity.train(docs, x) for x in (labels, turned))
+    assert a.bias == b.bias and (a.weights == b.weights).all() and (a.terms == b.terms).all()
+
+
+def test_toxicity_odd(spark, clashing, odd_rows, none):
+    labels = spark.createDataFrame([(1, 1), (4, 0), (4, None), (77, 1), (None, 1), (6, 0)], "doc_id long, toxic int")
+    empty = spark.createDataFrame([], "doc_id long, toxic int")
+    for given_ in (labels, empty):
+        out = toxicity.scored(clashing, toxicity.train(clashing, given_))
+        assert out.count() == len(odd_rows) and all(0 <= r["score"] <= 1 for r in out.select("score").collect())
+    kept = toxicity.keep_clean(clashing, empty)
+    assert kept.columns == clashing.columns and kept.count() == len(odd_rows)
+    assert toxicity.keep_clean(none, labels).count() == 0
+
+
+def test_label_model_outvotes_a_wrong_label():
+    r = np.random.default_rng(0)
+    y = (r.random(2000) < 0.3).astype(float)
+    votes = np.stack([r.random(2000) < np.where(y == 1, 0.7, 0.02) for _ in range(6)], axis=1)
+    given_ = y.copy()
+    wrong = r.choice(2000, 100, replace=False)
+    given_[wrong] = 1 - given_[wrong]
+    q, rates, discount = toxicity.label_model(votes, given_, np.ones(2000))
+    assert ((q > 0.5) == y).mean() > (given_ == y).mean() and (rates[1] > rates[0]).all()
+    twice = np.hstack([votes, votes[:, :1]])
+    assert toxicity.label_model(twice, given_, np.ones(2000))[2][0] < 0.7 * discount[0]
+
+
+def test_mixing_meets_targets(spark, sf_dir, docs):
+    rows = mixing.op3_soft_mixing(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in docs.collect())
+    p, t, rate = np.array([r["posterior"] for r in rows]), np.array([r["tokens"] for r in rows]), np.array([r["rate"] for r in rows])
+    total = (rate * t) @ p
+    assert np.allclose(total / total.sum(), list(mixing.TARGETS.values()), atol=1e-4) and (rate >= 0).all() and np.allclose(p.sum(axis=1), 1)
+
+
+def test_rates_against_brute_force(spark):
+    """Projected gradient on the driver, unscaled, meets the same totals; targets that zero some rates are met too."""
+    r = np.random.default_rng(3)
+    p = r.dirichlet([0.3, 0.3, 0.3], 300)
+    t = r.integers(1, 500, 300)
+    members = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(t, p, strict=True)], "_tokens long, _p array<double>")
+    targets = [0.05 * t.sum(), 0.15 * t.sum(), 0.8 * t.sum()]
+    rate, reached = mixing.rates(members, targets, rounds=200)
+    got = np.array([x[0] for x in members.select(rate).collect()])
+    assert (got >= 0).all() and np.allclose(reached, targets, rtol=0, atol=1e-4 * t.sum()) and np.allclose((got * t) @ p, reached, atol=1e-3 * t.sum())
+
+
+def test_mixing_odd(spark, clashing, odd_rows, none):
+    labelled = spark.createDataFrame([(4, "high"), (6, "low"), (4, "high"), (99, "low"), (None, "low")], "doc_id long, domain string")
+    for given_ in (labelled, labelled.limit(0)):
+        assert mixing.mixed(clashing, given_, mixing.TARGETS).count() == len(odd_rows)
+    out = mixing.repeated(clashing, labelled, mixing.TARGETS)
+    assert out.columns == clashing.columns and {r["doc_id"] for r in out.collect()} == {i for i, *_ in odd_rows}
+    assert mixing.mixed(none, labelled, mixing.TARGETS).count() == 0 and mixing.repeated(none, labelled, mixing.TARGETS).count() == 0
+
+
+def test_hashes_of_batches_are_those_of_single_texts():
+    some = ["Some words é", "", "and-more 12"]
+    one = [toxicity.term_hashes(pa.array([t]))[1].tolist() for t in some]
+    text, h = toxicity.term_hashes(pa.array(some))
+    assert [sorted(h[text == k].tolist()) for k in range(3)] == [sorted(x) for x in one]

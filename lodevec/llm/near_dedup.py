@@ -5,8 +5,9 @@
 2. Documents that share a band key share a bucket. In rounds, each bucket elects a pivot, and those of its members that
    are not yet in the pivot's class are compared with it, exactly. Links join classes (connected components). A bucket
    whose members share one class is done: its other pairs cannot change any class.
-3. Rounds go on while they join classes and the pairs left outnumber the bucket rows several times. Then every pair of
-   different classes that still shares a bucket is compared, so no link between members of a bucket is lost.
+3. After two rounds every pair of different classes that still shares a bucket is compared, so no link between members
+   of a bucket is lost: in small buckets pair by pair, in large ones by pairs of blocks, whose comparisons are a product
+   of matrices inside one task and which emit links only.
 
 Two multisets of similarity 0.8 share no bucket with a probability of (1 - 0.8^5)^26 = 3e-5.
 """
@@ -27,8 +28,8 @@ from lodevec.llm.graph import components
 from lodevec.llm.words import U, mix, shingles, slices
 
 THRESHOLD, WORDS = 0.8, 5
-#: Rounds of pivots at most, and pairs per bucket row that are few enough to compare all that are left.
-ROUNDS, FEW = 6, 2
+#: Rounds of pivots; rows of a bucket up to which its pairs are listed; rows of a block of larger ones; shingles at once.
+ROUNDS, SMALL, BLOCK, COLUMNS = 2, 64, 256, 4096
 SIGNED = "row long, id long, text_hash long, name1 long, name2 long, n long, keys array<long>"
 
 
@@ -92,6 +93,63 @@ def linked(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return both.select("u", "v", "bag_a", "bag_b").mapInPandas(alike, "u long, v long").distinct()
 
 
+def alike_rows(bags: list[bytes], threshold: float) -> np.ndarray:
+    """Which pairs of bags are alike enough, as a square of booleans."""
+    sets = [np.frombuffer(b, np.uint32) for b in bags]
+    size = np.array([len(x) for x in sets], np.float64)
+    value, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    shared = np.flatnonzero(np.bincount(code, minlength=len(value)) > 1)
+    column = np.full(len(value), -1)
+    column[shared] = np.arange(len(shared))
+    at = column[code]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    both = np.zeros((len(sets), len(sets)), np.float64)
+    for begin in range(0, len(shared), COLUMNS):
+        a, b = np.searchsorted(at, [begin, begin + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[a:b], at[a:b] - begin] = 1
+        both += has @ has.T
+    return both >= threshold * (size[:, None] + size[None] - both) - 1e-9
+
+
+def linked_blocks(sized: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """sized: key, row, class, many -> the links (u, v) between classes in buckets of any size.
+
+    A bucket's rows are dealt into blocks of about BLOCK by a hash, and each pair of blocks is one cell of work.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def links() -> pa.RecordBatch:
+            rows = {r[0]: r for r in held}
+            block, group = (np.array([r[k] for r in rows.values()]) for k in (1, 2))
+            near = alike_rows([r[3] for r in rows.values()], threshold) & (group[:, None] > group[None])
+            if len(set(block.tolist())) > 1:
+                near &= block[:, None] != block[None]
+            i, j = np.nonzero(near)
+            found = np.unique(np.stack([group[i], group[j]], axis=1), axis=0).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
+
+        for batch in batches:
+            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, i, j) != cell:
+                    if len(held) > 1:
+                        yield links()
+                    cell, held = (key, i, j), []
+                held.append(tuple(row))
+        if len(held) > 1:
+            yield links()
+
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    dealt = sized.select("key", "row", "class", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    whole = dealt.join(bags.hint("merge"), "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = whole.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "row", "block", "class", "bag")
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "u long, v long").distinct()
+
+
 def _open_buckets(members: DataFrame) -> DataFrame:
     """Members of buckets in which classes differ."""
     split = members.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 != c1").select("key")
@@ -126,29 +184,28 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     renamed: list[DataFrame] = []
 
-    def join_classes(links: DataFrame, members: DataFrame) -> tuple[DataFrame, bool]:
+    def join_classes(links: DataFrame, members: DataFrame) -> DataFrame:
         moved = components(links).select(F.col("node").alias("class"), "root")
         if not moved.head(1):
-            return members, False
+            return members
         renamed.append(moved)
         now = members.join(moved, "class", "left").select("key", "row", "n", F.coalesce("root", "class").alias("class"))
-        return staged(_open_buckets(now), "members"), True
+        return staged(_open_buckets(now), "members")
 
     for turn in range(ROUNDS):
         elected = members.groupBy("key").agg(F.min(F.struct((F.xxhash64("row", F.lit(turn)) if turn else F.lit(0)).alias("lot"), F.col("row").alias("b"), F.col("n").alias("m"), F.col("class").alias("v"))).alias("p")).select("key", "p.b", "p.m", "p.v")
         pairs = members.join(elected.hint("merge"), "key").where((F.col("class") != F.col("v")) & _of_size(threshold))
         pairs = pairs.select(F.col("row").alias("a"), "b", F.col("class").alias("u"), "v").distinct()
-        members, joined = join_classes(linked(pairs, bags, threshold), members)
-        by_class = members.groupBy("key", "class").count().groupBy("key").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("same"))
-        left = by_class.agg(F.sum("all").alias("rows"), F.sum((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")).first()
-        if not left["rows"] or not joined or left["pairs"] <= FEW * left["rows"]:
-            break
-    if left["rows"]:
-        largest = members.groupBy("key", "class").count().groupBy("key").agg(F.max(F.struct("count", "class")).alias("top")).select("key", F.col("top.class").alias("top"))
-        few = members.join(largest.hint("merge"), "key").where("class != top").select("key", F.col("row").alias("b"), F.col("n").alias("m"), F.col("class").alias("v"), "top")
-        apart = (F.col("class") != F.col("v")) & _of_size(threshold) & ((F.col("class") == F.col("top")) | (F.col("row") < F.col("b")))
-        pairs = members.join(few.hint("merge"), "key").where(apart).select(F.col("row").alias("a"), "b", F.col("class").alias("u"), "v").distinct()
-        join_classes(linked(pairs, bags, threshold), members)
+        members = join_classes(linked(pairs, bags, threshold), members)
+    if members.head(1):
+        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("many"))
+        sized = staged(members.join(sizes.hint("merge"), "key"), "unsettled")
+        few = sized.where(F.col("many") <= SMALL).select("key", "row", "n", "class")
+        other = few.select("key", F.col("row").alias("b"), F.col("n").alias("m"), F.col("class").alias("v"))
+        apart = (F.col("row") < F.col("b")) & (F.col("class") != F.col("v")) & _of_size(threshold)
+        pairs = few.join(other.hint("merge"), "key").where(apart).select(F.col("row").alias("a"), "b", F.col("class").alias("u"), "v").distinct()
+        links = linked(pairs, bags, threshold).unionByName(linked_blocks(sized.where(F.col("many") > SMALL), bags, threshold))
+        join_classes(links, members)
 
     classes = distinct.select("name1", "name2", "copies", "first", F.col("row").alias("class"))
     for moved in renamed:

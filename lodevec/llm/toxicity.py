@@ -6,7 +6,8 @@ hidden: expectation maximisation estimates each voter's rate of firing in either
 noisy voter, and the correlation of voters within a class discounts those that only repeat others. Its posteriors are
 the labels on which a linear (logistic) classifier of the voters is trained; that classifier scores every text.
 
-The model is fitted on the driver, on a sample bounded by SAMPLE; scoring is one pass over the texts with no exchange.
+The model is fitted on a sample bounded by SAMPLE: terms are counted on the executors, and the driver gets some 30 bytes
+a row, which voters fire. Scoring is one pass over the texts with no exchange.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodevec.llm.common import table, text_or_empty
+from lodevec.llm.common import staged, table, text_or_empty
 from lodevec.llm.words import U, mix, powers, raw_bytes, slices, words
 
 #: Labelled rows of each class that the model is fitted on, at most; mined terms kept; least likelihood ratio of a term.
@@ -102,24 +103,36 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def mine(doc: np.ndarray, term: np.ndarray, label: np.ndarray, share: np.ndarray) -> list[tuple[int, float]]:
-    """Terms that speak for label 1: hash and likelihood ratio (G squared), the strongest first. Each (doc, term) once;
-    share: how many rows of the corpus each sampled row stands for."""
-    terms, code = np.unique(term, return_inverse=True)
-    n1, n0 = int(label.sum()), int(len(label) - label.sum())
-    if not n1 or not n0:
+def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """toxic, text -> term, n1, n0: how many of this task's texts of either class have the term."""
+    terms, n1, n0 = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        for at, texts in slices(batch.column(1)):
+            toxic = batch.column(0).slice(at, len(texts)).to_numpy(zero_copy_only=False)
+            text, h = term_hashes(texts)
+            order = np.lexsort((h, text))
+            text, h = text[order], h[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])]) if len(h) else np.zeros(0, bool)
+            one = toxic[text[new]] == 1
+            terms, code = np.unique(np.concatenate([terms, h[new]]), return_inverse=True)
+            n1, n0 = (np.bincount(code, np.concatenate([n, hit]), len(terms)).astype(np.int64) for n, hit in ((n1, one), (n0, ~one)))
+    if len(terms):
+        yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n1), pa.array(n0)], ["term", "n1", "n0"])
+
+
+def mined(sample: DataFrame, rows1: int, rows0: int) -> list[int]:
+    """Hashes of the terms that speak for class 1 the most, by likelihood ratio (G squared): at most TERMS."""
+    if not rows1 or not rows0:
         return []
-    a = np.bincount(code, label[doc], len(terms))
-    b = np.bincount(code, 1 - label[doc], len(terms))
+    counts = sample.mapInArrow(term_counts, "term long, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("a"), F.sum("n0").alias("b"))
 
-    def part(k: np.ndarray, n: np.ndarray | float, p: np.ndarray) -> np.ndarray:
-        return k * np.log(np.maximum(k, 1e-12) / np.maximum(n * p, 1e-12))
+    def part(k: Column, expected: Column) -> Column:
+        return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
 
-    p = (a + b) / (n1 + n0)
-    g = 2 * (part(a, n1, p) + part(b, n0, p) + part(n1 - a, n1, 1 - p) + part(n0 - b, n0, 1 - p))
-    good = (g >= EVIDENCE) & (a / n1 > 4 * b / n0) & (a >= 3)
-    best = np.flatnonzero(good)[np.argsort(-g[good], kind="stable")][:TERMS]
-    return [(int(terms[i]), float(g[i])) for i in best]
+    a, b, p = F.col("a"), F.col("b"), (F.col("a") + F.col("b")) / (rows1 + rows0)
+    g = 2 * (part(a, rows1 * p) + part(b, rows0 * p) + part(rows1 - a, rows1 * (1 - p)) + part(rows0 - b, rows0 * (1 - p)))
+    strong = counts.where((a >= 3) & (a / rows1 > 4 * b / rows0)).withColumn("g", g).where(F.col("g") >= EVIDENCE)
+    return [r["term"] & (1 << 64) - 1 for r in strong.orderBy(F.desc("g"), "term").limit(TERMS).collect()]
 
 
 def label_model(votes: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,58 +173,31 @@ def linear(votes: np.ndarray, q: np.ndarray, weight: np.ndarray, penalty: float
     return w[:-1], float(w[-1])
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], share: dict[int, float]) -> Model:
-    """rows: distinct term hashes, pattern votes, label; share: rows of the corpus that one sampled row of a class stands for."""
-    label = np.array([r[2] for r in rows], np.float64)
-    weight = np.array([share[int(y)] for y in label])
-    doc = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    term = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, U)
-    mined = [h for h, _ in mine(doc, term, label.astype(np.int64), weight)] if rows else []
-    of: dict[int, int] = {h: k for k, h in enumerate(mined)}
-    names = [f"term_{h:016x}" for h in mined]
-    lexicon_of = {}
+def voters_of(terms: list[int]) -> Model:
+    """A model without weights: a voter for each mined term, each lexicon and each pattern."""
+    of: dict[int, int] = {h: k for k, h in enumerate(terms)}
+    names = [f"term_{h:016x}" for h in terms]
     for name, listed in LEXICONS.items():
         for word in listed:
-            lexicon_of.setdefault(_word_hash(word), []).append(len(names))
+            of.setdefault(_word_hash(word), len(names))
         names.append(name)
-    taken = {h: c for h, (c, *_) in lexicon_of.items() if h not in of}
-    of |= taken
-    voters = len(names) + len(PATTERNS)
-    terms = np.array(sorted(of), U)
-    column = np.array([of[int(h)] for h in terms], np.int64)
-    model = Model(terms, column, voters, np.zeros(voters), 0.0, names + PATTERNS)
-    insults = np.array([n.startswith(("insult", "contempt")) for n in model.names])
-    if not rows or label.min() == label.max():
-        # Nothing to learn from: an insult speaks for itself.
-        model.weights, model.bias = insults * 4.0, -3.0
+    names += PATTERNS
+    known = np.array(sorted(of), U)
+    return Model(known, np.array([of[int(h)] for h in known], np.int64), len(names), np.zeros(len(names)), 0.0, names)
+
+
+def fit(model: Model, votes: np.ndarray, label: np.ndarray, share: dict[int, float]) -> Model:
+    """Gives the model its weights. share: rows of the corpus that one sampled row of a class stands for. With labels of
+    one class only there is nothing to learn from, and an insult speaks for itself."""
+    if not len(label) or label.min() == label.max():
+        model.weights, model.bias = np.array([4.0 * n.startswith(("insult", "contempt")) for n in model.names]), -3.0
         return model
-    votes = np.zeros((len(rows), voters), bool)
-    k = np.minimum(np.searchsorted(terms, term), len(terms) - 1)
-    hit = terms[k] == term
-    votes[doc[hit], column[k[hit]]] = True
-    votes[:, -len(PATTERNS) :] = np.stack([r[1] for r in rows])
-    q, _, _ = label_model(votes, label, weight)
+    weight = np.array([share[int(y)] for y in label])
+    q, _, _ = label_model(votes, label.astype(np.float64), weight)
     model.weights, model.bias = linear(votes, q, weight)
     return model
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """toxic, text -> toxic, terms (distinct hashes), patterns."""
-    for batch in batches:
-        for at, texts in slices(batch.column(1)):
-            text, h = term_hashes(texts)
-            order = np.lexsort((h, text))
-            text, h = text[order], h[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])]) if len(h) else np.zeros(0, bool)
-            text, h = text[new], h[new]
-            edges = np.searchsorted(text, np.arange(len(texts) + 1))
-            patterns = pattern_votes(texts, np.diff(edges) > 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, len(texts)), pa.array([h[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()), pa.array([p.tobytes() for p in patterns], pa.binary())],
-                ["toxic", "terms", "patterns"],
-            )
-
-
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
@@ -227,11 +213,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         picked = some if picked is None else picked.unionByName(some)
     few = F.broadcast(picked.withColumnRenamed("doc_id", "_picked"))  # at most 2 x sample rows
     joined = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text")).join(few, F.col("_id") == F.col("_picked"))
-    got = joined.select("toxic", "text").mapInArrow(_features, "toxic int, terms binary, patterns binary").collect()
-    got = sorted(got, key=lambda r: (r["toxic"], r["terms"], r["patterns"]))
-    rows = [(np.frombuffer(r["terms"], U), np.frombuffer(r["patterns"], bool), r["toxic"]) for r in got]
-    taken = {y: max(1, sum(r[2] == y for r in rows)) for y in (0, 1)}
-    return fit(rows, {y: max(1.0, counts.get(y, 0) / taken[y]) for y in (0, 1)})
+    texts = staged(joined.select("toxic", "text"), "labelled")
+    taken = {y: 0 for y in (0, 1)} | {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    model = voters_of(mined(texts, taken[1], taken[0]))
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, some in slices(batch.column(1)):
+                packed = np.packbits(model.votes(some), axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), pa.array([v.tobytes() for v in packed], pa.binary())], ["toxic", "votes"])
+
+    got = sorted((r["toxic"], bytes(r["votes"])) for r in texts.mapInArrow(vote, "toxic int, votes binary").collect())  # some 30 bytes a row
+    packed = np.frombuffer(b"".join(v for _, v in got), np.uint8).reshape(len(got), -(-model.voters // 8))
+    votes = np.unpackbits(packed, axis=1, count=model.voters).astype(bool) if got else np.zeros((0, model.voters), bool)
+    return fit(model, votes, np.array([y for y, _ in got]), {y: max(1.0, counts.get(y, 0) / max(taken[y], 1)) for y in (0, 1)})
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -575,6 +575,11 @@ def w2v_text_roundtrip(spark, sf_dir):
     return elements(word2vec.read(spark, path), "vector", ["key"])
 
 
+@query("SELECT count(*) AS n, round(avg(length(vec_id::VARCHAR)), 6) AS chars_per_key, (sum(2 * length(vec_id::VARCHAR)) + sum(4 * len(embedding)))::BIGINT AS memory_bytes FROM embeddings")
+def reader_stats(spark, sf_dir):
+    return word2vec.reader_stats(vectors(spark, sf_dir)).withColumn("chars_per_key", F.round("chars_per_key", 6))
+
+
 @query(ivf_sql(10, "r <= 3"))
 def index_save_load(spark, sf_dir):
     path = _folder(spark, "index")

@@ -52,6 +52,16 @@ def write(vectors: DataFrame, path: str, with_header: bool = False) -> None:
     lines.write.mode("overwrite").text(path)
 
 
+def reader_stats(vectors: DataFrame) -> DataFrame:
+    """One row: how many vectors there are, characters a key, and bytes that keys (two a character) and vectors (four an
+    element) take in memory."""
+    keys = F.col("key").cast("string")
+    return vectors.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.char_length(keys)).alias("chars_per_key"),
+        (F.coalesce(F.sum(2 * F.char_length(keys).cast("long")), F.lit(0)) + F.coalesce(F.sum(4 * F.size("vector").cast("long")), F.lit(0))).alias("memory_bytes"),
+    )
+
+
 def words(spark: SparkSession, path: str | None) -> DataFrame:
     """The lines of a file, or of standard input, as column key."""
     if path:

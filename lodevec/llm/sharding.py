@@ -14,7 +14,6 @@ group moves to the group's nearer end if that costs less than group_slack of a s
 from __future__ import annotations
 
 from bisect import bisect_left
-from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession

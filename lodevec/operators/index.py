@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodevec.operators import knn, pq
-from lodevec.operators.arrays import Best, distances, lists, matrix, nearest, unit
+from lodevec.operators.arrays import Best, distances, lists, matrix, unit
 from lodevec.operators.kmeans import KMeans
 
 METRICS = ("l2", "cosine")
@@ -252,5 +252,3 @@ def residuals(grouped_: DataFrame, coarse: KMeans) -> DataFrame:
     schema = ", ".join("vector array<double>" if n == "vector" else f"`{n}` {t}" for n, t in grouped_.dtypes)
     return grouped_.mapInArrow(run, schema)
 
-
-__all__ = ["FlatPQIndex", "IVFPQIndex", "LimitGroups", "LimitVectors", "grouped", "load", "nearest", "residuals"]

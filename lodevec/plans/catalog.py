@@ -140,7 +140,7 @@ def lookup_missing(spark, sf_dir):
     return wanted.join(has, "key", "left").select(F.col("key").cast("int").alias("key"), F.coalesce("has", F.lit(False)).alias("found"), "label")
 
 
-def knn_sql(v: str, k: int, where: str = "", ask: str = "key < 20", rank: str = "rank <= {k}") -> str:
+def knn_sql(v: str, k: int, where: str = "", ask: str = "key < 20") -> str:
     return f"""WITH {v}, d AS (SELECT q.key AS query_id, x.key AS key, {d2("q.v", "x.v")} AS distance FROM v q, v x WHERE q.{ask} {where}),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), key) AS rank FROM d)
     SELECT query_id, rank::INT AS rank, key, round(distance, 6) AS distance FROM r WHERE rank <= {k}"""
@@ -261,8 +261,8 @@ def kmeans_empty_cluster(spark, sf_dir):
     return centroid_elements(spark, kmeans.iterate(keyed(vectors(spark, sf_dir)), model, 1))
 
 
-def _converged_sql(rounds: int = 40) -> str:
-    """Lloyd's rounds as a recursive query over lists; sums are taken at the end of enough rounds."""
+def _converged_sql(rounds: int) -> str:
+    """More rounds than the small tables need, written out; further ones change nothing."""
     return lloyd_sql(rounds, f"SELECT c::INT AS cluster, count(*) AS n, round(sum(d), 5) AS objective FROM a{rounds} GROUP BY c", "SELECT key AS c, j, x FROM l WHERE key < 3")
 
 

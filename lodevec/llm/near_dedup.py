@@ -41,7 +41,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at, texts in slices(batch.column(2), 1 << 21):
+            for at, texts in slices(batch.column(2)):
                 keys, n, names = of_texts(texts, size=WORDS)
                 k = len(texts)
                 flat = pa.array(keys.view(np.int64).ravel())
@@ -60,7 +60,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         from lodevec.llm.bagminhash import weighted
 
         for batch in batches:
-            for at, texts in slices(batch.column(1), 1 << 21):
+            for at, texts in slices(batch.column(1)):
                 d, h, w = weighted(*shingles(texts, WORDS))
                 item = np.repeat(np.arange(len(d)), w)
                 nth = np.arange(len(item)) - np.repeat(np.cumsum(w) - w, w)

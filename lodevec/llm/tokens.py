@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ OTHER, LETTER, NUMBER, SPACE, EDGE = 0, 1, 2, 3, 4
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Code points handled at once, and words remembered.
-BATCH, REMEMBERED = 1 << 21, 1 << 20
+BATCH, REMEMBERED = 1 << 20, 1 << 19
 PLANE_16, PARTING = "\U00100000", "\U0010ffff"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,7 +73,7 @@ class Ids:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec.get("added_tokens") or []]
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         kept = [b for b in range(256) if chr(b).isprintable() and b not in (32, 0xA0, 0xAD)]
         letters = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(kept))}
         ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in self.special}
@@ -81,6 +81,11 @@ class Ids:
         self.parting = self.core.encode_ordinary(PARTING)
         self.forget()
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        """The library's own, which only texts with a special token's string need."""
+        return Tokenizer.from_file(self.path)
+
     def forget(self) -> None:
         self.known: dict[int, int] = {}
         self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0

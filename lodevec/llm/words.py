@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 U = np.uint64
 BASE = U(0xD1342543DE82EF95)
 #: Bytes handled at once; longer texts are handled alone.
-BATCH = 1 << 22
+BATCH = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ from lodevec.llm.words import U, mix, raw_bytes, slices, words
 
 #: Labelled rows of each domain that the classifier is fitted on, at most; buckets of hashed words.
 SAMPLE, BUCKETS = 3000, 4096
-ROUNDS, TOLERANCE = 60, 1e-6
+ROUNDS, TOLERANCE, IDLE = 60, 1e-6, 3
 # The production targets, shares of all tokens by domain.
 TARGETS = {"low": 0.12, "high": 0.88}
 
@@ -164,7 +164,8 @@ def _rate(history: list[np.ndarray], start: float, least: float) -> Column:
 def rates(members: DataFrame, targets: list[float], least: float = 0.0, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[Column, np.ndarray]:
     """members: _tokens, _p -> the rate of each row as an expression, and the expected totals by domain.
 
-    targets: token totals by domain; least: the lowest rate, zero or more. Ends when all totals are within tolerance of the sum of targets, or after rounds.
+    targets: token totals by domain; least: the lowest rate, zero or more. Ends when all totals are within tolerance of
+    the sum of targets, when IDLE rounds have gained less than a hundredth (no rates meet the targets), or after rounds.
     """
     k = len(targets)
     t = np.array(targets)
@@ -173,7 +174,7 @@ def rates(members: DataFrame, targets: list[float], least: float = 0.0, rounds:
     if not total:
         return F.lit(0.0), np.zeros(k)
     start, history, reached = float(t.sum() / total), [], np.zeros(k)
-    error, pace = np.inf, 1.0
+    error, best, idle, pace = np.inf, np.inf, 0, 1.0
     free = F.when(F.col("rate") > least, F.col("_tokens")).otherwise(0)
     for _ in range(rounds):
         rated = members.select("_tokens", "_p", _rate(history, start, least).alias("rate"))
@@ -182,7 +183,9 @@ def rates(members: DataFrame, targets: list[float], least: float = 0.0, rounds:
         if np.trace(gram) < 1e-6 * total:
             gram = total * np.eye(k)  # every rate is at the least
         last, error = error, float(np.abs(reached - t).max())
-        if error <= tolerance * t.sum():
+        idle = 0 if error < 0.99 * best else idle + 1
+        best = min(best, error)
+        if error <= tolerance * t.sum() or idle >= IDLE:
             break
         pace = min(1.0, pace * 1.5) if error < last else pace / 2
         history.append(pace * np.linalg.inv(gram + 1e-9 * (np.trace(gram) + total) * np.eye(k)) @ (reached - t))

@@ -270,6 +270,33 @@ def test_rates_against_brute_force(spark):
     assert (got >= 0).all() and np.allclose(reached, targets, rtol=0, atol=1e-4 * t.sum()) and np.allclose((got * t) @ p, reached, atol=1e-3 * t.sum())
 
 
+def closest(p, t, targets, least):
+    """Totals of constrained least squares for two domains: what goes beyond the least rates is a nonnegative
+    combination of the two outermost posteriors, so all sets of those are tried."""
+    base, edges = least * (t @ p), p[[p[:, 0].argmin(), p[:, 0].argmax()]]
+    found = [base]
+    for some in ([0], [1], [0, 1]):
+        x = np.linalg.lstsq(edges[some].T, targets - base, rcond=None)[0]
+        if (x >= 0).all():
+            found.append(base + x @ edges[some])
+    return min(found, key=lambda y: np.linalg.norm(y - targets))
+
+
+@pytest.mark.parametrize(("shape", "wanted", "least"), [(0.1, (0.3, 0.7), 1.0), (1, (0.3, 0.7), 1.0), (0.1, (0.12, 0.88), 1.0), (1, (0.12, 0.88), 1.0), (5, (0.02, 0.98), 0.0)])
+def test_rates_are_those_of_least_squares(spark, shape, wanted, least):
+    """As the pipeline mixes (rates of at least one) no rates may meet the targets; the closest totals are reached."""
+    r = np.random.default_rng(0)
+    low = r.beta(shape, 8 * shape, 2000)
+    p, t = np.stack([low, 1 - low], axis=1), r.integers(1, 3000, 2000)
+    members = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(t, p, strict=True)], "_tokens long, _p array<double>").coalesce(1).persist()
+    targets = mixing.targets_for(members, list(wanted))
+    rate, reached = mixing.rates(members, targets, least)
+    got = np.array([x[0] for x in members.select(rate).collect()])
+    best = closest(p, t, np.array(targets), least)
+    assert (got >= least).all() and np.allclose((got * t) @ p, reached, rtol=1e-9)
+    assert np.abs(reached - best).max() <= 1e-4 * sum(targets)
+
+
 def test_mixing_odd(spark, clashing, odd_rows, none):
     labelled = spark.createDataFrame([(4, "high"), (6, "low"), (4, "high"), (99, "low"), (None, "low")], "doc_id long, domain string")
     for given_ in (labelled, labelled.limit(0)):

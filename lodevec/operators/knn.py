@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodevec.functions.vectors import distance_sq, normalize
 from lodevec.operators.arrays import Best, distances, matrix, unit
 
 #: Queries that are sent to the executors together.
@@ -81,3 +82,13 @@ def exact(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", bl
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def rerank(found: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """found: query_id, key (an index's candidates) -> query_id, rank, key, distance: the k best by exact distance.
+
+    Keys of vectors and ids of queries are to be unique."""
+    unit = normalize if metric == "cosine" else lambda v: v
+    pairs = found.select("query_id", "key").join(vectors.select("key", F.col("vector").alias("v")), "key").join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
+    exact = pairs.select("query_id", "key", distance_sq(unit(F.col("v")), unit(F.col("q"))).alias("distance"))
+    return top_k(exact, ["query_id"], k).select("query_id", "rank", "key", "distance")

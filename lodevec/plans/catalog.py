@@ -17,6 +17,7 @@ from lodevec import cli
 from lodevec.functions import vectors as fv
 from lodevec.operators import evaluate, index, kmeans, knn, pq, stats
 from lodevec.operators.rng import sample_rows
+from lodevec.plans.build import build
 from lodevec.sources import word2vec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +51,11 @@ def asked(v: DataFrame, n: int = 20) -> DataFrame:
     return v.where(F.col("key") < n).select(F.col("key").alias("query_id"), "vector")
 
 
+def asked_all_over(v: DataFrame) -> DataFrame:
+    """Every twentieth id, so as many queries as the table's size asks for."""
+    return v.where(F.col("key") % 20 == 0).select(F.col("key").alias("query_id"), "vector")
+
+
 def elements(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.posexplode(column).alias("j", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
 
@@ -162,6 +168,18 @@ def exact_knn_cosine(spark, sf_dir):
     return rounded(knn.exact(asked(v), v, 10, "cosine"))
 
 
+@query(knn_sql(V, 10, ask="key % 20 = 0"))
+def exact_knn_l2_all_over(spark, sf_dir):
+    v = keyed(vectors(spark, sf_dir))
+    return rounded(knn.exact(asked_all_over(v), v, 10))
+
+
+@query(knn_sql(UV, 10, ask="key % 20 = 0"))
+def exact_knn_cosine_all_over(spark, sf_dir):
+    v = keyed(scaled(spark, sf_dir))
+    return rounded(knn.exact(asked_all_over(v), v, 10, "cosine"))
+
+
 @query(knn_sql(V, 5, "AND x.key BETWEEN 100 AND 299"))
 def exact_knn_range(spark, sf_dir):
     v = keyed(vectors(spark, sf_dir))
@@ -494,6 +512,27 @@ def ivf_query_by_key(spark, sf_dir):
     return rounded(partitioned(spark, sf_dir).query_by_key(spark.createDataFrame([(40,), (41,), (-5,)], "key long"), 6))
 
 
+# --- trained indices: production parameters, every twentieth id, candidates ranked again by exact distance
+
+CANDIDATES = 5  # for each neighbour wanted
+
+
+def trained(spark: SparkSession, sf_dir: str, partitioned: bool) -> DataFrame:
+    v = keyed(vectors(spark, sf_dir))
+    queries = asked_all_over(v)
+    return rounded(knn.rerank(build(v, partitioned=partitioned).query(queries, 10 * CANDIDATES), queries, v, 10))
+
+
+@query(None)
+def flat_trained_query(spark, sf_dir):
+    return trained(spark, sf_dir, False)
+
+
+@query(None)
+def ivf_trained_query(spark, sf_dir):
+    return trained(spark, sf_dir, True)
+
+
 # --- evaluation
 
 

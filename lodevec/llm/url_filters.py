@@ -11,6 +11,11 @@ of pages is one row for each host it links to.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +23,11 @@ from lodevec.llm.common import ascii_lower, staged, table, text_or_empty
 
 # The rules of the query.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-DAMPING, STEPS, STEPS_A_TABLE = 0.85, 12, 4
+DAMPING, TOLERANCE, STEPS_A_TABLE = 0.85, 1e-9, 4
+#: Steps after which less than TOLERANCE of the mass still moves, on any graph; no limit, as far hosts take longer.
+STEPS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
+#: Links, and seeds, up to which the driver makes the steps.
+SMALL = 200_000
 #: Weight of the tie to the host above, in links; distrust minus trust above which a host is blocked.
 TIE, MARGIN = 1.0, 0.0
 LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -47,25 +56,50 @@ def links_of(pages: DataFrame) -> DataFrame:
     return far.unionByName(ties).where("src != '' AND dst != '' AND src != dst").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """links: src, dst, n; seeds: kind (trust or distrust), host, seed -> kind, host, rank.
 
     Each kind's seeds sum to one. Trust goes from src to dst, distrust from dst to src; what reaches a host without
-    links on stays there. Written to the shared folder every few steps.
+    links on stays there. A step passes on what the last one added (grown), so ranks only grow. Ends when no rank grew
+    by more than tolerance of itself in a step: from then on none does, and no new host is reached, since its neighbour
+    would have had to be new before. Graphs of at most SMALL links and seeds are gone through on the driver; the ranks of
+    others are written to the shared folder, and looked at, every few steps.
     """
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     edges = staged(both.join(out.hint("merge"), ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("all") * damping).alias("part")), "edges")
     total = seeds.groupBy("kind").agg(F.sum("seed").alias("all"))
     start = staged(seeds.join(F.broadcast(total), "kind").select("kind", "host", (F.col("seed") / F.col("all")).alias("seed")), "seeds")
-    base = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
-    now = start.select("kind", "host", F.col("seed").alias("rank"))
-    for step in range(1, steps + 1):
-        moved = now.join(edges.hint("merge"), ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("part")).alias("rank"))
-        now = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if step % STEPS_A_TABLE == 0 or step == steps:
-            now = staged(now, "ranks")
-    return now
+    if edges.count() <= SMALL and start.count() <= SMALL:
+        return links.sparkSession.createDataFrame(_small(edges.toArrow(), start.toArrow(), damping, tolerance), "kind string, host string, rank double")
+    seed = F.col("seed") * (1 - damping)
+    now = start.select("kind", "host", seed.alias("rank"), seed.alias("grown"))
+    growth = 1.0
+    while growth > tolerance:
+        for _ in range(STEPS_A_TABLE):
+            moved = now.join(edges.hint("merge"), ["kind", "host"]).select("kind", F.col("dst").alias("host"), F.lit(0.0).alias("rank"), (F.col("grown") * F.col("part")).alias("grown"))
+            held = now.select("kind", "host", "rank", F.lit(0.0).alias("grown"))
+            both = moved.unionByName(held).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("grown").alias("grown"))
+            now = both.select("kind", "host", (F.col("rank") + F.col("grown")).alias("rank"), "grown")
+        now = staged(now.where("rank > 0"), "ranks")
+        growth = now.agg(F.max(F.col("grown") / F.col("rank"))).first()[0] or 0.0
+    return now.select("kind", "host", "rank")
+
+
+def _small(edges: pa.Table, start: pa.Table, damping: float, tolerance: float) -> pa.Table:
+    """What propagate() does, on arrays."""
+    at, to, first = (pc.binary_join_element_wise(t["kind"], t[c], " ") for t, c in ((edges, "host"), (edges, "dst"), (start, "host")))
+    nodes = pa.chunked_array([*at.chunks, *to.chunks, *first.chunks], pa.string()).unique()
+    src, dst, seeds = (pc.index_in(x, nodes).to_numpy() for x in (at, to, first))
+    part = edges["part"].to_numpy()
+    grown = np.bincount(seeds, start["seed"].to_numpy() * (1 - damping), len(nodes))
+    rank = grown.copy()
+    while (grown > tolerance * rank).any():
+        grown = np.bincount(dst, grown[src] * part, len(nodes))
+        rank += grown
+    named = [x.split(" ", 1) for x in nodes.to_pylist()]
+    reached = [(k, h, r) for (k, h), r in zip(named, rank.tolist(), strict=True) if r > 0]
+    return pa.table({"kind": pa.array([x[0] for x in reached], pa.string()), "host": pa.array([x[1] for x in reached], pa.string()), "rank": pa.array([x[2] for x in reached], pa.float64())})
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]], margin: float = MARGIN) -> DataFrame:

@@ -161,3 +161,20 @@ def test_links_spread_a_block(spark):
     rows = [(1, "http://bad.example.org/es/1", ""), (2, "http://friend.net/", '<a href="http://bad.example.org/">'), (3, "http://good.example.org/x", '<a href="//liked.net/a">'), (4, "http://liked.net/", ""), (5, "http://alone.net/", "")]
     got = {r["page_id"]: r["verdict"] for r in url_filters.judged(spark.createDataFrame(rows, PAGES), url_filters.RULES).collect()}
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+
+
+def test_a_block_goes_down_a_chain(spark):
+    """Every host of a long chain that links towards a blocked one is blocked, however far off."""
+    rows = [(0, "http://h0.example.org/es/1", "")] + [(i, f"http://h{i}.net/", f'<a href="http://h{i - 1}{".net" if i > 1 else ".example.org"}/">') for i in range(1, 31)]
+    got = {r["page_id"]: r["verdict"] for r in url_filters.judged(spark.createDataFrame(rows, PAGES), url_filters.RULES).collect()}
+    assert got == dict.fromkeys(range(31), "block")
+
+
+def test_large_graphs_get_the_same_ranks(spark, monkeypatch):
+    r = random.Random(2)
+    links = spark.createDataFrame([(f"h{a}", f"h{b}", float(r.randint(1, 4))) for a in range(12) for b in range(12) if a != b and r.random() < 0.25] + [(f"c{i}", f"c{i + 1}", 1.0) for i in range(20)] + [("h0", "c0", 1.0)], "src string, dst string, n double")
+    seeds = spark.createDataFrame([("trust", "h0", 1.0), ("distrust", "h5", 1.0)], "kind string, host string, seed double")
+    small = {(x["kind"], x["host"]): x["rank"] for x in url_filters.propagate(links, seeds).collect()}
+    monkeypatch.setattr(url_filters, "SMALL", 0)
+    large = {(x["kind"], x["host"]): x["rank"] for x in url_filters.propagate(links, seeds).collect()}
+    assert ("trust", "c20") in small and small.keys() == large.keys() and all(abs(small[k] - large[k]) <= 1e-7 * small[k] for k in small)

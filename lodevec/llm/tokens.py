@@ -171,6 +171,11 @@ class Ids:
                 out[i].append(np.asarray(self.whole.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
             for part in _parts(text):
+                if len(part) > 2 * BATCH:  # one word
+                    flush()
+                    size = 0
+                    out[i].append(np.asarray(self.core.encode_ordinary(part), np.uint32))
+                    continue
                 if size + len(part) > BATCH and held:
                     flush()
                     size = 0
@@ -181,22 +186,39 @@ class Ids:
 
 
 def _parts(text: str):
-    """Pieces of about BATCH / 2 code points, cut before single spaces between other characters."""
+    """Pieces of at most BATCH code points, cut before single spaces between other characters, or where there are none
+    for half a piece, where another word begins; a word of more than BATCH code points is a piece of its own."""
     at = 0
     while len(text) - at > BATCH:
         cut = text.find(" ", at + BATCH // 2, at + BATCH)
         while cut > 0 and (text[cut - 1].isspace() or text[cut + 1 : cut + 2].isspace() or cut + 1 >= len(text)):
             cut = text.find(" ", cut + 1, at + BATCH)
         if cut < 0:
-            break
+            cut = _next_word(text, at)
         yield text[at:cut]
         at = cut
-    rest = text[at:] if at else text
-    if len(rest) <= 2 * BATCH:
-        yield rest
-    else:  # no such space in a million characters: an unbroken run, which only the library's own splitting handles
-        raise_at = BATCH
-        yield from (rest[k : k + raise_at] for k in range(0, len(rest), raise_at))
+    if at < len(text) or not text:
+        yield text[at:]
+
+
+def _next_word(text: str, at: int) -> int:
+    """Where the last word begins that surely does in the BATCH code points from at, itself a beginning; if none does,
+    where the next one begins or the text ends."""
+    size = BATCH
+    while True:
+        points = np.frombuffer(text[at : at + size].encode("utf-32-le"), np.uint32)
+        first = np.zeros(len(points), bool)
+        first[0] = True
+        # Where a word begins depends on the three code points after it at most. White space that a piece ends in must not
+        # be of two words, since the last of it is a word of its own only before something else.
+        space = _classes()[points] == SPACE
+        two = np.concatenate([[False, False], space[:-2] & space[1:-1]]) & ~space
+        starts = np.flatnonzero((word_starts(points, first) & ~two)[: len(points) if at + size >= len(text) else -4])[1:]
+        if len(starts):
+            return at + int(starts[-1] if size == BATCH else starts[0])
+        if at + size >= len(text):
+            return len(text)
+        size *= 2
 
 
 @cache

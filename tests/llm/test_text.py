@@ -35,6 +35,31 @@ def test_long_texts_are_cut_where_words_begin(library, monkeypatch):
     assert tokens.Ids(PATH).encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("piece", ["It's\na  line\tof\n\ntext,isn't\u3000it?12'll \n", "日本語の文。中国", "QUJDx9+/a0", "x", "   ", "'s"])
+def test_long_texts_without_lone_spaces(library, monkeypatch, piece):
+    monkeypatch.setattr(tokens, "BATCH", 64)
+    for text in (piece * 60, "a" * 48 + "\n\n" + "b" * 99, piece * 60 + " and then some words with spaces" * 9, "ab cd " * 30 + piece * 200):
+        assert tokens.Ids(PATH).encode(["before", text, "after"])[1].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_texts_of_over_two_batches_without_spaces(library):
+    text = "".join(f"line {i}\n  " if i % 7 == 0 else f"line{i}isn't\n" for i in range(160_000))
+    text = text.replace(" ", "\n")
+    assert len(text) > 1 << 21
+    for some in (text, "a" * ((1 << 21) + 9)):
+        assert tokens.Ids(PATH).encode([some])[0].tolist() == library.encode(some, add_special_tokens=False).ids
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.sampled_from(CHARS[:-1]), min_size=65, max_size=300).map("".join))
+def test_any_long_text_is_cut_where_words_begin(some):
+    """In small pieces as in one."""
+    whole = tokens.ids_for(PATH).encode([some])[0].tolist()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tokens, "BATCH", 16)
+        assert tokens.ids_for(PATH).encode([some])[0].tolist() == whole
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=12), st.sampled_from(["norm", "dot"]), st.sampled_from([(64, None, None), (64, 3, None), (64, None, 1500)]))
 def test_plan_respects_every_capacity(counts, score, caps):

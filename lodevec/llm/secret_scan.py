@@ -3,7 +3,8 @@
 Strong patterns (assign, access, hex) are reported wherever they match. Weak candidates, an account name, a long mixed
 string, an address of a service, mean little alone: they are reported only if a complementary part lies within the same
 scope, found by an interval join of a document's parts on cells as wide as the scope. The join is a semi join, so it
-makes no pairs; what it compares is bounded by how many parts fit into three cells.
+makes no pairs; a part is in each cell it has code points of, so what it compares is bounded by how many parts touch a
+candidate's cells and those next to them.
 
 Positions are in code points. A match's position is the summed length of what split() leaves before it.
 """
@@ -76,19 +77,21 @@ def joined(spans: Column) -> Column:
 
 
 def linked(parts: DataFrame, key: list[str], scope: int = SCOPE) -> DataFrame:
-    """key and weak: the weak candidates that a complementary part, not overlapping them, completes within scope code points."""
+    """key and weak: the weak candidates that a complementary part, not overlapping them, completes with a gap of at most scope
+    code points between the two."""
     weak = [k for k in KINDS if k in COMPLETES]
     some = parts.where(F.size(F.concat(*(F.col(k) for k in weak))) > 0)
     rows = some.select(*key, F.explode(_listed(KINDS)).alias("p")).select(*key, "p.*").distinct()
-    rows = rows.withColumn("cell", F.floor(F.col("start") / scope))
     needs = F.create_map(*(x for k, v in COMPLETES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     roles = F.create_map(*(F.lit(x) for kv in ROLE.items() for x in kv))
     open_ = rows.where(F.col("kind").isin(weak)).withColumn("role", F.explode(needs[F.col("kind")]))
-    open_ = open_.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))).alias("a")
-    with_role = rows.select(*key, "cell", "start", "end", roles[F.col("kind")].alias("role")).alias("b")
+    # In every cell that a part, or a candidate with the scope around it, has code points of.
+    from_, to = F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope)
+    open_ = open_.withColumn("cell", F.explode(F.sequence(from_, to))).alias("a")
+    with_role = rows.select(*key, F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))).alias("cell"), "start", "end", roles[F.col("kind")].alias("role")).alias("b")
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key] + [F.col("a.cell") == F.col("b.cell"), F.col("a.role") == F.col("b.role")]
     apart = (F.col("b.start") >= F.col("a.end")) | (F.col("b.end") <= F.col("a.start"))
-    near = F.abs(F.col("a.start") - F.col("b.start")) <= scope
+    near = F.greatest("a.start", "b.start") - F.least("a.end", "b.end") <= scope
     on += [near, apart]
     done = open_.join(with_role, on, "left_semi").select(*key, "start", "rank", "end", "kind").distinct()
     return done.groupBy(*key).agg(F.collect_list(F.struct("start", "rank", "end", "kind")).alias("weak"))

@@ -187,6 +187,16 @@ def test_weak_candidates_need_a_complement(spark):
     assert found == {0: set(), 1: set(), 2: {"account", "mixed"}, 3: set(), 4: {"mixed", "endpoint"}, 5: set(), 6: {"assign", "endpoint"}}
 
 
+def test_long_parts_complete_what_is_near(spark):
+    """The scope is the gap between the parts, however long these are and whichever comes first."""
+    long, url, user = "token=" + "a" * 900, "https://db.example.com", "user: svc_backup"
+    key = "k9Zq8Lm2" * 120
+    some = [f"{long} {url}", f"{url} {long}", f"{key} {user}", f"{user} {key}", f"{long}{' ' * 400}{url}", f"{long}{' ' * 401}{url}", f"{url}{' ' * 400}{long}", f"{url}{' ' * 401}{long}"]
+    got = scan_texts(spark, some)
+    linked = [{s.split(":")[0] for s in got[i][4].split(",")} & {"endpoint", "account"} for i in range(8)]
+    assert linked == [{"endpoint"}, {"endpoint"}, {"account"}, {"account"}, {"endpoint"}, set(), {"endpoint"}, set()]
+
+
 def test_secrets_odd(spark, clashing, odd_rows, none):
     assert secret_scan.scan(clashing).count() == len(odd_rows) and secret_scan.scan(none).count() == 0
 

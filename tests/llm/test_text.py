@@ -29,35 +29,33 @@ def test_ids_are_the_library_s(library, some):
     assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in some]
 
 
-def test_long_texts_are_cut_where_words_begin(library, monkeypatch):
-    monkeypatch.setattr(tokens, "BATCH", 64)
-    text = "It's a  long\n\n text,  isn't it? " * 30
-    assert tokens.Ids(PATH).encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+@pytest.mark.parametrize("piece", ["It's a  long\n\n text,  isn't it? ", "It's\na  line\tof\n\ntext,isn't\u3000it?12'll \n", "日本語の文。中国", "QUJDx9+/a0", "x", "   ", "'s"])
+def test_long_texts(library, piece):
+    for text in (piece * 60, "a" * 48 + "\n\n" + "b" * 99, piece * 60 + " and then some words with spaces" * 9, "ab cd " * 30 + piece * 200, piece * 40_000):
+        assert tokens.Ids(PATH).encode(["before", text, "after"])[1].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("piece", ["It's\na  line\tof\n\ntext,isn't\u3000it?12'll \n", "日本語の文。中国", "QUJDx9+/a0", "x", "   ", "'s"])
-def test_long_texts_without_lone_spaces(library, monkeypatch, piece):
-    monkeypatch.setattr(tokens, "BATCH", 64)
-    for text in (piece * 60, "a" * 48 + "\n\n" + "b" * 99, piece * 60 + " and then some words with spaces" * 9, "ab cd " * 30 + piece * 200):
-        assert tokens.Ids(PATH).encode(["before", text, "after"])[1].tolist() == library.encode(text, add_special_tokens=False).ids
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
 
 
-def test_texts_of_over_two_batches_without_spaces(library):
+def test_very_long_texts_without_spaces(library):
+    """Blanks in a row beyond what the pattern's stack holds, lines without spaces, one word, words of equal polynomial hash."""
     text = "".join(f"line {i}\n  " if i % 7 == 0 else f"line{i}isn't\n" for i in range(160_000))
     text = text.replace(" ", "\n")
     assert len(text) > 1 << 21
-    for some in (text, "a" * ((1 << 21) + 9)):
-        assert tokens.Ids(PATH).encode([some])[0].tolist() == library.encode(some, add_special_tokens=False).ids
+    word = thue_morse(1024)
+    twins = " ".join([word, word.translate(str.maketrans("ab", "ba")), word])
+    for some in (text, "a" * ((1 << 21) + 9), "ab\n" * 800_000, " " * 1_500_000 + "x", "\u3000" * 400_000 + "\nend", twins):
+        assert tokens.ids_for(PATH).encode([some])[0].tolist() == library.encode(some, add_special_tokens=False).ids
 
 
-@settings(max_examples=120, deadline=None)
-@given(st.lists(st.sampled_from(CHARS[:-1]), min_size=65, max_size=300).map("".join))
-def test_any_long_text_is_cut_where_words_begin(some):
-    """In small pieces as in one."""
-    whole = tokens.ids_for(PATH).encode([some])[0].tolist()
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(tokens, "BATCH", 16)
-        assert tokens.ids_for(PATH).encode([some])[0].tolist() == whole
+def test_every_character(library):
+    """Each code point beside letters, digits, blanks and marks, a thousand to a text."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    some = [" ".join(f"a{c}1{c} {c}.{c}" for c in points[k : k + 1000]) for k in range(0, len(points), 1000)]
+    want = library.encode_batch(some, add_special_tokens=False)
+    assert all(got.tolist() == w.ids for got, w in zip(tokens.ids_for(PATH).encode(some), want, strict=True))
 
 
 @settings(max_examples=80, deadline=None)
@@ -82,6 +80,48 @@ def test_plan_respects_every_capacity(counts, score, caps):
         assert attention is None or len(items) == 1 or sum(n * n for _, n in items) <= attention
 
 
+def one_by_one(counts, caps, weights, score):
+    """Best-fit with a list of bins, an item at a time: what each bin holds."""
+    bins = []
+    for length in sorted(counts, reverse=True):
+        need = (length, 1, length * length)
+        for _ in range(counts[length]):
+            best = None
+            for b in bins:
+                if all(r >= d for r, d in zip(b[0], need, strict=True)):
+                    parts = [(-w * r * d if score == "dot" else w * (r - d) ** 2) / c**2 for w, r, d, c in zip(weights, b[0], need, caps, strict=True)]
+                    if best is None or (sum(parts), b[0]) < best[0]:
+                        best = (sum(parts), b[0]), b
+            if best is None:
+                bins.append((list(caps), []))
+                best = None, bins[-1]
+            best[1][0][:] = [r - d for r, d in zip(best[1][0], need, strict=True)]
+            best[1][1].append(length)
+    return collections.Counter(tuple(b[1]) for b in bins)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 25), max_size=14), st.sampled_from(["norm", "dot"]), st.sampled_from([(64, 64, 4096), (64, 3, 4096), (64, 64, 1500), (64, 5, 3600)]), st.sampled_from([(1.0, 1.0, 1.0), (1.0, 0.25, 0.25), (0.5, 2.0, 1.0)]))
+def test_plan_is_best_fit_item_by_item(counts, score, caps, weights):
+    bins = collections.defaultdict(list)
+    for length, _, n, first, offset in packing.plan(counts, *caps, weights, score):
+        for k in range(n):
+            bins[first + k].append((offset, length))
+    assert collections.Counter(tuple(n for _, n in sorted(items)) for items in bins.values()) == one_by_one(counts, caps, weights, score)
+
+
+def test_plan_of_production_uses_every_limit():
+    """Where they bind, documents and attention cost close bins that have room for more tokens."""
+    bins = collections.defaultdict(list)
+    for length, _, n, first, _ in packing.plan({1: 1000, 10: 50, 500: 20, 1012: 3}):
+        for k in range(n):
+            bins[first + k].append(length)
+    assert max(map(len, bins.values())) == packing.DOCUMENTS and [1012] in bins.values()
+    assert not any(1012 in b and len(b) > 1 for b in bins.values())
+    token_only = packing.plan({1: 1000, 10: 50, 500: 20, 1012: 3}, documents=None, attention=None, weights=(1.0, 0.0, 0.0))
+    assert len(bins) > max(first + n for _, _, n, first, _ in token_only)
+
+
 def check_packing(rows, texts, library):
     """texts: (id, text) of every row."""
     by = collections.defaultdict(list)

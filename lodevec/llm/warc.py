@@ -4,14 +4,18 @@ Archives are .warc.gz files with one gzip member a record (or plain .warc). Both
 systems, so the folder may be on any store that those open.
 
 The reader checks each record: the member's own checksum, the version line, the declared length, the end mark, and block
-and payload digests. After a failed check it searches on, byte by byte from the failure, for the next member (or version
-line, in plain files) that passes all checks, goes on from there, and logs the bytes between as a quarantined gap.
+and payload digests of the algorithms it knows. After a failed check it searches on, byte by byte from the failure, for
+the next member or version line at which all checks pass, also inside what a member holds, goes on from there, and logs
+the bytes between as a quarantined gap. Of a member whose checksum fails nothing is taken, as any of its bytes may be
+wrong; of one that the file's end cuts, the whole records that another one follows and whose digest fits. Nothing that a
+file holds raises an error. A member is held whole, inflated; so is a record.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -32,8 +36,12 @@ VERSION, END, MAGIC = b"WARC/1.1", b"\r\n\r\n", b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:lodevec:page:"
 DATE = "2000-01-01T00:00:00Z"
-#: Bytes of an archive after which the next begins, of a window read at once, of a record's header at most.
-ARCHIVE, WINDOW, HEADER = 256 << 20, 1 << 20, 1 << 20
+#: What a record and a member begin with, as far as the search goes.
+LINE = b"WARC/1."
+#: Digests that can be checked, by name, with their length in bytes.
+ALGORITHMS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
+#: Bytes of an archive after which the next begins, of a window read at once.
+ARCHIVE, WINDOW = 256 << 20, 1 << 20
 #: A payload with more than this share of the rows is joined by broadcast; there are fewer than 1 / HEAVY.
 HEAVY = 1 / 1000
 
@@ -77,17 +85,28 @@ class Damaged(Exception):
     pass
 
 
+def _number(text: str | bytes | None) -> int | None:
+    """A decimal number of at most 18 digits, so that it fits into 64 bits."""
+    text = text.decode("latin-1") if isinstance(text, bytes) else text or ""
+    return int(text) if re.fullmatch("-?[0-9]{1,18}", text) else None
+
+
 def _page(value: str | None) -> int | None:
-    m = re.fullmatch(rf"<{URN}(-?\d+)>", value or "")
-    return int(m[1]) if m else None
+    """The page of a record id that this module wrote; null for any other id."""
+    m = re.fullmatch(rf"<{URN}(-?[0-9]{{1,19}})>", value or "")
+    return int(m[1]) if m and -(1 << 63) <= int(m[1]) < 1 << 63 else None
 
 
 def _header(head: bytes) -> dict[str, str]:
+    """Fields by lower-case name; a line that begins with a blank goes on with the one before."""
     lines = head.split(b"\r\n")
     if not re.fullmatch(rb"WARC/1\.[01]", lines[0]):
         raise Damaged("no version line")
-    out = {}
+    out, key = {}, None
     for line in lines[1:]:
+        if line[:1] in (b" ", b"\t") and key is not None:
+            out[key] = f"{out[key]} {line.decode('utf-8', 'replace').strip()}"
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("a header line without a colon")
@@ -95,14 +114,28 @@ def _header(head: bytes) -> dict[str, str]:
         if key in out and key != "warc-concurrent-to":
             raise Damaged("a repeated field")
         out[key] = value.decode("utf-8", "replace").strip()
-    if not out.get("content-length", "").isdigit():
+    if (_number(out.get("content-length")) or 0) < 0 or _number(out.get("content-length")) is None:
         raise Damaged("no length")
     return out
 
 
+def _fits(said: str | None, data: bytes) -> bool | None:
+    """Whether data has the digest; null if none is given, or none of a known algorithm in base32 or hexadecimal."""
+    name, _, value = (said or "").partition(":")
+    size = ALGORITHMS.get(name.lower())
+    if size is None:
+        return None
+    own = hashlib.new(name.lower(), data).digest()
+    if len(value) == 2 * size:
+        return value.lower() == own.hex()
+    if len(value.rstrip("=")) == -(-8 * size // 5):
+        return value.rstrip("=").upper() == base64.b32encode(own).decode().rstrip("=")
+    return None
+
+
 def _checked(h: dict[str, str], block: bytes) -> Record | None:
     """The record of a header and its block, if their digests fit; None for types other than response and revisit."""
-    if (d := h.get("warc-block-digest")) and d.removeprefix("sha1:") != digest32(block):
+    if _fits(h.get("warc-block-digest"), block) is False:
         raise Damaged("block digest")
     kind = h.get("warc-type", "")
     if kind not in ("response", "revisit"):
@@ -111,13 +144,38 @@ def _checked(h: dict[str, str], block: bytes) -> Record | None:
     if not mark:
         raise Damaged("no end of the HTTP header")
     url = unquote(h["warc-target-uri"]) if "warc-target-uri" in h else None
-    said = h.get("warc-payload-digest", "").removeprefix("sha1:")
+    said = h.get("warc-payload-digest", "")
     if kind == "response":
-        if said and said != digest32(payload):
+        if _fits(said, payload) is False:
             raise Damaged("payload digest")
         return Record(kind, _page(h.get("warc-record-id")), url, None, payload, len(payload), digest32(payload))
-    m = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", head.replace(b"\r\n", b"\n"))
-    return Record(kind, _page(h.get("warc-record-id")), url, _page(h.get("warc-refers-to")), None, int(m[1]) if m else 0, said)
+    m = re.search(rb"(?im)^content-length:[ \t]*([0-9]{1,18})[ \t]*$", head.replace(b"\r\n", b"\n"))
+    return Record(kind, _page(h.get("warc-record-id")), url, _page(h.get("warc-refers-to")), None, int(m[1]) if m else 0, said.removeprefix("sha1:"))
+
+
+class Source:
+    """Bytes of a seekable file, by position, through one window that is kept."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size = file, size
+        self.begin, self.held = 0, b""
+
+    def __call__(self, pos: int, n: int) -> bytes:
+        """Up to n bytes from pos; fewer only where the file ends."""
+        n = min(n, max(0, self.size - pos))
+        if not self.begin <= pos <= pos + n <= self.begin + len(self.held):
+            self.file.seek(pos)
+            self.begin, self.held = pos, self.file.read(min(max(n, WINDOW), self.size - pos))
+        return self.held[pos - self.begin : pos - self.begin + n]
+
+    def find(self, mark: bytes, pos: int) -> int:
+        """Where mark next begins at or after pos; the size if nowhere."""
+        while pos < self.size:
+            some = self(pos, WINDOW)
+            if (k := some.find(mark)) >= 0:
+                return pos + k
+            pos += max(1, len(some) - len(mark) + 1)
+        return self.size
 
 
 @dataclass
@@ -128,87 +186,85 @@ class Salvage:
     size: int
     gaps: list[Gap] = field(default_factory=list)
 
-    def _at(self, pos: int, n: int) -> bytes:
-        self.file.seek(pos)
-        return self.file.read(min(n, max(0, self.size - pos)))
-
-    def _member(self, pos: int) -> tuple[bytes, int]:
-        """The content of the gzip member at pos, and where it ends."""
-        if self._at(pos, 3) != MAGIC:
-            raise Damaged("no member")
+    def _member(self, source: Source, pos: int) -> tuple[bytes, int, bool]:
+        """What the gzip member at pos holds, where it ends, and whether it is whole; cut only by the file's end."""
         inflate, out, at = zlib.decompressobj(31), [], pos
         while not inflate.eof:
-            some = self._at(at, WINDOW)
+            some = source(at, WINDOW)
             if not some:
-                raise Damaged("a cut member")
+                return b"".join(out), at, False
             try:
                 out.append(inflate.decompress(some))
             except zlib.error as e:
                 raise Damaged(f"member: {e}") from None
             at += len(some)
-        return b"".join(out), at - len(inflate.unused_data)
-
-    def _in_member(self, data: bytes) -> list[Record]:
-        found, pos = [], 0
-        while pos < len(data):
-            cut = data.find(END, pos)
-            if cut < 0:
-                raise Damaged("no end of the header")
-            h = _header(data[pos:cut])
-            begin = cut + 4
-            end = begin + int(h["content-length"])
-            if data[end : end + 4] != END:
-                raise Damaged("length")
-            if (r := _checked(h, data[begin:end])) is not None:
-                found.append(r)
-            pos = end + 4
-        return found
-
-    def _plain(self, pos: int) -> tuple[list[Record], int]:
-        head = self._at(pos, 1 << 12)
-        if END not in head:
-            head = self._at(pos, HEADER)
-        cut = head.find(END)
-        if cut < 0:
+        return b"".join(out), at - len(inflate.unused_data), True
+
+    def _record(self, source: Source, pos: int) -> tuple[Record | None, int, bool | None]:
+        """The record whose version line is at pos, where it ends, and whether it has a block digest that fits."""
+        if source(pos, len(LINE)) != LINE:
+            raise Damaged("no version line")
+        cut = source.find(END, pos)
+        if cut >= source.size:
             raise Damaged("no end of the header")
-        h = _header(head[:cut])
-        n, begin = int(h["content-length"]), pos + cut + 4
-        if begin + n + 4 > self.size or self._at(begin + n, 4) != END:
+        h = _header(source(pos, cut - pos))
+        n, begin = _number(h["content-length"]), cut + len(END)
+        if begin + n + len(END) > source.size or source(begin + n, len(END)) != END:
             raise Damaged("length")
-        r = _checked(h, self._at(begin, n))
-        return [r] if r is not None else [], begin + n + 4
-
-    def _next(self, pos: int, mark: bytes) -> int:
-        """Where mark next begins at or after pos; the size if nowhere."""
-        while pos < self.size:
-            some = self._at(pos, WINDOW)
-            k = some.find(mark)
-            if k >= 0:
-                return pos + k
-            if pos + len(some) >= self.size:
-                break
-            pos += len(some) - len(mark) + 1
-        return self.size
+        block = source(begin, n)
+        return _checked(h, block), begin + n + len(END), _fits(h.get("warc-block-digest"), block)
+
+    def _inside(self, data: bytes, whole: bool) -> tuple[list[Record], list[str]]:
+        """The records of what a member holds, and what was wrong between them."""
+        source, pos, found, wrong, lost, reason = Source(io.BytesIO(data), len(data)), 0, [], [], None, ""
+        if not data and not whole:
+            wrong.append("a cut member")
+        while pos < len(data):
+            try:
+                r, end, sure = self._record(source, pos)
+                if not whole and not (sure and data.startswith(LINE, end)):
+                    raise Damaged("a cut member")
+            except Damaged as e:
+                if lost is None:
+                    lost, reason = pos, str(e)
+                pos = source.find(LINE, pos + 1)
+                continue
+            if lost is not None:
+                wrong.append(f"{reason}, bytes {lost} to {pos} of the member")
+                lost = None
+            if r is not None:
+                found.append(r)
+            pos = end
+        if lost is not None:
+            wrong.append(f"{reason}, bytes {lost} to {pos} of the member")
+        return found, wrong
 
     def records(self) -> Iterator[Record]:
         """Each record that passes all checks, in order."""
-        zipped = self._at(0, 2) == MAGIC[:2] or (self._at(0, 5) != b"WARC/" and self._next(0, MAGIC) < self._next(0, b"WARC/1."))
-        pos, lost, reason = 0, None, ""
+        source = Source(self.file, self.size)
+        zipped = source(0, 2) == MAGIC[:2] or (source(0, 5) != LINE[:5] and source.find(MAGIC, 0) < source.find(LINE, 0))
+        pos, lost, reason, next_line = 0, None, "", -1
         while pos < self.size:
             try:
-                if zipped:
-                    data, end = self._member(pos)
-                    found = self._in_member(data)
+                if source(pos, len(MAGIC)) == MAGIC and zipped:
+                    data, end, whole = self._member(source, pos)
+                    found, wrong = self._inside(data, whole)
+                    if not found and wrong:
+                        raise Damaged(wrong[0])
                 else:
-                    found, end = self._plain(pos)
+                    record, end, _ = self._record(source, pos)
+                    found, wrong = [record] * (record is not None), []
             except Damaged as e:
                 if lost is None:
                     lost, reason = pos, str(e)
-                pos = self._next(pos + 1, MAGIC if zipped else b"WARC/1.")
+                if next_line <= pos:
+                    next_line = source.find(LINE, pos + 1)
+                pos = min(source.find(MAGIC, pos + 1), next_line) if zipped else next_line
                 continue
             if lost is not None:
                 self.gaps.append(Gap(lost, pos, reason))
                 lost = None
+            self.gaps += [Gap(pos, end, w) for w in wrong]
             yield from found
             pos = end
         if lost is not None:
@@ -298,10 +354,14 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> Da
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null urls have no target; a page whose record was lost to damage would be missing here (none are)."""
+    """Null urls have no target. Every record written is to come back: a lost one, or a gap, is an error."""
     folder = scratch(spark, "warc")
     archives = write_archives(table(spark, sf_dir, "pages"), folder)
-    back = read_archives(archives, folder, payloads=False).where("record_type IS NOT NULL")
+    back = staged(read_archives(archives, folder, payloads=False).drop("payload", "url"), "records")
+    written = archives.agg(F.sum("records")).first()[0] or 0
+    read, gaps = back.agg(F.count("record_type"), F.count("gap_begin")).first()
+    if (read, gaps) != (written, 0):
+        raise RuntimeError(f"{read} of {written} records were read back, with {gaps} gaps")
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

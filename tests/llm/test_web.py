@@ -103,6 +103,89 @@ def test_salvage_of_junk():
         assert ids == [] and [(g.begin, g.end) for g in gaps] == ([(0, len(data))] if data else [])
 
 
+def gzipped(data):
+    d = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return d.compress(data) + d.flush()
+
+
+def test_salvage_goes_on_inside_a_member():
+    """Three records in one member, the middle one damaged before it was compressed; then a member that the end cuts."""
+    parts = archive(8, False)
+    hurt = bytearray(parts[1])
+    hurt[-6] ^= 0xFF
+    first = gzipped(parts[0] + bytes(hurt) + parts[2])
+    ids, gaps = read(first + gzipped(parts[3]))
+    assert ids == [0, 2, 3] and [(g.begin, g.end) for g in gaps] == [(0, len(first))] and "block digest" in gaps[0].reason
+    noise = random.Random(1).randbytes(5000)
+    last = gzipped(b"".join(parts[4:7]) + warc.record(7, None, noise, None, False))
+    ids, gaps = read(gzipped(parts[3]) + last[:-2000])
+    assert ids == [3, 4, 5] or ids == [3, 4, 5, 6]
+    assert gaps[-1].end == len(gzipped(parts[3])) + len(last) - 2000
+
+
+def test_plain_and_zipped_records_in_one_file():
+    parts = archive(4, False)
+    ids, gaps = read(gzipped(parts[0]) + b"junk" + parts[1] + gzipped(parts[2]) + parts[3])
+    assert ids == [0, 1, 2, 3] and [(g.begin, g.end) for g in gaps] == [(len(gzipped(parts[0])), len(gzipped(parts[0])) + 4)]
+
+
+@pytest.mark.parametrize("length", ["²", "9" * 5000, "-1", "", "1" * 18, "0x10", "+5"])
+def test_odd_lengths_are_damage(length):
+    parts = archive(3, False)
+    odd = re.sub(rb"(?<=\r\nContent-Length: )\d+(?=\r\n\r\nHTTP)", lambda _: length.encode(), parts[1])
+    assert read(parts[0] + odd + parts[2])[0] == [0, 2]
+    assert read(gzipped(parts[0] + odd + parts[2]))[0] == [0, 2]
+
+
+def test_odd_headers(spark, tmp_path):
+    """Ids beyond 64 bits, other digests, folded lines and very long urls are no damage."""
+    far = warc.record(10**25, "http://far", b"x", None, False)
+    long = warc.record(1, "http://h/" + "u" * 2_000_000, b"y", None, False)
+    sha256 = re.sub(rb"WARC-Payload-Digest: \S+", b"WARC-Payload-Digest: sha256:" + hashlib.sha256(b"z").hexdigest().encode(), warc.record(2, None, b"z", None, False))
+    wrong = sha256.replace(b"sha256:" + hashlib.sha256(b"z").hexdigest()[:4].encode(), b"sha256:0000")
+    unknown = re.sub(rb"WARC-Payload-Digest: \S+", b"WARC-Payload-Digest: xyz:1", warc.record(3, None, b"z", None, False))
+    folded = warc.record(4, "http://f", b"z", None, False).replace(b"WARC-Date: ", b"X-Note: a\r\n  b\r\nWARC-Date: ")
+    (tmp_path / "a.warc").write_bytes(far + long + sha256 + unknown + folded)
+    archives = spark.createDataFrame([(str(tmp_path / "a.warc"),)], "path string")
+    got = warc.read_archives(archives, f"file://{tmp_path}").collect()
+    assert [(r["page_id"], r["record_type"]) for r in got] == [(None, "response"), *((i, "response") for i in (1, 2, 3, 4))]
+    assert len(got[1]["url"]) == 2_000_009
+    assert read(far + wrong + long)[0] == [None, 1]
+
+
+@pytest.mark.parametrize("kind", ["plain", "zipped", "one member"])
+def test_salvage_of_any_damage(kind):
+    """Whatever bytes are changed, cut out or put in: no error, untouched records and members come back, no payload comes
+    back changed, and what is lost shows as a gap."""
+    r = random.Random(5)
+    parts = archive(12, kind == "zipped", 3)
+    if kind == "one member":
+        parts = [gzipped(b"".join(archive(12, False, 3)[k : k + 3])) for k in range(0, 12, 3)]
+    known = {x.page_id: x for x in warc.Salvage(io.BytesIO(b"".join(parts)), sum(map(len, parts))).records()}
+    each = len(known) // len(parts)
+    for _ in range(300):
+        hurt, some = set(), list(parts)
+        for k in r.sample(range(len(parts)), r.randint(1, 4)):
+            data, at = bytearray(some[k]), r.randrange(len(some[k]))
+            how = r.randrange(4)
+            if how == 0:
+                data[at] ^= 1 << r.randrange(8)
+            elif how == 1:
+                del data[at : at + r.randint(1, 40)]
+            elif how == 2:
+                data[at:at] = r.choice([b"\x1f\x8b\x08", b"WARC/1.1\r\n", b"\r\n\r\n", r.randbytes(20)])
+            else:
+                data[at : at + 8] = r.randbytes(8)
+            some[k], hurt = bytes(data), hurt | {k}
+        whole = b"".join(some)
+        salvage = warc.Salvage(io.BytesIO(whole), len(whole))
+        got = {(x.page_id, x.payload) for x in salvage.records()}
+        assert {(i, x.payload) for i, x in known.items() if i // each not in hurt} <= got
+        assert {payload for _, payload in got} <= {x.payload for x in known.values()}
+        assert all(0 <= g.begin < g.end <= len(whole) for g in salvage.gaps)
+        assert salvage.gaps or len(got) == len(known) or kind == "plain"  # nothing there guards a header's letters
+
+
 def parsed(url):
     if not url or "://" not in url:
         return "", ""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_made: list[str] = []
+_made: list[tuple[SparkSession, str]] = []
+#: A key with more than this share of the rows is handled by broadcast; there are fewer than 1 / HEAVY such keys.
+HEAVY = 1 / 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,19 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or where that is unset (tests) one that is set here."""
+    """The folder all executors see: spark.checkpoint.dir. Where that is unset, one is made on this machine, which only a
+    local master can share with its executors; for any other it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodevec-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-        _made.append(root)
+        _made.append((spark, root))
     return root.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; paths on a local file system go when the driver's process ends."""
+    """A new path in the shared folder, which goes when the driver's process ends."""
     path = f"{shared_dir(spark)}/lodevec/{name}-{uuid.uuid4().hex[:12]}"
-    _made.append(path)
+    _made.append((spark, path))
     return path
 
 
@@ -44,11 +50,33 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hadoop(spark: SparkSession, path: str):
+    """Spark's own file system for a path, and the path in its terms: works on any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    store, at = hadoop(spark, path)
+    return sorted(x.getPath().getName() for x in store.listStatus(at)) if store.exists(at) else []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    store, at = hadoop(spark, path)
+    store.delete(at, True)
+
+
 @atexit.register
 def _clean() -> None:
-    for path in _made:
-        if path.startswith("file:/") or path.startswith("/"):
+    for spark, path in _made:
+        if path.startswith(("file:/", "/")):
             shutil.rmtree(local(path), ignore_errors=True)
+            continue
+        try:
+            removed(spark, path)
+        except Exception:  # Spark has ended, or the store can't be reached
+            return
 
 
 def local(path: str) -> str:
@@ -70,3 +98,32 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in used:
         name += "_"
     return name
+
+
+def one_of_each(docs: DataFrame, keys: dict[str, Column], winners: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs' rows with a key among winners', one row of each key, with docs' own columns.
+
+    keys: expressions over docs, of which some may be null, by the names they have in winners (keys that stay, each once)
+    and rows (every row's key). Whole rows are shuffled once, by their key. A key of more than HEAVY of the rows, that is
+    one row repeated, is not: its rows are reduced within tasks first.
+    """
+    names = {k: free_name(docs, k) for k in keys}
+    nulls = {k: free_name(docs, f"no_{k}") for k in keys}
+
+    def marked(df: DataFrame, of: dict[str, Column]) -> DataFrame:
+        """With keys that are never null, so that join and aggregation want the same partitioning."""
+        kinds = dict(rows.dtypes)
+        zero = {k: F.lit(0).cast(kinds[k]) if kinds[k] != "binary" else F.lit(b"") for k in of}
+        return df.withColumns({names[k]: F.coalesce(c, zero[k]) for k, c in of.items()} | {nulls[k]: c.isNull() for k, c in of.items()})
+
+    on = [*names.values(), *nulls.values()]
+    own = {k: F.col(k) for k in keys}
+    known, every, whole = marked(winners, own).select(*on), marked(rows, own).select(*on), marked(docs, keys)
+    many = every.groupBy(*on).agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > rows.count() * HEAVY).select(*on)
+    hot = staged(many.join(known.hint("merge"), on, "left_semi"), "hot-keys")
+    out = whole.join(known.hint("merge"), on, "left_semi")
+    if not hot.head(1):
+        return out.dropDuplicates(on).select(*docs.columns)
+    few = F.broadcast(hot)  # fewer than 1 / HEAVY
+    cold = whole.join(few, on, "left_anti").join(known.hint("merge"), on, "left_semi").dropDuplicates(on)
+    return cold.unionByName(whole.join(few, on, "left_semi").dropDuplicates(on)).select(*docs.columns)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodevec.llm import bagminhash, exact_dedup, graph, near_dedup, queries
-from lodevec.llm.common import LOWER, UPPER, scratch
+from lodevec.llm.common import LOWER, UPPER, scratch, staged
 from lodevec.llm.words import shingles
 
 
@@ -49,9 +49,55 @@ def test_index_persists_and_grows(spark, tmp_path):
     again = exact_dedup.DigestIndex(spark, path, 4)
     two = exact_dedup.deduplicate(again, new((0, "B"), (9, "a"), (5, "c")), "two").collect()
     assert [r["doc_id"] for r in two] == [5]
-    plan = new((1, "q")).select(exact_dedup.digest(F.col("text")).alias("digest")).join(again.rows().hint("merge"), "digest", "left_anti")
-    said = plan._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in said and "Bucketed: true" in said
+    assert {(r["batch"], bytes(r["digest"]).hex()[:6]) for r in again.rows().collect()} == {(b, hashlib.sha256(t).hexdigest()[:6]) for b, t in (("one", b"a"), ("one", b"b"), ("two", b"c"))}
+    again.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
+
+
+def test_indexed_data_are_neither_sorted_nor_shuffled(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, "file://" + str(tmp_path / "index"))
+    rows = lambda a, b: spark.range(a, b).select(F.col("id"), F.col("id").alias("row"), exact_dedup.digest(F.col("id").cast("string")).alias("digest"))
+    for k in range(3):
+        index.append(rows(k * 100, k * 100 + 150), f"b{k}")
+    groups = staged(rows(0, 400).groupBy("digest").agg(F.count(F.lit(1)).alias("many")), "g")
+    looked = index.lookup(groups)
+    plan = looked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Bucketed: true") == 3
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1  # of what is looked up, once for all segments
+    assert looked.where("found IS NULL").count() == 50
+    index.drop()
+
+
+def test_segments_merge(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST", 2)
+    index = exact_dedup.DigestIndex(spark, "file://" + str(tmp_path / "index"))
+    new = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    for k in range(4):
+        out = exact_dedup.deduplicate(index, new((k, f"t{k}"), (9, "t0"), (k + 10, f"T{k}")), f"b{k}").collect()
+        assert sorted(r["doc_id"] for r in out) == ([10] if k == 0 else [k + 10])
+    assert len(index.segments()) == 2 and index.rows().count() == 4
+    # A segment that was never marked as written does not count.
+    (tmp_path / "index" / "segment-99-99-8").mkdir()
+    assert len(index.segments()) == 2
+    index.drop()
+
+
+def test_repeated_rows_and_hot_texts_of_any_batch(spark, tmp_path):
+    """A third of the rows is one row repeated, a third one text with many ids; so it is in the next batch."""
+    rows = [(7, "Same row", "x")] * 3000 + [(i, "one TEXT" if i % 2 else "One text", "y") for i in range(100, 3100)] + [(i, f"text {i}", "z") for i in range(5000, 8000)] + [(None, "No id", "n")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    index = exact_dedup.DigestIndex(spark, "file://" + str(tmp_path / "index"))
+    out = exact_dedup.deduplicate(index, docs, "one").collect()
+    assert collections.Counter(r["lang"] for r in out) == {"x": 1, "y": 1, "z": 3000, "n": 1}
+    assert {r["doc_id"] for r in out if r["lang"] == "y"} == {3099}
+    out = exact_dedup.verdicts(index, docs.unionByName(spark.createDataFrame([(1, "new", "w")], docs.schema)), "two")
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert len(joins) == 3
+    got = out.collect()
+    assert [r["id"] for r in got if r["kept"]] == [1] and len(got) == 9051
+    assert {r["keep_id"] for r in got if r["group_size"] == 3000} == {7, 3099}
+    out = exact_dedup.deduplicate(index, docs, "three")
+    assert out.count() == 0
 
 
 def test_exact_keeps_columns(spark, clashing, odd_rows, none):

@@ -37,8 +37,8 @@ def domain_of_labels() -> Column:
 
 def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket, weight) of hashed words by square root of their share, shares of kinds of characters; words."""
-    hashes, begin, end, first, data = words(texts)
-    n = np.diff(first)
+    found = words(texts)
+    hashes, n = found.hashes, np.diff(found.first)
     text = np.repeat(np.arange(len(texts)), n)
     key = text * BUCKETS + (hashes >> U(52)).astype(np.int64) % BUCKETS
     code, count = np.unique(key, return_counts=True)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodevec.llm.common import staged, table, text_or_empty
-from lodevec.llm.words import U, mix, powers, raw_bytes, slices, words
+from lodevec.llm.words import U, mix, raw_bytes, slices, words
 
 #: Labelled rows of each class that the model is fitted on, at most; mined terms kept; least likelihood ratio of a term.
 SAMPLE, TERMS, EVIDENCE = 6000, 192, 15.0
@@ -44,21 +44,18 @@ PATTERNS = ["exclaims", "shouts", "symbols", "no_words"]
 
 
 def _word_hash(word: str) -> int:
-    return int(words(pa.array([word]))[0][0])
+    return int(words(pa.array([word])).hashes[0])
 
 
 def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text, 64-bit hash) of every word and of every word's beginnings."""
-    hashes, begin, end, first, data = words(texts)
-    text = np.repeat(np.arange(len(texts)), np.diff(first))
-    found = [(text, hashes)]
-    power, inverse = powers(len(data))
-    value = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-    sums = np.concatenate([[U(0)], np.cumsum(value[data] * power[: len(data)])])
+    w = words(texts)
+    text = np.repeat(np.arange(len(texts)), np.diff(w.first))
+    found = [(text, w.hashes)]
     for n in BEGINNINGS:
-        has = end - begin > n
-        b = begin[has]
-        found.append((text[has], mix((sums[b + n] - sums[b]) * inverse[b] + U(n))))
+        has = w.end - w.begin > n
+        b = w.begin[has]
+        found.append((text[has], mix(w.sums[b + n] - w.sums[b] + U(n))))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 

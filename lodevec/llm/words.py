@@ -1,12 +1,14 @@
 """Words and word shingles of whole batches of texts, as arrays of hashes.
 
-A word is a run of ASCII letters and digits and of any characters beyond ASCII, lower-cased. A word's hash is a
-polynomial of its bytes modulo 2^64, mixed; a shingle's is one of its words' hashes.
+A word is a run of ASCII letters and digits and of any characters beyond ASCII, lower-cased. Its hash adds up a random
+number for each byte and place (tabulation, which no two words can be made to share as with a polynomial), mixes that, and
+adds up what the pieces of PIECE bytes give; a shingle's is one of its words' hashes in order.
 """
 
 from __future__ import annotations
 
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,8 @@ import pyarrow.compute as pc
 
 U = np.uint64
 BASE = U(0xD1342543DE82EF95)
-#: Bytes handled at once; longer texts are handled alone.
-BATCH = 1 << 20
+#: Bytes handled at once; longer texts are handled alone. Places of a word that have random numbers of their own.
+BATCH, PIECE = 1 << 20, 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,22 +32,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Whether a byte is part of words; the number of each byte (column) at each place (row)."""
     part_of_word = np.zeros(256, bool)
     part_of_word[128:] = True
     for a, b in ((48, 58), (65, 91), (97, 123)):
         part_of_word[a:b] = True
-    return part_of_word, mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-
-
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = U(pow(int(BASE), -1, 1 << 64))
-    with np.errstate(over="ignore"):
-        return tuple(np.multiply.accumulate(np.concatenate([[U(1)], np.full(n, b, U)])) for b in (BASE, inverse))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(2 * BATCH, 1 << n.bit_length()))
+    return part_of_word, mix(mix(np.arange(1, 256 * PIECE + 1, dtype=U) * U(0x9E3779B97F4A7C15)) + BASE)
 
 
 def slices(texts: pa.Array, size: int = BATCH):
@@ -68,10 +60,22 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, ends - ends[0]
 
 
-def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte, end byte of each word; for each text and the end, its first word; the bytes."""
+class Words(NamedTuple):
+    """hashes, begin, end: of each word, its hash, first byte and end byte; first: for each text and the end, its first
+    word; data: the bytes; sums: running sums of the bytes' numbers, so that the first PIECE bytes of a word from b on add up
+    to sums[b + n] - sums[b]."""
+
+    hashes: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    data: np.ndarray
+    sums: np.ndarray
+
+
+def words(texts: pa.Array, lower: bool = True) -> Words:
     data, edges = raw_bytes(pc.utf8_lower(texts) if lower else texts)
-    part, values = _tables()
+    part, numbers = _tables()
     inside = part[data]
     before = np.concatenate([[False], inside[:-1]])
     starts = edges[:-1][edges[:-1] < edges[1:]]
@@ -80,15 +84,27 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     after = np.concatenate([inside[1:], [False]])
     after[starts[1:] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
-    power, inverse = powers(len(data))
-    sums = np.concatenate([[U(0)], np.cumsum(values[data] * power[: len(data)])])
-    hashes = mix((sums[end] - sums[begin]) * inverse[begin])
-    return hashes, begin, end, np.searchsorted(begin, edges), data
+    # From a word's beginning to the next one's, places count up; what lies between words is added up but never used.
+    place = np.arange(len(data), dtype=np.int64)
+    if len(begin):
+        place[begin[0] :] -= np.repeat(begin, np.diff(np.append(begin, len(data))))
+    sums = np.concatenate([[U(0)], np.cumsum(numbers[(place % PIECE) << 8 | data])])
+    hashes = mix(sums[end] - sums[begin])
+    long = np.flatnonzero(end - begin > PIECE)
+    if len(long):
+        many = -(-(end - begin)[long] // PIECE)
+        at = np.cumsum(many) - many
+        nth = np.arange(many.sum()) - np.repeat(at, many)
+        from_ = np.repeat(begin[long], many) + nth * PIECE
+        to = np.minimum(from_ + PIECE, np.repeat(end[long], many))
+        hashes[long] = mix(np.add.reduceat(mix(sums[to] - sums[from_] + (nth.astype(U) + U(1)) * BASE), at))
+    return Words(hashes, begin, end, np.searchsorted(begin, edges), data, sums)
 
 
 def shingles(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of each run of size words, in order. A text with fewer words is one shingle of all of them."""
-    hashes, _, _, first, _ = words(texts)
+    found = words(texts)
+    hashes, first = found.hashes, found.first
     count = np.diff(first)
     at = np.flatnonzero(np.arange(len(hashes)) + size <= np.repeat(first[1:], count))
     long = np.zeros(len(at), U)

@@ -142,6 +142,45 @@ def test_near_equals_brute_force(spark, sf_dir, texts):
     assert {frozenset(v) for v in by.values()} == classes_of({i: bag(t) for i, t in texts.items()})
     assert all(min(v) == k for k, v in by.items()) and sum(r["kept"] for r in got) == len(by)
     assert all(r["class_size"] == len(by[r["class_id"]]) for r in got)
+    bags = {i: bag(t) for i, t in texts.items()}
+    check_links(got, bags, {r["doc_id"]: r for r in got})
+
+
+def check_links(rows, bags, by):
+    """Every text of a class of different texts has a link, and its similarity is what it says."""
+    for r in rows:
+        i = r["doc_id"] if "doc_id" in r else r["id"]
+        alone = all(bags[j] == bags[i] for j, x in by.items() if x["class_id"] == r["class_id"])
+        assert (r["links"] == 0) == alone == (r["linked_id"] is None) == (r["similarity"] is None)
+        if not alone:
+            assert by[r["linked_id"]]["class_id"] == r["class_id"] and bags[r["linked_id"]] != bags[i]
+            assert r["similarity"] >= 0.8 and abs(r["similarity"] - jaccard(bags[i], bags[r["linked_id"]])) < 1e-9
+
+
+def test_long_words_that_a_polynomial_cannot_tell_apart(spark):
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{a} two three four five"), (2, f"{b} two three four five"), (3, a), (4, b), (5, a)]
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["id"]: r["class_id"] for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
+def test_forest():
+    r = np.random.default_rng(2)
+    for _ in range(30):
+        near = r.random((20, 20)) < 0.08
+        near |= near.T
+        np.fill_diagonal(near, False)
+        i, j = near_dedup.forest(near)
+        assert near[i, j].all()
+        up = list(range(20))
+        for a, b in zip(*np.nonzero(near), strict=True):
+            up = [min(up[a], up[b]) if x in (up[a], up[b]) else x for x in up]
+        assert len(i) == 20 - len(set(up))
+        joined = list(range(20))
+        for a, b in zip(i, j, strict=True):
+            joined = [min(joined[a], joined[b]) if x in (joined[a], joined[b]) else x for x in joined]
+        assert joined == up
 
 
 def test_hot_class_of_different_texts(spark, monkeypatch):
@@ -161,6 +200,7 @@ def test_hot_class_of_different_texts(spark, monkeypatch):
     for x in got:
         by[x["class_id"]].add(x["id"])
     assert {frozenset(v) for v in by.values()} == classes_of({i: bag(t) for i, t in rows})
+    check_links(got, {i: bag(t) for i, t in rows}, {r["id"]: r for r in got})
 
 
 def test_near_odd(spark, odd, odd_rows, clashing, none):

@@ -127,3 +127,12 @@ def one_of_each(docs: DataFrame, keys: dict[str, Column], winners: DataFrame, ro
     few = F.broadcast(hot)  # fewer than 1 / HEAVY
     cold = whole.join(few, on, "left_anti").join(known.hint("merge"), on, "left_semi").dropDuplicates(on)
     return cold.unionByName(whole.join(few, on, "left_semi").dropDuplicates(on)).select(*docs.columns)
+
+
+def labelled_texts(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """picked: doc_id and more columns, each id once, few -> those columns but doc_id, and text: one row for each id that
+    docs have, with the least of its texts (null is empty), however often the id is repeated."""
+    more = [c for c in picked.columns if c != "doc_id"]
+    few = F.broadcast(picked.withColumnRenamed("doc_id", "_picked"))
+    found = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text")).join(few, F.col("_id") == F.col("_picked"))
+    return found.groupBy("_picked", *more).agg(F.min("text").alias("text")).select(*more, "text")

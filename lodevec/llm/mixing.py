@@ -12,8 +12,10 @@ is all that a round of the loop has to pass on: one aggregation to a few numbers
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodevec.llm.common import staged, table, text_or_empty
+from lodevec.llm.common import labelled_texts, staged, table, text_or_empty
 from lodevec.llm.words import U, mix, raw_bytes, slices, words
 
 #: Labelled rows of each domain that the classifier is fitted on, at most; buckets of hashed words.
 SAMPLE, BUCKETS = 3000, 4096
-ROUNDS, TOLERANCE, NEAR = 60, 1e-6, 1e-5
+#: Rounds at most; how near totals are to be to the targets, or to those of the least squares, in shares of the targets' sum.
+ROUNDS, TOLERANCE, NEAR = 200, 1e-6, 1e-5
 # The production targets, shares of all tokens by domain.
 TARGETS = {"low": 0.12, "high": 0.88}
 
@@ -60,6 +63,18 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 DENSE = 6
 
 
+log = logging.getLogger("lodevec")
+
+
+class Rates(NamedTuple):
+    """rate: of each row, as an expression; reached: the expected totals by domain; end: "met" (all totals are the targets),
+    "least squares" (no rates meet the targets; these come as near as any) or "rounds" (not shown to be either)."""
+
+    rate: Column
+    reached: np.ndarray
+    end: str
+
+
 @dataclass
 class Classifier:
     domains: list[str]
@@ -105,14 +120,13 @@ def fit(domains: list[str], rows: list[tuple[int, bytes, bytes]], share: np.ndar
 
 def train(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Classifier:
     """labelled: doc_id, domain. Fits on at most `sample` rows of each domain, picked by a hash of the id; rows of other
-    domains, repeated ids beyond the first, and ids without a document do not count."""
+    domains, repeated ids beyond the first (label or document), and ids without a document do not count."""
     known = labelled.where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     picked = None
     for d in domains:
         some = known.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = some if picked is None else picked.unionByName(some)
-    few = F.broadcast(picked.withColumnRenamed("doc_id", "_picked"))  # at most domains x sample rows
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +138,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str
                 out = [pa.array([v[a:b].tobytes() for a, b in zip(e[:-1], e[1:], strict=True)], pa.binary()) for v in (cols, value)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *out], ["domain", "cols", "vals"])
 
-    joined = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text")).join(few, F.col("_id") == F.col("_picked"))
+    joined = labelled_texts(docs, picked, id_col, text_col)  # at most domains x sample rows, whatever is repeated
     got = joined.select("domain", "text").mapInArrow(extract, "domain string, cols binary, vals binary").collect()
     rows = sorted((domains.index(r["domain"]), bytes(r["cols"]), bytes(r["vals"])) for r in got)
     taken = np.bincount([r[0] for r in rows], minlength=len(domains)) if rows else np.ones(len(domains))
@@ -161,12 +175,12 @@ def _rate(history: list[np.ndarray], start: float, least: float) -> Column:
     return F.aggregate(steps, F.lit(start), one)
 
 
-def rates(members: DataFrame, targets: list[float], least: float = 0.0, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[Column, np.ndarray]:
-    """members: _tokens, _p -> the rate of each row as an expression, and the expected totals by domain.
+def rates(members: DataFrame, targets: list[float], least: float = 0.0, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Rates:
+    """members: _tokens, _p -> each row's rate.
 
     targets: token totals by domain; least: the lowest rate, zero or more. Ends when all totals are within tolerance of
     the sum of targets, when the totals are shown to lie within NEAR of those of the least squares (no rates meet the
-    targets), or after rounds. The round with the least error counts, not the last one.
+    targets), or after rounds, which is logged as a warning. The round with the least error counts, not the last one.
 
     The proof: with the gradient at the rates, tokens x (posterior . residual), no other rates lower half the squared
     error by more than the gap, and the distance of the totals from the best ones is at most sqrt(2 x gap).
@@ -177,10 +191,10 @@ def rates(members: DataFrame, targets: list[float], least: float = 0.0, rounds:
     first = members.agg(F.sum("_tokens"), *(F.sum(F.col("_tokens") * p[i]) for i in range(k))).first()
     total, lowest = float(first[0] or 0), least * np.array([float(x or 0) for x in first[1:]])
     if not total:
-        return F.lit(0.0), np.zeros(k)
+        return Rates(F.lit(0.0), np.zeros(k), "met" if not t.any() else "least squares")
     start, history, reached = max(float(t.sum() / total), least), [], np.zeros(k)
     error, best, kept, pace = np.inf, np.inf, (0, reached), 1.0
-    residual = np.zeros(k)
+    residual, end = np.zeros(k), "rounds"
     free = F.when(F.col("rate") > least, F.col("_tokens")).otherwise(0)
     for _ in range(rounds):
         rated = members.select("_tokens", "_p", _rate(history, start, least).alias("rate"))
@@ -190,6 +204,7 @@ def rates(members: DataFrame, targets: list[float], least: float = 0.0, rounds:
         ).first()
         gap = residual @ (reached - lowest) + max(0.0, -float(sums[-1])) * (t.sum() + np.sqrt(k) * np.linalg.norm(residual))
         if history and np.sqrt(2 * max(gap, 0.0)) <= NEAR * t.sum():
+            end = "least squares"
             break
         reached, gram = np.array([float(x) for x in sums[:k]]), np.array([float(x) for x in sums[k:-1]]).reshape(k, k)
         if np.trace(gram) < 1e-6 * total:
@@ -199,10 +214,12 @@ def rates(members: DataFrame, targets: list[float], least: float = 0.0, rounds:
             best, kept = np.linalg.norm(residual), (len(history), reached)
         last, error = error, float(np.abs(residual).max())
         if error <= tolerance * t.sum():
+            end = "met"
             break
         pace = min(1.0, pace * 1.5) if error < last else pace / 2
         history.append(pace * np.linalg.inv(gram + 1e-9 * (np.trace(gram) + total) * np.eye(k)) @ residual)
-    return _rate(history[: kept[0]], start, least), kept[1]
+    log.log(logging.WARNING if end == "rounds" else logging.INFO, "mixing: %s, targets %s, expected totals %s", end, t.tolist(), kept[1].tolist())
+    return Rates(_rate(history[: kept[0]], start, least), kept[1], end)
 
 
 def targets_for(members: DataFrame, weights: list[float]) -> list[float]:
@@ -223,7 +240,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
     domains = list(targets)
     model = train(docs, labelled, domains, id_col, text_col)
     members = staged(memberships(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, keep=["doc_id"]), "members")
-    rate, _ = rates(members, targets_for(members, [targets[d] for d in domains]))
+    rate = rates(members, targets_for(members, [targets[d] for d in domains])).rate
     names = F.array(*map(F.lit, domains))
     best = names[F.array_position(F.col("_p"), F.array_max("_p")).cast("int") - 1]
     return members.select("doc_id", F.col("_tokens").alias("tokens"), best.alias("domain"), F.col("_p").alias("posterior"), rate.alias("rate"))
@@ -231,15 +248,15 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
 
 def repeated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' own columns, each row as often as its rate says: the whole part, and once more with the probability of the
-    rest, drawn by a hash of the id and the text. Rates are one or more: no document goes, scarce domains are repeated."""
+    rest, drawn by a hash of the id and the text. Rates are one or more: no document goes, scarce domains are repeated.
+    The expected totals meet the targets as rates() says; those drawn differ from them by chance."""
     domains = list(targets)
     model = train(docs, labelled, domains, id_col, text_col)
     names = [f"c{i}" for i in range(len(docs.columns))]
     safe = docs.toDF(*names)
     key, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
-    with_p = memberships(safe, model, text)
-    small = staged(with_p.select("_tokens", "_p"), "members")
-    rate, _ = rates(small, targets_for(small, [targets[d] for d in domains]), least=1.0)
+    with_p = staged(memberships(safe, model, text), "members")  # whole rows, so that texts are classified once
+    rate = rates(with_p, targets_for(with_p, [targets[d] for d in domains]), least=1.0).rate
     whole = F.floor(F.col("_rate"))
     drawn = F.pmod(F.xxhash64(key, text, F.lit(3)), F.lit(1 << 20)) / (1 << 20)
     copies = with_p.withColumn("_rate", rate).withColumn("_many", (whole + F.when(drawn < F.col("_rate") - whole, 1).otherwise(0)).cast("int")).where("_many > 0")

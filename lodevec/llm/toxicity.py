@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodevec.llm.common import staged, table, text_or_empty
+from lodevec.llm.common import labelled_texts, staged, table, text_or_empty
 from lodevec.llm.words import U, mix, raw_bytes, slices, words
 
 #: Labelled rows of each class that the model is fitted on, at most; mined terms kept; least likelihood ratio of a term.
@@ -201,16 +201,15 @@ def held_out(id_col: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Fits on at most `sample` training rows of each class, picked by a hash of the id. Only labels outside the held-out
-    third are read. Null labels and labels of absent documents do not count; of several labels of one id, the largest."""
+    third are read. Null labels and labels of absent documents do not count; of several labels of one id, the largest, and of
+    several documents, the one with the least text."""
     known = labels.where(~held_out("doc_id") & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = None
     for y in (0, 1):
         some = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = some if picked is None else picked.unionByName(some)
-    few = F.broadcast(picked.withColumnRenamed("doc_id", "_picked"))  # at most 2 x sample rows
-    joined = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text")).join(few, F.col("_id") == F.col("_picked"))
-    texts = staged(joined.select("toxic", "text"), "labelled")
+    texts = staged(labelled_texts(docs, picked, id_col, text_col), "labelled")  # at most 2 x sample rows, whatever is repeated
     taken = {y: 0 for y in (0, 1)} | {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     model = voters_of(mined(texts, taken[1], taken[0]))
 

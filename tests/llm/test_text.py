@@ -340,7 +340,8 @@ def test_rates_against_brute_force(spark):
     t = r.integers(1, 500, 300)
     members = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(t, p, strict=True)], "_tokens long, _p array<double>")
     targets = [0.05 * t.sum(), 0.15 * t.sum(), 0.8 * t.sum()]
-    rate, reached = mixing.rates(members, targets, rounds=200)
+    rate, reached, end = mixing.rates(members, targets)
+    assert end == "met"
     got = np.array([x[0] for x in members.select(rate).collect()])
     assert (got >= 0).all() and np.allclose(reached, targets, rtol=0, atol=1e-4 * t.sum()) and np.allclose((got * t) @ p, reached, atol=1e-3 * t.sum())
 
@@ -365,13 +366,50 @@ def test_rates_are_those_of_least_squares(spark, shape, wanted, least):
     p, t = np.stack([low, 1 - low], axis=1), r.integers(1, 3000, 2000)
     members = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(t, p, strict=True)], "_tokens long, _p array<double>").coalesce(1).persist()
     targets = mixing.targets_for(members, list(wanted))
-    rate, reached = mixing.rates(members, targets, least)
+    rate, reached, end = mixing.rates(members, targets, least)
+    assert end in ("met", "least squares")
     got = np.array([x[0] for x in members.select(rate).collect()])
     best = closest(p, t, np.array(targets), least)
     assert (got >= least).all() and np.allclose((got * t) @ p, reached, rtol=1e-9)
     assert np.abs(reached - best).max() <= 1e-4 * sum(targets)
 
 
+def test_query_against_brute_force(spark, sf_dir, texts):
+    """Each document's tokens are its words; the rates' totals are those of constrained least squares over all documents."""
+    rows = mixing.op3_soft_mixing(spark, sf_dir).collect()
+    tokens_ = {i: max(1, len(re.findall("[0-9a-zA-Z\x80-\U0010ffff]+", t))) for i, t in texts.items()}
+    assert {r["doc_id"]: r["tokens"] for r in rows} == tokens_
+    p, t, rate = np.array([r["posterior"] for r in rows]), np.array([r["tokens"] for r in rows]), np.array([r["rate"] for r in rows])
+    share = np.array([mixing.TARGETS[d] for d in mixing.TARGETS])
+    targets = share * (t @ p / share).max()
+    assert np.allclose((rate * t) @ p, closest(p, t, targets, 0.0), rtol=0, atol=2e-5 * targets.sum()) and (rate >= 0).all()
+    assert all(r["domain"] == list(mixing.TARGETS)[int(np.argmax(r["posterior"]))] for r in rows)
+
+
+def test_rounds_that_run_out_are_told(spark, caplog):
+    p = np.random.default_rng(3).dirichlet([0.3, 0.3, 0.3], 300)
+    members = spark.createDataFrame([(100, [float(x) for x in q]) for q in p], "_tokens long, _p array<double>")
+    with caplog.at_level("WARNING", "lodevec"):
+        assert mixing.rates(members, [1500.0, 4500.0, 24000.0], rounds=2).end == "rounds"
+    assert "expected totals" in caplog.text
+
+
+def test_repeated_ids_do_not_reach_the_driver(spark, caplog):
+    """One id 20,000 times: the classifiers are fitted on one row of it."""
+    docs = spark.createDataFrame([(1, f"copy {i} of the stupid text") for i in range(20_000)] + [(i, f"some text {i} or other") for i in range(2, 40)], "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(i, int(i % 5 == 1)) for i in range(1, 40)], "doc_id long, y int")
+    seen = []
+    fit = mixing.fit
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(mixing, "fit", lambda domains, rows, share: (seen.append(len(rows)), fit(domains, rows, share))[1])
+        mixing.train(docs, labels.select("doc_id", F.when(F.col("y") == 1, "low").otherwise("high").alias("domain")), ["low", "high"], sample=10)
+    toxic_fit = toxicity.fit
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "fit", lambda model, votes, label, share: (seen.append(len(votes)), toxic_fit(model, votes, label, share))[1])
+        toxicity.train(docs, labels.withColumnRenamed("y", "toxic"), sample=10)
+    assert len(seen) == 2 and max(seen) <= 20
+
+
 def test_mixing_odd(spark, clashing, odd_rows, none):
     labelled = spark.createDataFrame([(4, "high"), (6, "low"), (4, "high"), (99, "low"), (None, "low")], "doc_id long, domain string")
     for given_ in (labelled, labelled.limit(0)):

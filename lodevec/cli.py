@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodevec.operators import evaluate, index
 from lodevec.plans.build import build
+from lodevec.shared import ship
 from lodevec.sources import word2vec
 
 
@@ -43,6 +44,17 @@ def formatted_seconds(s: float) -> str:
     return f"{s * 1000:.0f} ms" if s < 1 else f"{s:.1f} s" if s < 60 else f"{int(s // 60)} min {int(s % 60)} s"
 
 
+def bar(done: int, total: int, width: int = 30) -> str:
+    full = width * min(done, total) // max(total, 1)
+    return f"[{'#' * full}{' ' * (width - full)}] {100 * min(done, total) // max(total, 1):3d} %"
+
+
+def told(task: str, done: int, total: int, note: str = "") -> None:
+    """A line of progress: on a terminal it replaces the one before."""
+    end = "\n" if not sys.stderr.isatty() or done >= total else ""
+    print(f"{chr(13) + chr(27) + '[2K' if sys.stderr.isatty() else ''}{task} {bar(done, total)} {note}", end=end, file=sys.stderr, flush=True)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lodevec")
     sub = top.add_subparsers(dest="command", required=True)
@@ -69,6 +81,10 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def rate(done: int, seconds: float) -> float:
+    return done / seconds if seconds > 0 else 0.0
+
+
 def result_lines(results: DataFrame) -> DataFrame:
     """query_id and line: its neighbours' keys, nearest first, comma-joined."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"].cast("string"))
@@ -87,7 +103,9 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         if not args.partitioned and (args.partitions or args.limit):
             raise SystemExit("--partitions and --limit go with --partitioned")
         vectors = word2vec.read(spark, args.vectors)
-        build(vectors, args.metric, args.clusters, args.sections, args.iterations, args.partitioned, args.partitions, args.limit).save(args.output)
+        read = word2vec.reader_stats(vectors).first()
+        logging.info("read %d vectors, %s in memory, in %s", read["n"], formatted_bytes(read["memory_bytes"]), formatted_seconds(time.time() - began))
+        build(vectors, args.metric, args.clusters, args.sections, args.iterations, args.partitioned, args.partitions, args.limit, args.output, told)
         logging.info("built in %s", formatted_seconds(time.time() - began))
         return
     found = index.load(spark, args.index)
@@ -103,14 +121,21 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         vectors = word2vec.read(spark, args.vectors).persist()
         queries = evaluate.sample(vectors, args.sample).persist()
         truths = evaluate.truth(queries, vectors, metric=found.metric).persist()
-        results = found.query(queries, max(evaluate.KS))
+        told("truth", truths.select("query_id").distinct().count(), args.sample)
+        asked = time.time()
+        results = found.query(queries, max(evaluate.KS)).persist()
+        done = results.select("query_id").distinct().count()
+        told("queries", done, args.sample, f"{rate(done, time.time() - asked):.1f} queries a second")
         evaluate.report(evaluate.recall(results, queries, vectors, truths, args.epsilon, found.metric))
+        for df in (results, truths, queries, vectors):
+            df.unpersist()
 
 
 def main(argv: list[str] | None = None) -> int:
     logging.basicConfig(level=logging.INFO, stream=sys.stderr)
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("lodevec").getOrCreate()
+    ship(spark)
     run(args, spark)
     return 0
 

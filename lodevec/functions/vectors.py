@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,14 @@ def split_ranges(dimension: int, parts: int) -> list[tuple[int, int]]:
     full = parts - (longest * parts - dimension)
     sizes = [longest] * full + [max(longest - 1, 0)] * (parts - full)
     return [(sum(sizes[:i]), n) for i, n in enumerate(sizes)]
+
+
+def equal(x: Column, y: Column) -> Column:
+    """Whether two vectors have the same elements; NaN equals NaN, and a missing vector only another one."""
+    return doubles(x).eqNullSafe(doubles(y))
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables of keyed vectors hold the same rows, repeated ones as often."""
+    named = [t.groupBy("key", doubles(F.col("vector")).alias("vector")).agg(F.count(F.lit(1)).alias("n")) for t in (a, b)]
+    return not named[0].exceptAll(named[1]).head(1) and not named[1].exceptAll(named[0]).head(1)

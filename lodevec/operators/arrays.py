@@ -30,7 +30,11 @@ def unit(x: np.ndarray) -> np.ndarray:
         return x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
 
 
-def distances(x: np.ndarray, c: np.ndarray, block: int = 1 << 22) -> np.ndarray:
+#: Numbers in a block of distances at once.
+CELLS = 1 << 21
+
+
+def distances(x: np.ndarray, c: np.ndarray, block: int = CELLS) -> np.ndarray:
     """Squared distances of rows of x to rows of c, by differences (exact for equal rows), in blocks of memory."""
     out = np.empty((len(x), len(c)))
     step = max(1, block // max(1, c.size))
@@ -40,13 +44,47 @@ def distances(x: np.ndarray, c: np.ndarray, block: int = 1 << 22) -> np.ndarray:
     return out
 
 
-def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of and squared distance to the nearest row of c; of equally near ones (to 9 places) the first.
+def near_distances(q: np.ndarray, x: np.ndarray, k: int, worst: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances of rows of q to those rows of x that may be among the k nearest (to 9 places), infinite for the
+    others. worst: for each row of q, the distance beyond which none counts.
 
-    One matrix product finds the candidates; only those within its rounding error of the best are measured again.
+    A product of matrices finds the candidates; only those within its rounding error of the kth are measured by
+    differences.
     """
-    if not len(x):
+    qn, xn = (q * q).sum(axis=1), (x * x).sum(axis=1)
+    with np.errstate(invalid="ignore", over="ignore"):
+        rough = q @ x.T
+        rough *= -2.0
+        rough += qn[:, None]
+        rough += xn
+    np.nan_to_num(rough, copy=False, nan=np.inf, posinf=np.inf)
+    finite = xn[np.isfinite(xn)]
+    slack = 2e-13 * (qn + (finite.max() if len(finite) else 0.0)) + 2e-9
+    cut = np.full(len(q), np.inf) if worst is None else worst.copy()
+    if len(x) > k:
+        cut = np.minimum(cut, np.partition(rough, k - 1, axis=1)[:, k - 1])
+    i, j = np.nonzero((rough <= (cut + slack)[:, None]) & (rough < np.inf))
+    rough.fill(np.inf)
+    step = max(1, CELLS // max(1, q.shape[1]))
+    for at in range(0, len(i), step):
+        a, b = i[at : at + step], j[at : at + step]
+        d = q[a] - x[b]
+        rough[a, b] = np.einsum("ij,ij->i", d, d)
+    return rough
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of and squared distance to the nearest row of c; of equally near ones (to 9 places) the first. In blocks of
+    rows, so memory does not grow with both."""
+    step = max(1, CELLS // max(1, len(c)))
+    parts = [_nearest(x[at : at + step], c) for at in range(0, len(x), step)]
+    if not parts:
         return np.zeros(0, np.int64), np.zeros(0)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One matrix product finds the candidates; only those within its rounding error of the best are measured again."""
     rough = (c * c).sum(axis=1) - 2.0 * (x @ c.T)
     scale = np.abs(rough).max(axis=1, initial=1.0, keepdims=True)
     best = rough.min(axis=1, keepdims=True)
@@ -63,37 +101,73 @@ def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Best:
-    """The k smallest (distance, key) of each query seen so far; ties to 9 places go to the smaller key. NaN never enters."""
+    """The k smallest (distance, key) of each query seen so far; ties to 9 places go to the smaller key. Neither NaN nor
+    infinite distances enter. Holds queries x k pairs; keys keep their own type."""
 
     def __init__(self, queries: int, k: int):
         if k < 1:
             raise ValueError("k must be positive")
         self.k = k
-        self.distance = np.full((queries, 0), np.inf)
-        self.key = np.empty((queries, 0), object)
+        self.distance = np.full((queries, k), np.inf)
+        self.key: np.ndarray | None = None
+
+    def worst(self, rows: np.ndarray) -> np.ndarray:
+        """Beyond which nothing enters for the queries in rows."""
+        return self.distance[rows, -1]
 
     def add(self, rows: np.ndarray, distance: np.ndarray, key: np.ndarray) -> None:
         """distance: len(rows) x n for the queries in rows; key: n."""
-        if not distance.shape[1]:
+        n = distance.shape[1]
+        if not n or not len(rows):
+            return
+        if self.key is None:
+            self.key = np.empty(self.distance.shape, key.dtype)
+        # In the order of keys, the first of some equal distances is the one that counts.
+        order = np.argsort(key, kind="stable")
+        key, step = key[order], max(1, CELLS // n)
+        for at in range(0, len(rows), step):
+            self._add(rows[at : at + step], distance[at : at + step][:, order], key)
+
+    def _add(self, rows: np.ndarray, d: np.ndarray, key: np.ndarray) -> None:
+        r = np.round(d, 9)
+        r[~np.isfinite(r)] = np.inf
+        cut = np.round(self.worst(rows), 9)
+        if r.shape[1] > self.k:
+            cut = np.minimum(cut, np.partition(r, self.k - 1, axis=1)[:, self.k - 1])
+        near = (r <= cut[:, None]) & (r < np.inf)
+        for i in np.flatnonzero(near.sum(axis=1) > self.k):  # many as far as the kth
+            same = np.flatnonzero(r[i] == cut[i])
+            near[i, same[self.k - int((r[i] < cut[i]).sum()) :]] = False
+        i, j = np.nonzero(near)
+        if not len(i):
             return
-        if distance.shape[1] > self.k:
-            cut = np.partition(np.where(np.isnan(distance), np.inf, np.round(distance, 9)), self.k - 1, axis=1)[:, self.k - 1]
-            wanted = (np.round(distance, 9) <= cut[:, None]).any(axis=0)
-            distance, key = distance[:, wanted], key[wanted]
-        width = self.distance.shape[1] + distance.shape[1]
-        d = np.full((len(self.distance), width), np.inf)
-        names = np.empty((len(self.distance), width), object)
-        d[:, : self.distance.shape[1]], names[:, : self.distance.shape[1]] = self.distance, self.key
-        d[rows, self.distance.shape[1] :] = np.where(np.isnan(distance), np.inf, distance)
-        names[rows, self.distance.shape[1] :] = key
-        rank = np.argsort(np.argsort(names[np.isfinite(d)], kind="stable"), kind="stable") if np.isfinite(d).any() else []
-        order_key = np.full(d.shape, width * len(d), np.int64)
-        order_key[np.isfinite(d)] = rank
-        order = np.lexsort((order_key, np.round(d, 9)))[:, : self.k]
-        self.distance = np.take_along_axis(d, order, axis=1)
-        self.key = np.take_along_axis(names, order, axis=1)
+        touched = np.unique(i)
+        held = np.isfinite(self.distance[rows[touched]])
+        old_i, old_j = np.nonzero(held)
+        query = np.concatenate([touched[old_i], i])
+        dist = np.concatenate([self.distance[rows[touched]][held], d[i, j]])
+        name = np.concatenate([self.key[rows[touched]][held], key[j]])
+        order = np.lexsort((_ranks(name), np.round(dist, 9), query))
+        query, dist, name = query[order], dist[order], name[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = place < self.k
+        self.distance[rows[touched]] = np.inf
+        self.distance[rows[query[kept]], place[kept]] = dist[kept]
+        self.key[rows[query[kept]], place[kept]] = name[kept]
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query number, key, distance of all that were kept."""
+        if self.key is None:
+            return np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
         has = np.isfinite(self.distance)
         return np.nonzero(has)[0], self.key[has], self.distance[has]
+
+
+def _ranks(names: np.ndarray) -> np.ndarray:
+    return names if names.dtype != object else np.unique(names, return_inverse=True)[1]
+
+
+def keys_of(column: pa.Array) -> np.ndarray:
+    """Whole numbers as such, anything else as objects."""
+    whole = pa.types.is_integer(column.type) and not column.null_count
+    return column.to_numpy(zero_copy_only=False) if whole else np.array([*column.to_pylist(), None], object)[:-1]

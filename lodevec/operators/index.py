@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodevec.operators import knn, pq
-from lodevec.operators.arrays import Best, distances, lists, matrix, unit
+from lodevec.operators.arrays import CELLS, Best, distances, keys_of, lists, matrix, unit
 from lodevec.operators.kmeans import KMeans
 
 METRICS = ("l2", "cosine")
@@ -32,33 +32,31 @@ class LimitVectors:
     n: int
 
 
-def _queries(rows: list, metric: str) -> np.ndarray:
-    q = np.array([r["vector"] for r in rows], np.float64)
+def _asked(q: np.ndarray, metric: str) -> np.ndarray:
     return unit(q) if metric == "cosine" else q
 
 
-def _together(parts: list[DataFrame], spark: SparkSession, id_type: str, key_type: str) -> DataFrame:
-    if not parts:
-        return spark.createDataFrame([], f"query_id {id_type}, rank int, key {key_type}, distance double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def _adc(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """queries x rows: sums of table entries at the rows' codes, a section at a time."""
-    out = np.zeros((len(tables), len(codes)))
+    """queries x rows: sums of table entries at the rows' codes, a section at a time; a code's entries for all queries lie
+    together."""
+    out = np.zeros((len(codes), len(tables)))
     for s in range(codes.shape[1]):
-        out += tables[:, s, codes[:, s]]
-    return out
+        out += np.ascontiguousarray(tables[:, s].T)[codes[:, s]]
+    return out.T
+
+
+def _score(best: Best, quantizer: pq.ProductQuantizer, asked: np.ndarray, q: np.ndarray, codes: np.ndarray, keys: np.ndarray) -> None:
+    """Offers rows' codes to the queries asked, whose vectors are q, some queries at a time."""
+    step = max(1, CELLS // max(1, len(codes), quantizer.clusters * len(quantizer.ranges)))
+    for at in range(0, len(asked), step):
+        best.add(asked[at : at + step], _adc(quantizer.tables(q[at : at + step]), codes), keys)
 
 
 class Index:
     """What both kinds share: size, dimension, keys, lookup by key, queries by key."""
 
     quantizer: pq.ProductQuantizer
-    codes: DataFrame
+    codes: DataFrame  # with the column codes packed
     metric: str
 
     @property
@@ -72,23 +70,34 @@ class Index:
         return self.codes.select("key")
 
     def reconstruct(self) -> DataFrame:
-        raise NotImplementedError
+        """Every row's key (and partition) and vector."""
+        return self.decoded(self.codes)
 
     def query(self, queries: DataFrame, k: int) -> DataFrame:
         raise NotImplementedError
 
+    #: What decides between several rows of one key: the first of these is found.
+    order: tuple[str, ...] = ("codes",)
+
     def lookup(self, wanted: DataFrame) -> DataFrame:
-        """wanted: key -> key, vector (null if absent); a key that occurs several times gives each."""
-        return wanted.join(self.reconstruct().select("key", "vector"), "key", "left")
+        """wanted: key -> key, vector (null if absent). Of several rows of a key the first one counts: that of the lowest
+        partition, then of the least codes."""
+        some = self.codes.join(wanted.select("key").distinct(), "key", "left_semi")
+        first = some.groupBy("key").agg(F.min(F.struct(*self.order)).alias("x")).select("key", "x.*")
+        return wanted.join(self.decoded(first).select("key", "vector"), "key", "left")
+
+    def decoded(self, codes: DataFrame) -> DataFrame:
+        """codes' rows with their reconstructed vector."""
+        raise NotImplementedError
 
     def query_by_key(self, wanted: DataFrame, k: int) -> DataFrame:
         """query_id is the key; keys that are absent give no rows. The key itself is among its neighbours."""
-        at = self.reconstruct().join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+        at = self.lookup(wanted.select("key").distinct()).where("vector IS NOT NULL")
         return self.query(at.select(F.col("key").alias("query_id"), "vector"), k)
 
 
 class FlatPQIndex(Index):
-    """codes: key, codes, in the order of keys within each file."""
+    """codes: key, codes (packed, binary), in the order of keys within each file."""
 
     def __init__(self, codes: DataFrame, quantizer: pq.ProductQuantizer, metric: str = "l2"):
         if metric not in METRICS:
@@ -98,25 +107,21 @@ class FlatPQIndex(Index):
     @classmethod
     def build(cls, vectors: DataFrame, quantizer: pq.ProductQuantizer, metric: str = "l2") -> FlatPQIndex:
         """vectors: key, vector; under cosine they are to be of unit length already."""
-        return cls(quantizer.encode(vectors.select("key", "vector")), quantizer, metric)
+        return cls(quantizer.encode(vectors.select("key", "vector"), packed=True), quantizer, metric)
 
-    def reconstruct(self) -> DataFrame:
-        return self.quantizer.decode(self.codes.select("key", "codes"))
+    def decoded(self, codes: DataFrame) -> DataFrame:
+        return self.quantizer.decode(codes.select("key", "codes"))
 
-    def query(self, queries: DataFrame, k: int, block: int = knn.BLOCK) -> DataFrame:
+    def query(self, queries: DataFrame, k: int, block: int | None = None) -> DataFrame:
         """queries: query_id, vector -> query_id, rank, key, distance (squared, to the reconstructions)."""
         quantizer = self.quantizer
         key_type, id_type = knn.types_of(queries, self.codes)
-        parts = []
-        for rows in knn.query_blocks(queries, block):
-            tables = quantizer.tables(_queries(rows, self.metric))
 
-            def feed(best: Best, batch: pa.RecordBatch, tables: np.ndarray = tables) -> None:
-                codes = matrix(batch.column(1), len(quantizer.ranges)).astype(np.int64)
-                best.add(np.arange(len(tables)), _adc(tables, codes), np.array(batch.column(0).to_pylist(), object))
+        def feed(best: Best, q: np.ndarray, batch: pa.RecordBatch) -> None:
+            _score(best, quantizer, np.arange(len(q)), q, quantizer.unpacked(batch.column(1)), keys_of(batch.column(0)))
 
-            parts.append(knn.scan(self.codes, ["key", "codes"], [r["query_id"] for r in rows], k, key_type, id_type, feed))
-        return _together(parts, queries.sparkSession, id_type, key_type)
+        parts = [knn.scan(self.codes, ["key", "codes"], ids, _asked(q, self.metric), k, key_type, id_type, feed) for ids, q in knn.query_blocks(queries, k, block)]
+        return knn.together(parts, queries.sparkSession, id_type, key_type)
 
     def save(self, path: str) -> None:
         self.codes.sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/codes")
@@ -124,8 +129,33 @@ class FlatPQIndex(Index):
         _write_meta(self.codes.sparkSession, path, {"kind": "flat", "metric": self.metric})
 
 
+@dataclass(frozen=True)
+class _Probes:
+    """Which clusters each query probes; small enough to go with a task."""
+
+    centroids: np.ndarray
+    sizes: np.ndarray
+    strategy: LimitGroups | LimitVectors
+
+    def __call__(self, q: np.ndarray) -> list[np.ndarray]:
+        step, out = max(1, CELLS // self.centroids.size), []
+        for at in range(0, len(q), step):
+            d = np.round(distances(q[at : at + step], self.centroids), 9)
+            order = np.argsort(d, axis=1, kind="stable")
+            if isinstance(self.strategy, LimitGroups):
+                out += list(order[:, : max(self.strategy.n, 0)])
+            else:
+                held = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
+                out += [o[h < self.strategy.n] for o, h in zip(order, held, strict=True)]
+        return out
+
+
 class IVFPQIndex(Index):
-    """codes: partition, key, codes of the residuals; clusters: the non-empty coarse centroids."""
+    """codes: partition, key, codes (packed, binary) of the residuals; clusters: the non-empty coarse centroids. A saved
+    index is laid out by partition and sorted by key, so queries read the files of the partitions they probe; one that
+    was only built encodes all vectors again for each query."""
+
+    order = ("partition", "codes")
 
     def __init__(self, codes: DataFrame, quantizer: pq.ProductQuantizer, clusters: dict[int, np.ndarray], sizes: dict[int, int], metric: str = "l2", strategy: LimitGroups | LimitVectors = LimitGroups(5)):
         if metric not in METRICS:
@@ -141,73 +171,70 @@ class IVFPQIndex(Index):
     def build(cls, grouped_: DataFrame, quantizer: pq.ProductQuantizer, coarse: KMeans, metric: str = "l2", strategy: LimitGroups | LimitVectors = LimitGroups(5)) -> IVFPQIndex:
         """grouped_: partition, key, vector as grouped() gives them; quantizer: trained on their residuals."""
         sizes = {r["partition"]: r["count"] for r in grouped_.groupBy("partition").count().collect()}  # at most k rows
-        codes = quantizer.encode(residuals(grouped_, coarse).select("partition", "key", "vector"))
+        codes = quantizer.encode(residuals(grouped_, coarse).select("partition", "key", "vector"), packed=True)
         return cls(codes, quantizer, {p: coarse.centroids[p] for p in sizes}, sizes, metric, strategy)
 
     def probes(self, q: np.ndarray) -> list[np.ndarray]:
         """For each query the places of the clusters to probe, nearest first (ties to the lowest)."""
-        d = np.round(distances(q, self.centroids), 9)
-        order = np.lexsort((np.broadcast_to(np.arange(d.shape[1]), d.shape), d))
-        if isinstance(self.strategy, LimitGroups):
-            return list(order[:, : max(self.strategy.n, 0)])
-        held = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
-        return [o[h < self.strategy.n] for o, h in zip(order, held, strict=True)]
+        return _Probes(self.centroids, self.sizes, self.strategy)(q)
 
     def probe_frame(self, queries: DataFrame) -> DataFrame:
-        """query_id, partition, probe_rank (from 1) of each query; a table of at most queries x clusters rows."""
-        spark = queries.sparkSession
-        id_type = dict(queries.dtypes)["query_id"]
-        out = []
-        for rows in knn.query_blocks(queries):
-            for r, p in zip(rows, self.probes(_queries(rows, self.metric)), strict=True):
-                out += [(r["query_id"], int(self.partitions[i]), n + 1) for n, i in enumerate(p)]
-        return spark.createDataFrame(out, f"query_id {id_type}, partition int, probe_rank int")
+        """query_id, partition, probe_rank (from 1) of each query, made where the queries are."""
+        id_type, dimension = dict(queries.dtypes)["query_id"], self.centroids.shape[1]
+        metric, partitions = self.metric, np.array(self.partitions)
+        probes = _Probes(self.centroids, self.sizes, self.strategy)
 
-    def reconstruct(self) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = probes(_asked(matrix(b.column(1), dimension), metric))
+                many = [len(p) for p in found]
+                at = np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64)
+                rank = np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in many)]) + 1
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(many)), many))), pa.array(partitions[at].astype(np.int32)), pa.array(rank.astype(np.int32))], ["query_id", "partition", "probe_rank"])
+
+        return queries.select("query_id", "vector").mapInArrow(run, f"query_id {id_type}, partition int, probe_rank int")
+
+    def decoded(self, codes: DataFrame) -> DataFrame:
         c = {p: self.centroids[i] for i, p in enumerate(self.partitions)}
         quantizer = self.quantizer
-        codes = self.codes.select("partition", "key", "codes")
+        codes = codes.select("partition", "key", "codes")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x = quantizer.decode_rows(matrix(b.column(2), len(quantizer.ranges)).astype(np.int64))
+                x = quantizer.decode_rows(quantizer.unpacked(b.column(2)))
                 x = x + np.array([c[p] for p in b.column(0).to_pylist()]).reshape(x.shape)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(x)], ["partition", "key", "vector"])
 
         return codes.mapInArrow(run, f"partition int, key {dict(codes.dtypes)['key']}, vector array<double>")
 
-    def query(self, queries: DataFrame, k: int, block: int = knn.BLOCK) -> DataFrame:
+    def query(self, queries: DataFrame, k: int, block: int | None = None) -> DataFrame:
         """Only partitions that some query of the block probes are read; a row is scored for the queries that probe its
         partition, by tables of the query's residual to the partition's centroid."""
-        quantizer = self.quantizer
+        quantizer, centroids, probes = self.quantizer, self.centroids, _Probes(self.centroids, self.sizes, self.strategy)
         key_type, id_type = knn.types_of(queries, self.codes)
         place = {p: i for i, p in enumerate(self.partitions)}
-        centroids = self.centroids
-        parts = []
-        for rows in knn.query_blocks(queries, block):
-            q = _queries(rows, self.metric)
-            by: dict[int, list[int]] = {}
-            for i, probed in enumerate(self.probes(q)):
-                for p in probed:
-                    by.setdefault(self.partitions[p], []).append(i)
-
-            def feed(best: Best, batch: pa.RecordBatch, q: np.ndarray = q, by: dict[int, list[int]] = by) -> None:
-                part = batch.column(2).to_numpy(zero_copy_only=False)
-                codes = matrix(batch.column(1), len(quantizer.ranges)).astype(np.int64)
-                keys = np.array(batch.column(0).to_pylist(), object)
-                for p in np.unique(part):
-                    asked = np.array(by[int(p)])
-                    tables = quantizer.tables(q[asked] - centroids[place[int(p)]])
-                    here = part == p
-                    best.add(asked, _adc(tables, codes[here]), keys[here])
 
+        def feed(best: Best, asked: tuple[np.ndarray, dict[int, np.ndarray]], batch: pa.RecordBatch) -> None:
+            (q, by), part = asked, batch.column(2).to_numpy(zero_copy_only=False)
+            codes, keys = quantizer.unpacked(batch.column(1)), keys_of(batch.column(0))
+            for p in np.unique(part):
+                at, here = by[int(p)], part == p
+                _score(best, quantizer, at, q[at] - centroids[place[int(p)]], codes[here], keys[here])
+
+        parts = []
+        for ids, q in knn.query_blocks(queries, k, block):
+            q = _asked(q, self.metric)
+            found = probes(q)
+            who, where = np.repeat(np.arange(len(q)), [len(p) for p in found]), np.concatenate(found)
+            by = {self.partitions[int(i)]: who[where == i] for i in np.unique(where)}
             wanted = self.codes.where(F.col("partition").isin(sorted(by)))
-            parts.append(knn.scan(wanted, ["key", "codes", "partition"], [r["query_id"] for r in rows], k, key_type, id_type, feed))
-        return _together(parts, queries.sparkSession, id_type, key_type)
+            parts.append(knn.scan(wanted, ["key", "codes", "partition"], ids, (q, by), k, key_type, id_type, feed))
+        return knn.together(parts, queries.sparkSession, id_type, key_type)
 
     def save(self, path: str) -> None:
         spark = self.codes.sparkSession
-        self.codes.repartition("partition").sortWithinPartitions("partition", "key").write.mode("overwrite").partitionBy("partition").parquet(f"{path}/codes")
+        # A cluster's rows are a few tasks' work, by size: Spark splits large partitions of such an exchange.
+        self.codes.hint("rebalance", "partition").sortWithinPartitions("partition", "key").write.mode("overwrite").partitionBy("partition").parquet(f"{path}/codes")
         self.quantizer.frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/codebook")
         rows = [(int(p), [float(x) for x in c], int(n)) for p, c, n in zip(self.partitions, self.centroids, self.sizes, strict=True)]
         spark.createDataFrame(rows, "partition int, centroid array<double>, n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
@@ -234,9 +261,10 @@ def load(spark: SparkSession, path: str) -> FlatPQIndex | IVFPQIndex:
 
 
 def grouped(vectors: DataFrame, coarse: KMeans) -> DataFrame:
-    """vectors: key, vector -> partition, key, vector, laid out by partition and sorted by key within. Large clusters are
-    several tasks' work only if AQE splits them on writing; nothing here needs a cluster in one place."""
-    return coarse.assign(vectors.select("key", "vector"), "partition").drop("distance").select("partition", "key", "vector")
+    """vectors: key, vector -> partition, key, vector, laid out by partition and sorted by key within each task. Spark splits
+    what a large cluster has among tasks (rebalance); nothing here needs a cluster in one place."""
+    rows = coarse.assign(vectors.select("key", "vector"), "partition").select("partition", "key", "vector")
+    return rows.hint("rebalance", "partition").sortWithinPartitions("partition", "key")
 
 
 def residuals(grouped_: DataFrame, coarse: KMeans) -> DataFrame:

@@ -70,11 +70,13 @@ def pick_rows(vectors: DataFrame, picks: list[int], order: str = "key") -> dict[
     """The vectors at some places of the order; places are counted per range partition, so no task sees all rows."""
     placed = numbered(vectors.select(order, "vector"), order)
     found = placed.where(F.col("row_id").isin(sorted(set(picks)))).select("row_id", "vector").collect()
+    placed.held.unpersist()
     return {r["row_id"]: r["vector"] for r in found}
 
 
 def numbered(rows: DataFrame, order: str = "key") -> DataFrame:
-    """rows with row_id: their place, from 0, in the order of a column (ties by any order)."""
+    """rows with row_id: their place, from 0, in the order of a column (ties by any order). The rows are kept meanwhile, as
+    attribute held of the result, for the caller to let go."""
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
@@ -86,7 +88,9 @@ def numbered(rows: DataFrame, order: str = "key") -> DataFrame:
         total += counts[p]
     bases = F.broadcast(spark.createDataFrame(base or [(0, 0)], "_part int, _base long"))
     within = F.expr(f"row_number() OVER (PARTITION BY _part ORDER BY `{order}`)")
-    return ranged.withColumn("_n", within).join(bases, "_part").withColumn("row_id", F.col("_base") + F.col("_n") - 1).drop("_part", "_n", "_base")
+    out = ranged.withColumn("_n", within).join(bases, "_part").withColumn("row_id", F.col("_base") + F.col("_n") - 1).drop("_part", "_n", "_base")
+    out.held = ranged
+    return out
 
 
 def sums(vectors: DataFrame, new: np.ndarray, old: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, float]:

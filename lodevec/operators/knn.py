@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodevec.functions.vectors import distance_sq, normalize
-from lodevec.operators.arrays import Best, distances, matrix, unit
+from lodevec.operators.arrays import CELLS, Best, keys_of, matrix, near_distances, unit
 
-#: Queries that are sent to the executors together.
-BLOCK = 2048
+#: Queries that are answered together, at most, and numbers (of their vectors, or of the best kept for them) at most:
+#: they are broadcast, and a task holds that much.
+BLOCK, NUMBERS = 1 << 17, 1 << 22
 
 
 def top_k(rows: DataFrame, by: list[str], k: int, order: list | None = None) -> DataFrame:
@@ -23,32 +24,49 @@ def top_k(rows: DataFrame, by: list[str], k: int, order: list | None = None) ->
     return ranked.where(F.col("rank") <= k)
 
 
-def query_blocks(queries: DataFrame, block: int = BLOCK) -> Iterator[list]:
-    """The queries (query_id, vector) in blocks, streamed to the driver in order; only one block is held at a time."""
-    held = []
-    for r in queries.select("query_id", "vector").orderBy("query_id").toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            yield held
-            held = []
-    if held:
-        yield held
+def query_blocks(queries: DataFrame, k: int, block: int | None = None) -> Iterator[tuple[list, np.ndarray]]:
+    """ids and vectors of the queries (query_id, vector), in blocks of bounded size, streamed to the driver."""
+    ids, held, size = [], [], block or BLOCK
+    for r in queries.select("query_id", "vector").toLocalIterator(prefetchPartitions=True):
+        if not ids and block is None:
+            size = max(1, min(BLOCK, NUMBERS // max(k, len(r["vector"] or ()), 1)))
+        ids.append(r["query_id"])
+        held.append(r["vector"])
+        if len(ids) == size:
+            yield ids, np.array(held, np.float64)
+            ids, held = [], []
+    if ids:
+        yield ids, np.array(held, np.float64)
 
 
-def scan(vectors: DataFrame, columns: list[str], ids: list, k: int, key_type: str, id_type: str, feed: Callable[[Best, pa.RecordBatch], None]) -> DataFrame:
-    """One pass over vectors: each task keeps its k best for each query, then the k best of all tasks are taken."""
+def scan(vectors: DataFrame, columns: list[str], ids: list, q: np.ndarray, k: int, key_type: str, id_type: str, feed: Callable[[Best, np.ndarray, pa.RecordBatch], None]) -> DataFrame:
+    """One pass over vectors: each task keeps its k best for each query, then the k best of all tasks are taken. q goes to
+    the executors once, as a broadcast variable; feed is given it with each batch."""
+    sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(len(ids), k)
+        names, asked = sent.value
+        best = Best(len(names), k)
         for batch in batches:
-            feed(best, batch)
-        q, key, d = best.rows()
-        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], _arrow(id_type)), pa.array(list(key), _arrow(key_type)), pa.array(d, pa.float64())], ["query_id", "key", "distance"])
+            feed(best, asked, batch)
+        i, key, d = best.rows()
+        for at in range(0, max(len(i), 1), 1 << 17):
+            to = at + (1 << 17)
+            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in i[at:to]], _arrow(id_type)), pa.array(key[at:to].tolist(), _arrow(key_type)), pa.array(d[at:to], pa.float64())], ["query_id", "key", "distance"])
 
     found = vectors.select(*columns).mapInArrow(run, f"query_id {id_type}, key {key_type}, distance double")
     return top_k(found, ["query_id"], k).select("query_id", "rank", "key", "distance")
 
 
+def together(parts: list[DataFrame], spark, id_type: str, key_type: str) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], f"query_id {id_type}, rank int, key {key_type}, distance double")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
@@ -57,31 +75,25 @@ def types_of(queries: DataFrame, vectors: DataFrame) -> tuple[str, str]:
     return dict(vectors.dtypes)["key"], dict(queries.dtypes)["query_id"]
 
 
-def exact(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", block: int = BLOCK) -> DataFrame:
+def exact(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", block: int | None = None) -> DataFrame:
     """queries: query_id, vector; vectors: key, vector -> query_id, rank, key, distance (squared).
 
-    With metric "cosine" both sides are made unit length first, so the distance is 2 - 2 cos. Queries go in blocks, each
-    one pass over the vectors; a range of keys is a filter on vectors. Vectors with NaN (or zero ones, under cosine)
-    are no one's neighbours.
+    With metric "cosine" both sides are made unit length first, so the distance is 2 - 2 cos. Queries go in blocks (by
+    their size, or of so many), each one pass over the vectors; a range of keys is a filter on vectors. Vectors with NaN
+    (or zero ones, under cosine) are no one's neighbours.
     """
     key_type, id_type = types_of(queries, vectors)
-    parts = []
-    for rows in query_blocks(queries, block):
-        q = np.array([r["vector"] for r in rows], np.float64)
-        q = unit(q) if metric == "cosine" else q
 
-        def feed(best: Best, batch: pa.RecordBatch, q: np.ndarray = q) -> None:
-            x = matrix(batch.column(1), q.shape[1])
-            x = unit(x) if metric == "cosine" else x
-            best.add(np.arange(len(q)), distances(q, x), np.array(batch.column(0).to_pylist(), object))
+    def feed(best: Best, q: np.ndarray, batch: pa.RecordBatch) -> None:
+        x, keys = matrix(batch.column(1), q.shape[1]), keys_of(batch.column(0))
+        x = unit(x) if metric == "cosine" else x
+        step = max(1, CELLS // max(1, len(x)))
+        for at in range(0, len(q), step):
+            rows = np.arange(at, min(at + step, len(q)))
+            best.add(rows, near_distances(q[rows], x, k, best.worst(rows)), keys)
 
-        parts.append(scan(vectors, ["key", "vector"], [r["query_id"] for r in rows], k, key_type, id_type, feed))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], f"query_id {id_type}, rank int, key {key_type}, distance double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts = [scan(vectors, ["key", "vector"], ids, unit(q) if metric == "cosine" else q, k, key_type, id_type, feed) for ids, q in query_blocks(queries, k, block)]
+    return together(parts, queries.sparkSession, id_type, key_type)
 
 
 def rerank(found: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2") -> DataFrame:

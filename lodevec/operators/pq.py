@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodevec.functions.vectors import split_ranges
 from lodevec.operators import kmeans
 from lodevec.operators.arrays import lists, matrix, nearest
+from lodevec.operators.stats import Summary
 
 # The code widths in bits that packing supports.
 WIDTHS = (0, 2, 4, 8, 10, 12, 16)
@@ -29,34 +30,44 @@ def code_width(clusters: int) -> int:
 def pack(codes: np.ndarray, width: int) -> bytes:
     """Codes below 2^width as bytes: whole high bytes first where the width passes 8, then the low bits, the first code
     in the lowest bits of its byte."""
+    return pack_rows(np.asarray(codes, np.int64)[None], width)[0].tobytes()
+
+
+def unpack(data: bytes, width: int, length: int) -> np.ndarray:
     if width not in WIDTHS:
         raise ValueError(f"no such width: {width}")
-    codes = np.asarray(codes, np.int64)
-    if len(codes) and (codes.min() < 0 or codes.max() >> width):
+    if len(data) != packed_size(width, length):
+        raise ValueError("the data's length does not fit")
+    return unpack_rows(np.frombuffer(data, np.uint8)[None], width, length)[0]
+
+
+def pack_rows(codes: np.ndarray, width: int) -> np.ndarray:
+    """rows x codes -> rows x bytes, each row as pack() does it."""
+    if width not in WIDTHS:
+        raise ValueError(f"no such width: {width}")
+    rows, length = codes.shape
+    if codes.size and (codes.min() < 0 or codes.max() >> width):
         raise ValueError("a code is out of range")
     low = width - 8 if width > 8 else width
-    high = (codes >> low).astype(np.uint8).tobytes() if width > 8 else b""
+    high = (codes >> low).astype(np.uint8) if width > 8 else np.zeros((rows, 0), np.uint8)
     if low == 0:
         return high
     each = 8 // low
-    rest = np.zeros(-(-len(codes) // each) * each, np.int64)
-    rest[: len(codes)] = codes & ((1 << low) - 1)
-    return high + (rest.reshape(-1, each) << (np.arange(each) * low)).sum(axis=1).astype(np.uint8).tobytes()
+    rest = np.zeros((rows, -(-length // each) * each), np.int64)
+    rest[:, :length] = codes & ((1 << low) - 1)
+    return np.concatenate([high, (rest.reshape(rows, -1, each) << (np.arange(each) * low)).sum(axis=2).astype(np.uint8)], axis=1)
 
 
-def unpack(data: bytes, width: int, length: int) -> np.ndarray:
-    if width not in WIDTHS:
-        raise ValueError(f"no such width: {width}")
-    if len(data) != packed_size(width, length):
-        raise ValueError("the data's length does not fit")
+def unpack_rows(data: np.ndarray, width: int, length: int) -> np.ndarray:
+    """rows x bytes -> rows x length codes."""
     if width == 0:
-        return np.zeros(length, np.int64)
-    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+        return np.zeros((len(data), length), np.int64)
+    raw = data.astype(np.int64)
     low = width - 8 if width > 8 else width
-    high, rest = (raw[:length], raw[length:]) if width > 8 else (np.zeros(length, np.int64), raw)
+    high, rest = (raw[:, :length], raw[:, length:]) if width > 8 else (np.zeros((len(raw), length), np.int64), raw)
     each = 8 // low
-    parts = (rest[:, None] >> (np.arange(each) * low)) & ((1 << low) - 1)
-    return (high << low) + parts.ravel()[:length]
+    parts = (rest[:, :, None] >> (np.arange(each) * low)) & ((1 << low) - 1)
+    return (high << low) + parts.reshape(len(raw), -1)[:, :length]
 
 
 def packed_size(width: int, length: int) -> int:
@@ -64,6 +75,17 @@ def packed_size(width: int, length: int) -> int:
     return (length if width > 8 else 0) + -(-length * low // 8)
 
 
+@dataclass
+class Report:
+    """A round of training: sections that are done, and how far centroids moved in the others."""
+
+    iteration: int
+    most: int
+    done: int
+    sections: int
+    step: Summary
+
+
 @dataclass
 class ProductQuantizer:
     ranges: list[tuple[int, int]]
@@ -91,25 +113,41 @@ class ProductQuantizer:
         """queries x sections x clusters: squared distances of each query's sections to the centroids."""
         return np.stack([((q[:, None, b : b + n] - c[None]) ** 2).sum(axis=2) for (b, n), c in zip(self.ranges, self.centroids, strict=True)], axis=1)
 
-    def encode(self, vectors: DataFrame) -> DataFrame:
-        """vectors with codes array<int> in the place of vector."""
+    def encode(self, vectors: DataFrame, packed: bool = False) -> DataFrame:
+        """vectors with codes in the place of vector: array<int>, or packed into bytes."""
         names, at, me = vectors.columns, vectors.columns.index("vector"), self
+        kind = "binary" if packed else "array<int>"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                codes = lists(me.encode_rows(matrix(b.column(at), me.dimension)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([codes if i == at else b.column(i) for i in range(len(names))], ["codes" if n == "vector" else n for n in names])
+                codes = me.encode_rows(matrix(b.column(at), me.dimension))
+                column = me.packed(codes) if packed else lists(codes.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([column if i == at else b.column(i) for i in range(len(names))], ["codes" if n == "vector" else n for n in names])
 
-        schema = ", ".join("codes array<int>" if n == "vector" else f"`{n}` {t}" for n, t in vectors.dtypes)
+        schema = ", ".join(f"codes {kind}" if n == "vector" else f"`{n}` {t}" for n, t in vectors.dtypes)
         return vectors.mapInArrow(run, schema)
 
+    def packed(self, codes: np.ndarray) -> pa.Array:
+        return pa.array([r.tobytes() for r in pack_rows(codes.astype(np.int64), self.width)], pa.binary())
+
+    def unpacked(self, column: pa.Array) -> np.ndarray:
+        """rows x sections codes of a column of either kind."""
+        m = len(self.ranges)
+        if pa.types.is_list(column.type):
+            return matrix(column, m).astype(np.int64)
+        size = packed_size(self.width, m)
+        data = b"".join(column.to_pylist())
+        if len(data) != size * len(column):
+            raise ValueError("the data's length does not fit")
+        return unpack_rows(np.frombuffer(data, np.uint8).reshape(len(column), size), self.width, m)
+
     def decode(self, codes: DataFrame) -> DataFrame:
-        """codes with vector array<double> in the place of codes."""
+        """codes (of either kind) with vector array<double> in the place of codes."""
         names, at, me = codes.columns, codes.columns.index("codes"), self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x = lists(me.decode_rows(matrix(b.column(at), len(me.ranges)).astype(np.int64)))
+                x = lists(me.decode_rows(me.unpacked(b.column(at))))
                 yield pa.RecordBatch.from_arrays([x if i == at else b.column(i) for i in range(len(names))], ["vector" if n == "codes" else n for n in names])
 
         schema = ", ".join("vector array<double>" if n == "codes" else f"`{n}` {t}" for n, t in codes.dtypes)
@@ -143,9 +181,9 @@ class ProductQuantizer:
         return cls([(rs[0]["from"], rs[0]["dim"]) for rs in of], [np.array([r["centroid"] for r in rs], np.float64).reshape(len(rs), rs[0]["dim"]) for rs in of])
 
 
-def train(vectors: DataFrame, sections: int, clusters: int, iterations: int = 100, order: str = "key", start: ProductQuantizer | None = None, report: Callable[[int, int, int], None] | None = None) -> ProductQuantizer:
+def train(vectors: DataFrame, sections: int, clusters: int, iterations: int = 100, order: str = "key", start: ProductQuantizer | None = None, report: Callable[[Report], None] | None = None) -> ProductQuantizer:
     """Section i starts from rows drawn with seed i. Each section stops when none of its codes change, all after
-    iterations + 1 updates. report: round, sections done, sections."""
+    iterations + 1 updates."""
     code_width(clusters)
     if start is None:
         first = vectors.select("vector").first()
@@ -162,11 +200,12 @@ def train(vectors: DataFrame, sections: int, clusters: int, iterations: int = 10
     for i in range(iterations + 1):
         total, many, changed = _sums(vectors, ProductQuantizer(ranges, now), ProductQuantizer(ranges, old) if old else None, d, done)
         done = [was or (old is not None and not c) for was, c in zip(done, changed, strict=True)]
+        new = [c if stop else kmeans.means(t, n) for c, stop, t, n in zip(now, done, total, many, strict=True)]
         if report:
-            report(i, sum(done), len(done))
+            moved = [Summary(len(c), *kmeans.step_size(c, n)) for c, n, stop in zip(now, new, done, strict=True) if not stop]
+            report(Report(i, iterations, sum(done), len(done), sum((Summary(m.count, m.mean, m.deviations**2 * m.count) for m in moved), Summary())))
         if all(done):
             break
-        new = [c if stop else kmeans.means(t, n) for c, stop, t, n in zip(now, done, total, many, strict=True)]
         old, now = now, new
     return ProductQuantizer(ranges, now)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from typing import Protocol
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -22,23 +23,45 @@ def default_limit(partitions: int) -> int:
     return max(partitions // 20, 5)
 
 
-def build(vectors: DataFrame, metric: str = "l2", clusters: int = 256, sections: int = 25, iterations: int = 100, partitioned: bool = False, partitions: int | None = None, limit: int | None = None) -> index.FlatPQIndex | index.IVFPQIndex:
+class Progress(Protocol):
+    def __call__(self, task: str, done: int, total: int, note: str = "") -> None: ...
+
+
+def build(vectors: DataFrame, metric: str = "l2", clusters: int = 256, sections: int = 25, iterations: int = 100, partitioned: bool = False, partitions: int | None = None, limit: int | None = None, path: str | None = None, progress: Progress | None = None) -> index.FlatPQIndex | index.IVFPQIndex:
     """vectors: key, vector. Cosine indices are built of unit vectors. Training passes over the vectors once a round, so
-    they are kept in memory and on disk meanwhile."""
+    they are kept in memory and on disk meanwhile. With a path the index is saved there, what was kept is let go, and the
+    index returned is the saved one, whose queries read only what they probe; otherwise it encodes vectors when asked, and
+    what is kept stays."""
     if not 1 <= clusters <= 1 << 16:
         raise ValueError("clusters must be 1 to 65536")
     if not partitioned and (partitions or limit):
         raise ValueError("partitions and limit are for partitioned indices")
+    tell = progress or (lambda task, done, total, note="": log.debug("%s: %d of %d %s", task, done, total, note))
+
+    def of_kmeans(r: kmeans.Report) -> None:
+        tell("partitions", r.most + 1 if r.converged else r.iteration + 1, r.most + 1, f"steps {r.step_mean:.3g} +/- {r.step_stddev:.3g}")
+
+    def of_pq(r: pq.Report) -> None:
+        tell("quantizer", r.done, r.sections, f"round {r.iteration + 1} of {r.most + 1}, steps {r.step.mean:.3g} +/- {r.step.stddev:.3g}")
+
     if metric == "cosine":
         vectors = vectors.withColumn("vector", normalize(F.col("vector")))
-    vectors = vectors.select("key", "vector").persist(StorageLevel.MEMORY_AND_DISK)
+    held = [vectors.select("key", "vector").persist(StorageLevel.MEMORY_AND_DISK)]
     if not partitioned:
         log.info("training the quantizer")
-        return index.FlatPQIndex.build(vectors, pq.train(vectors, sections, clusters, iterations), metric)
-    n = partitions or default_partitions(vectors.count())
-    log.info("clustering into %d partitions", n)
-    coarse = kmeans.train(vectors, n, iterations)
-    rows = index.grouped(vectors, coarse).persist(StorageLevel.MEMORY_AND_DISK)
-    log.info("training the quantizer on residuals")
-    quantizer = pq.train(index.residuals(rows, coarse), sections, clusters, iterations)
-    return index.IVFPQIndex.build(rows, quantizer, coarse, metric, index.LimitGroups(limit or default_limit(n)))
+        found = index.FlatPQIndex.build(held[0], pq.train(held[0], sections, clusters, iterations, report=of_pq), metric)
+    else:
+        n = partitions or default_partitions(held[0].count())
+        log.info("clustering into %d partitions", n)
+        coarse = kmeans.train(held[0], n, iterations, report=of_kmeans)
+        held.append(index.grouped(held[0], coarse).persist(StorageLevel.MEMORY_AND_DISK))
+        log.info("training the quantizer on residuals")
+        quantizer = pq.train(index.residuals(held[1], coarse), sections, clusters, iterations, report=of_pq)
+        found = index.IVFPQIndex.build(held[1], quantizer, coarse, metric, index.LimitGroups(limit or default_limit(n)))
+    if path is None:
+        return found
+    log.info("writing the index")
+    found.save(path)
+    for df in held:
+        df.unpersist()
+    return index.load(vectors.sparkSession, path)

@@ -6,7 +6,6 @@ Array results are one row for each element (j from 0).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodevec import cli
+from lodevec.functions import sql
 from lodevec.functions import vectors as fv
 from lodevec.operators import evaluate, index, kmeans, knn, pq, stats
-from lodevec.operators.rng import sample_rows
+from lodevec.operators.rng import JavaRandom
 from lodevec.plans.build import build
+from lodevec.shared import scratch
 from lodevec.sources import word2vec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,11 +48,7 @@ def keyed(v: DataFrame) -> DataFrame:
     return v.select("key", "vector")
 
 
-def asked(v: DataFrame, n: int = 20) -> DataFrame:
-    return v.where(F.col("key") < n).select(F.col("key").alias("query_id"), "vector")
-
-
-def asked_all_over(v: DataFrame) -> DataFrame:
+def asked(v: DataFrame) -> DataFrame:
     """Every twentieth id, so as many queries as the table's size asks for."""
     return v.where(F.col("key") % 20 == 0).select(F.col("key").alias("query_id"), "vector")
 
@@ -146,7 +143,7 @@ def lookup_missing(spark, sf_dir):
     return wanted.join(has, "key", "left").select(F.col("key").cast("int").alias("key"), F.coalesce("has", F.lit(False)).alias("found"), "label")
 
 
-def knn_sql(v: str, k: int, where: str = "", ask: str = "key < 20") -> str:
+def knn_sql(v: str, k: int, where: str = "", ask: str = "key % 20 = 0") -> str:
     return f"""WITH {v}, d AS (SELECT q.key AS query_id, x.key AS key, {d2("q.v", "x.v")} AS distance FROM v q, v x WHERE q.{ask} {where}),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), key) AS rank FROM d)
     SELECT query_id, rank::INT AS rank, key, round(distance, 6) AS distance FROM r WHERE rank <= {k}"""
@@ -168,18 +165,6 @@ def exact_knn_cosine(spark, sf_dir):
     return rounded(knn.exact(asked(v), v, 10, "cosine"))
 
 
-@query(knn_sql(V, 10, ask="key % 20 = 0"))
-def exact_knn_l2_all_over(spark, sf_dir):
-    v = keyed(vectors(spark, sf_dir))
-    return rounded(knn.exact(asked_all_over(v), v, 10))
-
-
-@query(knn_sql(UV, 10, ask="key % 20 = 0"))
-def exact_knn_cosine_all_over(spark, sf_dir):
-    v = keyed(scaled(spark, sf_dir))
-    return rounded(knn.exact(asked_all_over(v), v, 10, "cosine"))
-
-
 @query(knn_sql(V, 5, "AND x.key BETWEEN 100 AND 299"))
 def exact_knn_range(spark, sf_dir):
     v = keyed(vectors(spark, sf_dir))
@@ -227,14 +212,18 @@ def centroid_elements(spark: SparkSession, model: kmeans.KMeans) -> DataFrame:
 CENTROIDS = "SELECT c::INT AS cluster, j::INT AS j, round(x, 6) AS x FROM c{}"
 
 
-def _init_sql() -> str:
-    picks = {n: sample_rows(n, 6, 0) for n in (500, 2000)}
-    cases = " UNION ALL ".join(f"SELECT {n} AS n, {i} AS cluster, {r} AS row_id" for n, rs in picks.items() for i, r in enumerate(rs))
-    return f"""WITH {V}, p AS ({cases}), o AS (SELECT v, row_number() OVER (ORDER BY key) - 1 AS row_id FROM v)
-    SELECT cluster::INT AS cluster, unnest(range(64))::INT AS j, round(unnest(v), 6) AS x FROM p JOIN o USING (row_id) WHERE n = (SELECT count(*) FROM v)"""
+def picks_sql(size: int, seed: int = 0) -> str:
+    """CTEs ending in picks (i from 0, row_id): row numbers below count(*) of v, as java.util.Random draws them."""
+    a, mask = JavaRandom.A, JavaRandom.MASK + 1
+    return f"""many AS (SELECT count(*)::HUGEINT AS n FROM v),
+    states AS (SELECT 0 AS i, {(seed ^ a) % mask}::HUGEINT AS s UNION ALL SELECT i + 1, (s * {a}::HUGEINT + {JavaRandom.C}) % {mask}::HUGEINT FROM states WHERE i < {size + 20}),
+    bits AS (SELECT i, (s // 131072)::HUGEINT AS u, n FROM states, many WHERE i > 0),
+    draws AS (SELECT i, CASE WHEN (n::BIGINT & (n - 1)::BIGINT) = 0 THEN n * u // 2147483648 ELSE u % n END AS row_id FROM bits WHERE (n::BIGINT & (n - 1)::BIGINT) = 0 OR u - u % n + n - 1 < 2147483648),
+    picks AS (SELECT row_number() OVER (ORDER BY i) - 1 AS i, row_id::BIGINT AS row_id FROM draws QUALIFY row_number() OVER (ORDER BY i) <= {size}),
+    ordered AS (SELECT key, v, row_number() OVER (ORDER BY key) - 1 AS row_id FROM v)"""
 
 
-@query(_init_sql())
+@query(f"WITH RECURSIVE {V}, {picks_sql(6)} SELECT i::INT AS cluster, unnest(range(64))::INT AS j, round(unnest(v), 6) AS x FROM picks JOIN ordered USING (row_id)")
 def kmeans_init(spark, sf_dir):
     return centroid_elements(spark, kmeans.initial(keyed(vectors(spark, sf_dir)), 6, 0))
 
@@ -333,7 +322,7 @@ def codes_sql(rows: str = "l", book: str = "b", name: str = "e") -> str:
     return f"{name} AS (SELECT key, s, code FROM (SELECT *, row_number() OVER (PARTITION BY key, s ORDER BY round(d, 9), code) AS r FROM ({NEAR.format(l=rows, b=book)})) WHERE r = 1)"
 
 
-PQ = f"WITH {V}, {LONG}, {BOOK}, {codes_sql()}"
+PQ = f"WITH RECURSIVE {V}, {LONG}, {BOOK}, {codes_sql()}"
 
 
 @query(f"{PQ} SELECT key, s::INT AS section, code::INT AS code FROM e")
@@ -407,7 +396,7 @@ def flat(spark: SparkSession, sf_dir: str) -> index.FlatPQIndex:
     return index.FlatPQIndex.build(keyed(vectors(spark, sf_dir)), codebook(spark, sf_dir))
 
 
-@query(f"WITH {V}, {LONG}, {BOOK} SELECT key AS query_id, s::INT AS quantizer, code::INT AS code, round(d, 6) AS d FROM ({NEAR.format(l='(SELECT * FROM l WHERE key < 20)', b='b')})")
+@query(f"WITH {V}, {LONG}, {BOOK} SELECT key AS query_id, s::INT AS quantizer, code::INT AS code, round(d, 6) AS d FROM ({NEAR.format(l='(SELECT * FROM l WHERE key % 20 = 0)', b='b')})")
 def adc_lut(spark, sf_dir):
     rows = asked(keyed(vectors(spark, sf_dir))).orderBy("query_id").collect()
     tables = codebook(spark, sf_dir).tables(np.array([r["vector"] for r in rows], np.float64))
@@ -422,7 +411,7 @@ def adc_sql(k: int, ask: str, query: str = "l") -> str:
     SELECT query_id, rank::INT AS rank, key, round(distance, 6) AS distance FROM r WHERE rank <= {k}"""
 
 
-@query(adc_sql(10, "key < 20"))
+@query(adc_sql(10, "key % 20 = 0"))
 def flat_query(spark, sf_dir):
     return rounded(flat(spark, sf_dir).query(asked(keyed(vectors(spark, sf_dir))), 10))
 
@@ -458,6 +447,13 @@ def partitioned(spark: SparkSession, sf_dir: str, strategy=index.LimitGroups(3))
     return index.IVFPQIndex.build(rows, pq.ProductQuantizer(ranges, [x[:, b : b + n] for b, n in ranges]), coarse, strategy=strategy)
 
 
+def stored(spark: SparkSession, sf_dir: str, strategy=index.LimitGroups(3)) -> index.IVFPQIndex:
+    """As it is used: written by partition, and read from there."""
+    path = scratch(spark, "index")
+    partitioned(spark, sf_dir, strategy).save(path)
+    return index.load(spark, path)
+
+
 IVF = f"""WITH {V}, {LONG}, c AS (SELECT key AS c, j, x FROM l WHERE key < 8),
 dc AS (SELECT l.key, c.c, sum((l.x - c.x) * (l.x - c.x)) AS d FROM l JOIN c ON c.j = l.j GROUP BY l.key, c.c),
 o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(d, 9), c) AS r FROM dc),
@@ -469,7 +465,7 @@ b AS (SELECT j // 8 AS s, key - 100 AS code, j, x FROM res WHERE key BETWEEN 100
 rec AS (SELECT e.key, b.j, c.x + b.x AS x FROM e JOIN b ON b.s = e.s AND b.code = e.code JOIN a ON a.key = e.key JOIN c ON c.c = a.c AND c.j = b.j)"""
 
 
-def ivf_sql(k: int, probes: str, ask: str = "SELECT key, j, x FROM l WHERE key < 20", last: str | None = None) -> str:
+def ivf_sql(k: int, probes: str, ask: str = "SELECT key, j, x FROM l WHERE key % 20 = 0", last: str | None = None) -> str:
     return f"""{IVF}, q AS ({ask}),
     qd AS (SELECT q.key, c.c, sum((q.x - c.x) * (q.x - c.x)) AS d FROM q JOIN c ON c.j = q.j WHERE c.c IN (SELECT c FROM z) GROUP BY q.key, c.c),
     qo AS (SELECT qd.*, row_number() OVER w AS r, coalesce(sum(z.n) OVER (PARTITION BY qd.key ORDER BY round(qd.d, 9), qd.c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM qd JOIN z ON z.c = qd.c WINDOW w AS (PARTITION BY qd.key ORDER BY round(qd.d, 9), qd.c)),
@@ -494,12 +490,12 @@ def ivf_probe_limit_vectors(spark, sf_dir):
 
 @query(ivf_sql(10, "r <= 3"))
 def ivf_query_limit_groups(spark, sf_dir):
-    return rounded(partitioned(spark, sf_dir).query(asked(keyed(vectors(spark, sf_dir))), 10))
+    return rounded(stored(spark, sf_dir).query(asked(keyed(vectors(spark, sf_dir))), 10))
 
 
 @query(ivf_sql(10, "held < 150"))
 def ivf_query_limit_vectors(spark, sf_dir):
-    return rounded(partitioned(spark, sf_dir, index.LimitVectors(150)).query(asked(keyed(vectors(spark, sf_dir))), 10))
+    return rounded(stored(spark, sf_dir, index.LimitVectors(150)).query(asked(keyed(vectors(spark, sf_dir))), 10))
 
 
 @query(f"{IVF} SELECT key, j::INT AS j, round(x, 6) AS x FROM rec WHERE key IN (17, 300)")
@@ -519,8 +515,9 @@ CANDIDATES = 5  # for each neighbour wanted
 
 def trained(spark: SparkSession, sf_dir: str, partitioned: bool) -> DataFrame:
     v = keyed(vectors(spark, sf_dir))
-    queries = asked_all_over(v)
-    return rounded(knn.rerank(build(v, partitioned=partitioned).query(queries, 10 * CANDIDATES), queries, v, 10))
+    queries = asked(v)
+    found = build(v, partitioned=partitioned, path=scratch(spark, "index"))
+    return rounded(knn.rerank(found.query(queries, 10 * CANDIDATES), queries, v, 10))
 
 
 @query(None)
@@ -537,11 +534,10 @@ def ivf_trained_query(spark, sf_dir):
 
 
 def _sample_sql(n: int) -> str:
-    cases = " UNION ALL ".join(f"SELECT {size} AS n, {i} AS query_id, {r} AS row_id" for size in (500, 2000) for i, r in enumerate(sample_rows(size, n, 0)))
-    return f"s AS (SELECT p.query_id, o.v, o.key FROM ({cases}) p JOIN (SELECT key, v, row_number() OVER (ORDER BY key) - 1 AS row_id FROM v) o USING (row_id) WHERE p.n = (SELECT count(*) FROM v))"
+    return f"{picks_sql(n)}, s AS (SELECT i AS query_id, v, key FROM picks JOIN ordered USING (row_id))"
 
 
-@query(f"WITH {V}, {_sample_sql(50)} SELECT query_id::BIGINT AS query_id, round(list_sum(v), 6) AS total FROM s")
+@query(f"WITH RECURSIVE {V}, {_sample_sql(50)} SELECT query_id::BIGINT AS query_id, round(list_sum(v), 6) AS total FROM s")
 def sample_queries(spark, sf_dir):
     total = F.aggregate(fv.doubles(F.col("vector")), F.lit(0.0), lambda a, x: a + x)
     return evaluate.sample(keyed(vectors(spark, sf_dir)), 50).select("query_id", F.round(total, 6).alias("total"))
@@ -552,7 +548,7 @@ tr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9),
 truth AS (SELECT query_id, r AS k, d AS m FROM tr WHERE r IN (1, 5, 10))"""
 
 
-@query(f"WITH {V}, {TRUTH} SELECT query_id::BIGINT AS query_id, k::INT AS k, round(m, 6) AS max_dist_sq FROM truth")
+@query(f"WITH RECURSIVE {V}, {TRUTH} SELECT query_id::BIGINT AS query_id, k::INT AS k, round(m, 6) AS max_dist_sq FROM truth")
 def ground_truth_kth(spark, sf_dir):
     v = keyed(vectors(spark, sf_dir))
     return evaluate.truth(evaluate.sample(v, 30), v, (1, 5, 10)).withColumn("max_dist_sq", F.round("max_dist_sq", 6))
@@ -602,14 +598,9 @@ def summary_stats_merge(spark, sf_dir):
 # --- files and printing
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}"
-    return f"{root.rstrip('/')}/lodevec-{name}-{uuid.uuid4().hex[:12]}"
-
-
 @query(f"WITH {V} SELECT key::VARCHAR AS key, unnest(range(64))::INT AS j, round(unnest(v), 6) AS x FROM v")
 def w2v_text_roundtrip(spark, sf_dir):
-    path = _folder(spark, "text")
+    path = scratch(spark, "text")
     word2vec.write(keyed(vectors(spark, sf_dir)), path, with_header=True)
     return elements(word2vec.read(spark, path), "vector", ["key"])
 
@@ -621,12 +612,80 @@ def reader_stats(spark, sf_dir):
 
 @query(ivf_sql(10, "r <= 3"))
 def index_save_load(spark, sf_dir):
-    path = _folder(spark, "index")
+    path = scratch(spark, "index")
     partitioned(spark, sf_dir).save(path)
-    return rounded(index.load(spark, path).query(asked(keyed(vectors(spark, sf_dir))), 10))
+    found = index.load(spark, path)
+    queries = asked(keyed(vectors(spark, sf_dir)))
+    return rounded(found.query(queries, 10))
 
 
 @query(f"SELECT w.key, coalesce(l.line, 'not found') AS line FROM (VALUES (40::BIGINT), (41), (-5)) w(key) LEFT JOIN (SELECT query_id, string_agg(key::VARCHAR, ',' ORDER BY rank) AS line FROM ({adc_sql(6, 'key IN (40, 41)', RECONSTRUCTED)}) GROUP BY query_id) l ON l.query_id = w.key")
 def print_results(spark, sf_dir):
     wanted = spark.createDataFrame([(40,), (41,), (-5,)], "key long")
     return cli.word_lines(wanted, flat(spark, sf_dir).query_by_key(wanted, 6))
+
+
+# --- what the command line tells, and the same from SQL
+
+
+@query("SELECT count(*) AS size, max(len(embedding))::INT AS dimension FROM embeddings")
+def w2v_header(spark, sf_dir):
+    path = scratch(spark, "text")
+    word2vec.write(keyed(vectors(spark, sf_dir)), path, with_header=True)
+    size, dimension = word2vec.header(spark.read.text(path).first()["value"])
+    return spark.createDataFrame([(size, dimension)], "size long, dimension int")
+
+
+@query("""WITH f AS (SELECT vec_id AS key, list_transform(embedding::DOUBLE[], lambda x: x * (1 + label))::FLOAT[]::DOUBLE[] AS f FROM embeddings)
+SELECT key::VARCHAR AS key, unnest(range(64))::INT AS j, round(unnest(list_transform(f, lambda x: x / sqrt(list_inner_product(f, f)))::FLOAT[])::DOUBLE, 6) AS x FROM f""")
+def w2v_normalized(spark, sf_dir):
+    path = scratch(spark, "text")
+    word2vec.write(keyed(scaled(spark, sf_dir)), path)
+    return elements(word2vec.read(spark, path, normalized=True), "vector", ["key"])
+
+
+@query("SELECT vec_id::VARCHAR AS key FROM embeddings WHERE label = 3")
+def words_file(spark, sf_dir):
+    path = scratch(spark, "words")
+    vectors(spark, sf_dir).where("label = 3").select(F.col("key").cast("string")).write.text(path)
+    return word2vec.words(spark, path)
+
+
+@query(lloyd_sql(0, "SELECT c::INT AS cluster, round(sum(x * x), 6) AS norm_sq FROM c1 GROUP BY c"))
+def centroid_norms(spark, sf_dir):
+    model = kmeans.iterate(keyed(vectors(spark, sf_dir)), start(spark, sf_dir), 1)
+    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(model.norms_sq())], "cluster int, norm_sq double")
+
+
+@query(f"WITH {SV} SELECT label, bool_and(v = list_transform(v, lambda x: x * (1 + label) / (1 + label))) AS same, bool_or(v = w) AS next_same FROM (SELECT *, lead(v) OVER (ORDER BY key) AS w FROM v) GROUP BY label")
+def vectors_equal(spark, sf_dir):
+    v = scaled(spark, sf_dir)
+    w = v.select((F.col("key") - 1).alias("key"), F.col("vector").alias("w"))
+    same = fv.equal(F.col("vector"), F.transform("vector", lambda x: x * (1 + F.col("label")) / (1 + F.col("label"))))
+    joined = v.join(w, "key", "left").groupBy("label")
+    return joined.agg(F.bool_and(same).alias("same"), F.bool_or(F.when(F.col("w").isNotNull(), fv.equal(F.col("vector"), F.col("w")))).alias("next_same"))
+
+
+@query(recall_sql(0).replace("SELECT k::INT AS k, count(*) AS n, round(avg(recall), 6) AS mean, round(stddev_pop(recall), 6) AS stddev FROM hit", "SELECT k::INT AS k, printf('R@%d: %.4f +/- %.4f', k, avg(recall), stddev_pop(recall)) AS line FROM hit"))
+def print_recall(spark, sf_dir):
+    v = keyed(vectors(spark, sf_dir))
+    queries = evaluate.sample(v, 30)
+    return evaluate.lines(evaluate.recall(flat(spark, sf_dir).query(queries, 10), queries, v, evaluate.truth(queries, v, (1, 5, 10))))
+
+
+@query("SELECT l_returnflag, printf('%.4f +/- %.4f (n = %d)', avg(l_quantity), stddev_pop(l_quantity), count(l_quantity)) AS line FROM lineitem GROUP BY l_returnflag")
+def print_summary(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(*stats.summary("l_quantity")).collect()  # one for each flag
+    return spark.createDataFrame([(r["l_returnflag"], str(stats.Summary(r["n"], r["mean"], r["variance"] * r["n"]))) for r in rows], "l_returnflag string, line string")
+
+
+@query(f"WITH {V}, p AS (SELECT a.key, a.v, b.v AS w FROM v a JOIN v b ON b.key = a.key + 1) SELECT key, round({d2('v', 'w')}, 6) AS d2, round(sqrt({d2('v', 'w')}), 6) AS d, round(sqrt(list_inner_product(v, v)), 6) AS n, round(list_sum(list_transform(list_zip(v, w), lambda z: z[1] + z[2])), 6) AS added, round(list_sum(list_transform(list_zip(v, w), lambda z: z[1] - z[2])), 6) AS taken, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first, key::VARCHAR AS word, 64::INT AS size FROM p")
+def sql_functions(spark, sf_dir):
+    sql.register(spark)
+    pairs(spark, sf_dir).select("key", fv.doubles(F.col("vector")).alias("v"), fv.doubles(F.col("other")).alias("w")).createOrReplaceTempView("lodevec_pairs")
+    total = "aggregate({}, 0D, (s, a) -> s + a)"
+    return spark.sql(
+        f"""SELECT p.key, round(vec_distance_sq(v, w), 6) AS d2, round(vec_distance(v, w), 6) AS d, round(vec_norm(v), 6) AS n, round({total.format('vec_add(v, w)')}, 6) AS added,
+        round({total.format('vec_subtract(v, w)')}, 6) AS taken, round(vec_normalize(v)[0], 6) AS first, t.key AS word, size(t.vector) AS size
+        FROM lodevec_pairs p, LATERAL word2vec_line(concat_ws(' ', string(p.key), array_join(transform(v, x -> string(x)), ' '))) t"""
+    )

@@ -1,6 +1,7 @@
 """Keyed vectors as word2vec text: an optional line "<size> <dimension>", then "key f1 f2 ..." lines.
 
-Lines are split by Spark's text source and parsed by built-in functions; only the first line is looked at on its own.
+Lines are split by Spark's text source and parsed by built-in functions; only the first line is looked at on its own, and
+if it is a header it alone is dropped, whatever other lines read.
 Blank lines are skipped; a line of another number of tokens, or a token that is no number, is an error. Keys are UTF-8
 and may hold anything but a space or a line end.
 """
@@ -24,22 +25,24 @@ def header(first: str) -> tuple[int, int] | None:
 
 def read(spark: SparkSession, path: str, normalized: bool = False) -> DataFrame:
     """key string, vector array<float>; an empty file gives no rows."""
-    lines = spark.read.text(path)
+    # A line's number within its file's part tells the header from a line that reads the same.
+    lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())
     first = lines.where("trim(value) != ''").first()
     if first is None:
         return spark.createDataFrame([], "key string, vector array<float>")
     head = header(first["value"])
     dimension = head[1] if head else len(first["value"].rstrip("\r").split(" ")) - 1
-    value = F.rtrim(F.regexp_replace("value", r"\r$", ""))
-    rows = lines.where(F.trim(value) != "")
-    if head:
-        rows = rows.where(F.col("value") != first["value"])
-    tokens = F.split(value, " ")
-    fits = F.size(tokens) == dimension + 1
-    # Said of the header, too: a filter on the result may be evaluated before the one that drops it.
-    checked = F.when(fits | (F.col("value") == (first["value"] if head else "")), tokens).otherwise(F.raise_error(F.concat(F.lit(f"not a line of {dimension} numbers: "), F.substring("value", 1, 80))))
+    return parsed(lines.where(F.trim("value") != ""), dimension, first["_line"] if head else None, normalized)
+
+
+def parsed(lines: DataFrame, dimension: int, skip: int | None = None, normalized: bool = False) -> DataFrame:
+    """lines: value, _line -> key, vector of each line but the one numbered skip."""
+    tokens = F.split(F.rtrim(F.regexp_replace("value", r"\r$", "")), " ")
+    odd = F.lit(False) if skip is None else F.col("_line") == skip
+    # Said of the skipped line, too: a filter on the result may be evaluated before the one that drops it.
+    checked = F.when((F.size(tokens) == dimension + 1) | odd, tokens).otherwise(F.raise_error(F.concat(F.lit(f"not a line of {dimension} numbers: "), F.substring("value", 1, 80))))
     vector = F.transform(F.slice(checked, 2, dimension), lambda t: t.cast("float"))
-    out = rows.select(F.element_at(checked, 1).alias("key"), vector.alias("vector"))
+    out = lines.where(~odd).select(F.element_at(checked, 1).alias("key"), vector.alias("vector"))
     return out.withColumn("vector", normalize(F.col("vector")).cast("array<float>")) if normalized else out
 
 

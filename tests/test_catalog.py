@@ -31,14 +31,14 @@ def test_equals_sql(spark, sf_dir, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 200
+    assert entry.entry(spark).count() == 250
 
 
 @pytest.mark.parametrize("name", ["flat_trained_query", "ivf_trained_query"])
 def test_trained_recall(spark, sf_dir, name):
     """Of the ten exact neighbours of every twentieth vector nine tenths are found, at their exact distances."""
     got = {(r["query_id"], r["key"]): r["distance"] for r in entry.queries()[name](spark, sf_dir).collect()}
-    want = {(r["query_id"], r["key"]): r["distance"] for r in entry.queries()["exact_knn_l2_all_over"](spark, sf_dir).collect()}
+    want = {(r["query_id"], r["key"]): r["distance"] for r in entry.queries()["exact_knn_l2"](spark, sf_dir).collect()}
     asked = {q for q, _ in want}
     assert asked == {q for q, _ in got} == {i for i in range(spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()) if i % 20 == 0}
     both = got.keys() & want.keys()

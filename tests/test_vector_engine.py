@@ -75,6 +75,50 @@ def test_best_is_sort_and_take(items, k, cut):
     assert sorted(zip(d, keys, strict=True)) == sorted((float(y), x) for x, y in items)[:k]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 40), st.integers(1, 9), st.sampled_from([1, 3, 50]), st.booleans())
+def test_near_distances_find_what_a_sort_finds(seed, rows, queries, k, whole):
+    """With ties (whole numbers), equal vectors, zero and NaN ones."""
+    r = np.random.default_rng(seed)
+    x = r.integers(0, 3, (rows, 4)).astype(float) if whole else r.normal(size=(rows, 4)) * 10
+    x[r.random(rows) < 0.1] = np.nan
+    q, best, key = x[r.integers(0, rows, queries)], arrays.Best(queries, k), r.permutation(rows)
+    for at in range(0, rows, 7):
+        i = np.arange(queries)
+        best.add(i, arrays.near_distances(q, x[at : at + 7], k, best.worst(i)), key[at : at + 7])
+    got = {}
+    for i, name, d in zip(*best.rows(), strict=True):
+        got.setdefault(int(i), []).append((round(float(d), 9), int(name)))
+    for i in range(queries):
+        want = sorted((round(float(((q[i] - v) ** 2).sum()), 9), int(n)) for v, n in zip(x, key, strict=True) if np.isfinite(v).all() and np.isfinite(q[i]).all())
+        assert got.get(i, []) == want[:k]
+
+
+def peak(f):
+    """MB that numpy and Python take at most while f runs."""
+    import tracemalloc
+
+    tracemalloc.start()
+    f()
+    size = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return size
+
+
+def test_kernels_stay_small():
+    r = np.random.default_rng(0)
+    x, q = r.normal(size=(10_000, 64)), r.normal(size=(2048, 64))
+
+    def search():
+        best = arrays.Best(len(q), 10)
+        for at in range(0, len(q), 128):
+            i = np.arange(at, at + 128)
+            best.add(i, arrays.near_distances(q[i], x, 10, best.worst(i)), np.arange(len(x)))
+
+    assert peak(search) < 300
+    assert peak(lambda: arrays.nearest(x[:2000], r.normal(size=(65_536, 64)))) < 300
+
+
 def test_nearest_ties_and_nan():
     c = np.array([[0.0, 0.0], [1.0, 0.0], [1.0, 0.0]])
     i, d = arrays.nearest(np.array([[1.0, 0.0], [0.5, 0.0]]), c)
@@ -159,6 +203,66 @@ def test_limit_vectors_boundaries(spark, clustered):
         assert all(len(p) == (len(found.partitions) if want is None else want) for p in found.probes(x))
 
 
+def test_a_result_without_a_vector_is_an_error(spark, clustered):
+    v = frame(spark, clustered)
+    q = evaluate.sample(v, 5)
+    with pytest.raises(Exception, match="no vector for the result"):
+        evaluate.recall(knn.exact(q, v, 10), q, v.where("key < 300"), evaluate.truth(q, v, (1, 5))).collect()
+
+
+def test_first_partition_wins(spark, clustered):
+    """A key that stands in several partitions is found once, in the lowest."""
+    v = frame(spark, np.concatenate([clustered[:200], clustered[200:210]]), [*range(200), *range(10)])
+    found = build(v, "l2", 8, 2, 2, partitioned=True, partitions=5, limit=5)
+    every = found.reconstruct().where("key < 10").collect()
+    first = {}
+    for r in every:
+        first[r["key"]] = min(first.get(r["key"], (99, None)), (r["partition"], r["vector"]))
+    got = {r["key"]: r["vector"] for r in found.lookup(spark.createDataFrame([(i,) for i in range(10)], "key long")).collect()}
+    assert len(every) == 20 and len(got) == 10
+    assert all(got[i] in [r["vector"] for r in every if r["key"] == i and r["partition"] == first[i][0]] for i in got)
+    assert found.query_by_key(spark.createDataFrame([(3,)], "key long"), 4).count() == 4
+
+
+def test_saved_index_reads_what_it_probes(spark, clustered, tmp_path):
+    said = []
+    found = build(frame(spark, clustered), "l2", 8, 2, 2, partitioned=True, partitions=8, limit=1, path=str(tmp_path / "i"), progress=lambda *a: said.append(a))
+    assert {x[0] for x in said} == {"partitions", "quantizer"} and all(0 <= done <= total for _, done, total, _ in said)
+    one = spark.createDataFrame([(0, [float(x) for x in clustered[0]])], "query_id long, vector array<float>")
+    plan = found.query(one, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(partition" in plan
+    codes = spark.read.parquet(str(tmp_path / "i" / "codes"))
+    assert dict(codes.dtypes)["codes"] == "binary" and {len(r["codes"]) for r in codes.collect()} == {pq.packed_size(4, 2)}
+    keys = {}
+    for r in codes.select("*", F.input_file_name().alias("f")).collect():
+        keys.setdefault(r["f"], []).append(r["key"])
+    assert all(k == sorted(k) for k in keys.values())
+
+
+def test_same_rows(spark, clustered):
+    a = frame(spark, clustered[:20])
+    assert fv.same_rows(a, a.orderBy(F.desc("key"))) and not fv.same_rows(a, a.where("key > 0")) and not fv.same_rows(a, a.unionByName(a))
+
+
+def test_package_is_shipped(spark):
+    """A worker that has only what was shipped can import it."""
+    from lodevec.shared import ship
+
+    ship(spark)
+    ship(spark)
+    assert spark.range(1).select(F.udf(lambda _: __import__("lodevec.shared").__name__)("id")).first()[0] == "lodevec"
+
+
+def test_shared_folder_is_to_be_named(monkeypatch):
+    from types import SimpleNamespace
+
+    from lodevec.shared import shared_dir
+
+    none = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=none, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: none)))
+
+
 def test_recall_of_exact_results_is_one(spark, clustered):
     v = frame(spark, clustered)
     q = evaluate.sample(v, 20)
@@ -173,6 +277,12 @@ def test_word2vec(spark, tmp_path, text, want):
     assert len(rows) == want and all(len(r["vector"]) in (2, 3) for r in rows)
 
 
+def test_word2vec_drops_the_header_only(spark, tmp_path):
+    """A line that reads like the header is a vector."""
+    (tmp_path / "v.txt").write_text("3 1\n3 1\na 2\n3 1\n")
+    assert [(r["key"], r["vector"]) for r in word2vec.read(spark, str(tmp_path / "v.txt")).collect()] == [("3", [1.0]), ("a", [2.0]), ("3", [1.0])]
+
+
 @pytest.mark.parametrize("text", ["a 1 2\nb 1\n", "a 1 2\nb 1 2 3\n", "a 1 x\n"])
 def test_word2vec_errors(spark, tmp_path, text):
     (tmp_path / "v.txt").write_text(text)
@@ -202,6 +312,7 @@ def test_cli(spark, clustered, tmp_path, capsys):
         args(["build-index", "-d", "l2", "-k", "0", "-o", "x", "y"])
     with pytest.raises(SystemExit):
         cli.run(args(["build-index", "-d", "l2", "-l", "3", "-o", "x", "y"]), spark)
+    assert cli.bar(1, 2, 4) == "[##  ]  50 %" and cli.rate(10, 2.0) == 5 and cli.rate(1, 0) == 0
     assert cli.formatted_bytes(1500) == "1.5 kB" and cli.formatted_seconds(0.5) == "500 ms"
 
 

@@ -1,20 +1,15 @@
-"""Shared helpers: reading tables, the shared working folder, staged tables."""
+"""Shared helpers: reading tables, staged tables, keys that many rows share."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import re
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from lodevec.shared import hadoop, listed, removed, scratch, shared_dir
+
+__all__ = ["hadoop", "listed", "removed", "scratch", "shared_dir"]
 
-_made: list[tuple[SparkSession, str]] = []
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key with more than this share of the rows is handled by broadcast; there are fewer than 1 / HEAVY such keys.
 HEAVY = 1 / 1000
 
@@ -23,26 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir. Where that is unset, one is made on this machine, which only a
-    local master can share with its executors; for any other it is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lodevec-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        _made.append((spark, root))
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, which goes when the driver's process ends."""
-    path = f"{shared_dir(spark)}/lodevec/{name}-{uuid.uuid4().hex[:12]}"
-    _made.append((spark, path))
-    return path
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage in a way that outlives any executor."""
     path = scratch(df.sparkSession, name)
@@ -50,39 +25,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hadoop(spark: SparkSession, path: str):
-    """Spark's own file system for a path, and the path in its terms: works on any store that Spark reads."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def listed(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder; none if it isn't there."""
-    store, at = hadoop(spark, path)
-    return sorted(x.getPath().getName() for x in store.listStatus(at)) if store.exists(at) else []
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    store, at = hadoop(spark, path)
-    store.delete(at, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        if path.startswith(("file:/", "/")):
-            shutil.rmtree(local(path), ignore_errors=True)
-            continue
-        try:
-            removed(spark, path)
-        except Exception:  # Spark has ended, or the store can't be reached
-            return
-
-
-def local(path: str) -> str:
-    return "/" + path.split(":", 1)[1].lstrip("/") if path.startswith("file:") else os.path.abspath(path)
-
-
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
@@ -100,8 +42,8 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def one_of_each(docs: DataFrame, keys: dict[str, Column], winners: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs' rows with a key among winners', one row of each key, with docs' own columns.
+def one_of_each(docs: DataFrame, keys: dict[str, Column], winners: DataFrame, rows: DataFrame, take: str | None = None) -> DataFrame:
+    """docs' rows with a key among winners', one row of each key, with docs' own columns, and the column take of winners.
 
     keys: expressions over docs, of which some may be null, by the names they have in winners (keys that stay, each once)
     and rows (every row's key). Whole rows are shuffled once, by their key. A key of more than HEAVY of the rows, that is
@@ -118,15 +60,16 @@ def one_of_each(docs: DataFrame, keys: dict[str, Column], winners: DataFrame, ro
 
     on = [*names.values(), *nulls.values()]
     own = {k: F.col(k) for k in keys}
-    known, every, whole = marked(winners, own).select(*on), marked(rows, own).select(*on), marked(docs, keys)
+    brought = [take] if take else []
+    known, every, whole = marked(winners, own).select(*on, *brought), marked(rows, own).select(*on), marked(docs, keys)
+    how, out = "inner" if take else "left_semi", [*docs.columns, *brought]
     many = every.groupBy(*on).agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > rows.count() * HEAVY).select(*on)
-    hot = staged(many.join(known.hint("merge"), on, "left_semi"), "hot-keys")
-    out = whole.join(known.hint("merge"), on, "left_semi")
+    hot = staged(many.join(known.hint("merge"), on, how), "hot-keys")
     if not hot.head(1):
-        return out.dropDuplicates(on).select(*docs.columns)
+        return whole.join(known.hint("merge"), on, how).dropDuplicates(on).select(*out)
     few = F.broadcast(hot)  # fewer than 1 / HEAVY
-    cold = whole.join(few, on, "left_anti").join(known.hint("merge"), on, "left_semi").dropDuplicates(on)
-    return cold.unionByName(whole.join(few, on, "left_semi").dropDuplicates(on)).select(*docs.columns)
+    cold = whole.join(few, on, "left_anti").join(known.hint("merge"), on, how).dropDuplicates(on)
+    return cold.unionByName(whole.join(few, on, how).dropDuplicates(on)).select(*out)
 
 
 def labelled_texts(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -29,7 +29,7 @@ from lodevec.llm.words import U, mix, raw_bytes, slices, words
 #: Labelled rows of each domain that the classifier is fitted on, at most; buckets of hashed words.
 SAMPLE, BUCKETS = 3000, 4096
 #: Rounds at most; how near totals are to be to the targets, or to those of the least squares, in shares of the targets' sum.
-ROUNDS, TOLERANCE, NEAR = 200, 1e-6, 1e-5
+ROUNDS, TOLERANCE, NEAR = 60, 1e-6, 1e-5
 # The production targets, shares of all tokens by domain.
 TARGETS = {"low": 0.12, "high": 0.88}
 
@@ -182,8 +182,11 @@ def rates(members: DataFrame, targets: list[float], least: float = 0.0, rounds:
     the sum of targets, when the totals are shown to lie within NEAR of those of the least squares (no rates meet the
     targets), or after rounds, which is logged as a warning. The round with the least error counts, not the last one.
 
-    The proof: with the gradient at the rates, tokens x (posterior . residual), no other rates lower half the squared
-    error by more than the gap, and the distance of the totals from the best ones is at most sqrt(2 x gap).
+    The proof is the problem's dual: a vector that no posterior has a negative product with bounds from below what any
+    rates reach. The residual, less its least product with a posterior (which sum to one), is such a vector; half the
+    squared error is at most the gap above that bound, and the totals are at most sqrt(2 x gap) from the best ones. Where
+    targets are out of reach, the exact least squares would repeat a few documents of the outermost posteriors without
+    end, so running out of rounds is no failure there.
     """
     k = len(targets)
     t = np.array(targets)
@@ -202,7 +205,8 @@ def rates(members: DataFrame, targets: list[float], least: float = 0.0, rounds:
         sums = rated.agg(
             *(F.sum(F.col("_tokens") * F.col("rate") * p[i]) for i in range(k)), *(F.sum(free * p[i] * p[j]) for i in range(k) for j in range(k)), F.min(slope)
         ).first()
-        gap = residual @ (reached - lowest) + max(0.0, -float(sums[-1])) * (t.sum() + np.sqrt(k) * np.linalg.norm(residual))
+        dual = residual + max(0.0, -float(sums[-1]))
+        gap = (residual @ residual + dual @ dual) / 2 + dual @ (t - lowest)
         if history and np.sqrt(2 * max(gap, 0.0)) <= NEAR * t.sum():
             end = "least squares"
             break

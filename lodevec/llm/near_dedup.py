@@ -33,7 +33,7 @@ from lodevec.llm.words import U, mix, shingles, slices
 THRESHOLD, WORDS = 0.8, 5
 #: Rounds of pivots; rows of a bucket up to which its pairs are listed; rows and shingles of a block of larger ones, about;
 #: columns of a matrix at once.
-ROUNDS, SMALL, BLOCK, BLOCK_SHINGLES, COLUMNS = 2, 64, 1024, 1 << 20, 4096
+ROUNDS, SMALL, BLOCK, BLOCK_SHINGLES, COLUMNS = 2, 64, 512, 1 << 20, 4096
 SIGNED = "row long, id long, text_hash long, name1 long, name2 long, n long, keys array<long>"
 LINKS = "a long, b long, u long, v long, similarity double"
 NO_ID = 2**63 - 1
@@ -219,10 +219,14 @@ def _classes(sigs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         .select("name1", "name2", "x.row", "x.id", "x.text_hash", "x.n", "x.keys", "copies", "first"),
         "distinct",
     )
-    members = open_buckets(distinct.select(F.explode("keys").alias("key"), "row", "n", F.col("row").alias("class")), 0)
-    wanted = distinct.join(members.select("row").distinct(), "row", "left_semi").select("row", F.col("id").alias("w_id"), F.col("text_hash").alias("w_hash"))
-    same = F.col("id").eqNullSafe(F.col("w_id")) & (F.xxhash64("text") == F.col("w_hash"))
-    bags = staged(shingle_sets(texts.join(wanted.hint("merge"), same).select("row", "text")).dropDuplicates(["row"]), "bags")
+    # Most keys occur once; what is shuffled for them is 16 bytes each, twice.
+    every = distinct.select(F.explode("keys").alias("key"), "row")
+    shared = staged(every.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key"), "shared-keys")
+    some = staged(every.join(shared.hint("merge"), "key"), "shared")
+    members = open_buckets(some.join(distinct.select("row", "n").hint("merge"), "row").select("key", "row", "n", F.col("row").alias("class")), 0)
+    wanted = staged(distinct.join(some.select("row").distinct().hint("merge"), "row", "left_semi").select("row", "id", "text_hash"), "wanted")
+    keys = {"id": F.col("id"), "text_hash": F.xxhash64("text")}
+    bags = staged(shingle_sets(one_of_each(texts, keys, wanted, sigs.select("id", "text_hash"), "row")), "bags")
     links, renamed = [], []
 
     def settle(found: DataFrame) -> bool:

@@ -6,14 +6,16 @@ lowest bit in which the two differ, and its value), which after a few turns has
 different; phrases begin where labels peak. Labels depend on a few symbols to the left only, so equal substrings get
 the same phrases inside, wherever they stand. A phrase's name is a hash of what it holds.
 
-A fingerprint is text: the name of the whole parse, the number of phrases on each of three levels, and for each level a
-sketch of the set of its names (one-permutation minimum hashes). Likeness compares the highest level on which both
-texts have enough phrases, so long texts are compared by long phrases and short ones by short phrases.
+A fingerprint is text: the name of the one phrase that parsing ends in, the number of phrases on each of the first three
+levels, and for each of these a sketch of the set of its names (one-permutation minimum hashes). Likeness compares the
+highest of the three on which both texts have enough phrases, so long texts are compared by long phrases and short ones by
+short phrases.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,6 +31,10 @@ from lodevec.llm.words import U, mix
 SLOTS, ENOUGH = (32, 32, 64), 12
 EMPTY = 0xFFFF
 BATCH = 1 << 20
+#: Bytes of a part of the texts, about, and most parts by size (more only if shuffles have more): a part's texts go through a
+#: task a batch at a time, so larger ones take longer but no more memory.
+PART_BYTES, MOST_PARTS = 64 << 20, 8192
+_LEAST = -(2**63)
 BASE = U(0x9E3779B97F4A7C15)
 
 
@@ -128,14 +134,19 @@ def fingerprints(texts: list[bytes]) -> tuple[list[str], np.ndarray, list[np.nda
         x, edges = parse(x, edges)
         counts[:, level] = np.diff(edges)
         sketches.append(_sketch(x, edges, slots))
-    # The name of the whole parse: of the highest level's phrases, in order.
-    many = np.diff(edges)
-    place = np.arange(len(x)) - np.repeat(edges[:-1], many)
-    has = many > 0
-    if has.any():
-        root[has] = np.add.reduceat(mix(x + mix(place.astype(U))), edges[:-1][has])
+    # Parsing goes on until every text is one phrase; its name, with the level it was reached on, names the text.
+    level, open_ = len(SLOTS), np.ones(len(texts), bool)
+    while open_.any():
+        many = np.diff(edges)
+        done = open_ & (many <= 1)
+        has = done & (many == 1)
+        root[has] = mix(x[edges[:-1][has]] + U(level))
+        open_ &= ~done
+        if open_.any():
+            x, edges = parse(x, edges)
+            level += 1
     root = mix(root + counts.sum(axis=1).astype(U))
-    digits = np.concatenate([s.astype(">u2") for s in sketches], axis=1)
+    digits = np.concatenate(sketches, axis=1).astype(">u2")
     names = [f"{r:016x}.{a:x}.{b:x}.{c:x}.{d.tobytes().hex()}" for r, (a, b, c), d in zip(root.tolist(), counts.tolist(), digits, strict=True)]
     return names, counts, sketches
 
@@ -166,34 +177,60 @@ def compare(one: str, other: str) -> float:
     return 1.0 if one == other else float(likeness(*read(one), *read(other))[0])
 
 
+def _cuts(docs: DataFrame, parts: int) -> list[tuple[int | None, int]]:
+    """(id, hash) at which parts 1, 2, ... begin, in the order of ids (descending, nulls last) and then of hashes. An id
+    with many rows, and null ids, are cut by hash."""
+    rows, known = docs.agg(F.count(F.lit(1)), F.count("id")).first()
+    wanted = round(parts * known / rows) if rows else 0
+    out: list[tuple[int | None, int]] = []
+    if wanted > 1:
+        found = Counter(docs.where("id IS NOT NULL").approxQuantile("id", [i / wanted for i in range(1, wanted)], 0.2 / wanted))
+        for i in sorted(found, reverse=True):
+            out += [(int(i), _LEAST + (k << 64) // found[i]) for k in range(found[i])]
+    nulls = max(parts - wanted, 1) if rows > known else 0
+    return out + [(None, _LEAST + (k << 64) // nulls) for k in range(nulls)]
+
+
 def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """id, text -> part, ghost, id, text: range-partitioned by descending id, each part followed by a copy (ghost) of the
-    row that follows its last one; the last part is followed by the first row of all.
+    """id, text -> part, ghost, id, text: in ranges of descending ids, each part in a task of its own, followed by a copy
+    (ghost) of the row that follows its last one; the last part is followed by the first row of all.
 
-    One exchange moves the texts. What the driver sees is one row for each part: its largest id. Rows of one id are
-    ordered by their text; null ids come last.
+    One exchange moves the texts. What the driver sees is one row for each part: its first key. Rows of one id are
+    ordered by a hash of their text and by the text; null ids come last. Rows with the same id and text stay in one part.
     """
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(docs.where("id IS NOT NULL").approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n) or []), reverse=True)
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    cuts = _cuts(docs, partitions or _parts_of(docs))
+
+    def reached(cut: tuple[int | None, int]) -> Column:
+        i, h = cut
+        if i is None:
+            return F.col("id").isNull() & (F.col("h") >= h)
+        return F.col("id").isNull() | (F.col("id") < i) | ((F.col("id") == i) & (F.col("h") >= h))
 
     def tree(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         mid = (low + high) // 2
-        return F.when(F.col("id") >= int(cuts[mid]), tree(low, mid)).otherwise(tree(mid + 1, high))
-
-    part = F.when(F.col("id").isNull(), F.lit(len(cuts))).otherwise(tree(0, len(cuts)))
-    dealt = docs.withColumn("part", part.cast("int"))
-    tops = {r["part"]: r["top"] for r in dealt.groupBy("part").agg(F.max("id").alias("top")).collect()}
-    full = sorted(tops)
-    before = {p: full[i - 1] for i, p in enumerate(full)}  # the first part's copy goes to the last
-    top = F.array(*(F.lit(tops.get(p)).cast("long") for p in range(len(cuts) + 1)))[F.col("part")]
-    to = F.array(*(F.lit(before.get(p)).cast("int") for p in range(len(cuts) + 1)))[F.col("part")]
-    ghost = F.when(F.col("id").eqNullSafe(top), to)
-    copies = dealt.withColumn("ghost", ghost).select("id", "text", F.explode(F.filter(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ghost")), F.struct(F.col("ghost").alias("part"), F.lit(True).alias("ghost"))), lambda s: s["part"].isNotNull())).alias("to"))
-    placed = copies.select("to.part", "to.ghost", "id", "text")
-    return placed.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "ghost", F.col("id").desc_nulls_last(), "text")
+        return F.when(F.coalesce(reached(cuts[mid]), F.lit(False)), tree(mid + 1, high)).otherwise(tree(low, mid))
+
+    dealt = docs.withColumn("part", tree(0, len(cuts)).cast("int"))
+    tops = dealt.groupBy("part").agg(F.max(F.struct("id", F.bitwise_not("h").alias("not_h"))).alias("top")).orderBy("part").collect()
+    # The first row of each part is copied to the part before; that of the first part to the last.
+    before = [(r["part"], r["top"]["id"], ~r["top"]["not_h"], tops[k - 1]["part"]) for k, r in enumerate(tops)]
+    firsts = F.broadcast(spark.createDataFrame(before, "part int, first_id long, first_h long, before int"))  # one a part
+    is_first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))
+    to = F.struct(F.col("part"), F.lit(False).alias("ghost")), F.struct(F.col("before").alias("part"), F.lit(True).alias("ghost"))
+    copies = dealt.join(firsts, "part").select("id", "text", "h", F.explode(F.when(is_first, F.array(*to)).otherwise(F.array(to[0]))).alias("to"))
+    placed = copies.select("to.part", "to.ghost", "id", "h", "text")
+    return placed.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "ghost", F.col("id").desc_nulls_last(), "h", "text").drop("h")
+
+
+def _parts_of(docs: DataFrame) -> int:
+    """As many as other shuffles have, or by what the planner takes the input's size to be (if it has an idea of it),
+    whichever is more."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, size // PART_BYTES) if size < 1 << 60 else 1)
 
 
 SCHEMA = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

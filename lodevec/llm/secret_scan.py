@@ -33,21 +33,30 @@ SCOPE = 400
 ROLE = {"access": "identifier", "account": "identifier", "assign": "secret", "hex": "secret", "mixed": "secret", "endpoint": "endpoint"}
 COMPLETES = {"account": ["secret"], "mixed": ["identifier", "endpoint"], "endpoint": ["secret"]}
 
-NO_SPANS = "CAST(array() AS ARRAY<STRUCT<start: INT, end: INT>>)"
+SPAN = "STRUCT<start: INT, end: INT>"
+NO_SPANS = f"CAST(array() AS ARRAY<{SPAN}>)"
+#: Matches whose places are added up before they are put aside: appending one by one to one array would take time that
+#: grows with the square of their number.
+TOGETHER = 64
 
 
 def _spans(text: Column, pattern: str, matches: Column) -> Column:
     """[start, end) of each match, left to right."""
     before = F.split(text, pattern, -1)
     steps = F.zip_with(F.slice(before, F.lit(1), F.size(matches)), matches, lambda b, m: F.struct(F.char_length(b).alias("gap"), F.char_length(m).alias("long")))
-    zero = F.struct(F.lit(0).alias("at"), F.expr(NO_SPANS).alias("spans"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / TOGETHER).cast("int")), lambda k: F.slice(steps, k * TOGETHER + 1, F.lit(TOGETHER)))
 
     def add(acc: Column, s: Column) -> Column:
         start = acc["at"] + s["gap"]
         end = start + s["long"]
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("spans"))
 
-    return F.when(F.size(matches) > 0, F.aggregate(steps, zero, add)["spans"]).otherwise(F.expr(NO_SPANS))
+    def add_block(acc: Column, block: Column) -> Column:
+        some = F.aggregate(block, F.struct(acc["at"].alias("at"), F.expr(NO_SPANS).alias("spans")), add)
+        return F.struct(some["at"].alias("at"), F.concat(acc["blocks"], F.array(some["spans"])).alias("blocks"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS ARRAY<ARRAY<{SPAN}>>)").alias("blocks"))
+    return F.when(F.size(matches) > 0, F.flatten(F.aggregate(blocks, zero, add_block)["blocks"])).otherwise(F.expr(NO_SPANS))
 
 
 def parts_of(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:

@@ -1,11 +1,11 @@
 """Histogram sort: shards of near-equal bytes, cut at exact byte counts, with one exchange of the rows.
 
-Rows are ordered by (hash of the text, id). Rounds of counting find the shards - 1 splitters of that order: each round
-adds up, in one aggregation with map-side combining, the exact bytes and rows of equal-width cells between the smallest
-and the largest key that can still hold a splitter, and keeps for each splitter the one cell in which its byte target
-falls. A splitter is settled when a cell edge is within the tolerance, or its cell holds rows of one key only. Within
-one text (a hot group) the rounds go on over the ids. The driver sees at most cells x splitters counts a round,
-whatever the input's size.
+Rows are ordered by (hash of the text, id, row number). Rounds of counting find the shards - 1 splitters of that order:
+each round adds up, in one aggregation with map-side combining, the exact bytes and rows of equal-width cells between the
+smallest and the largest key that can still hold a splitter, and keeps for each splitter the one cell in which its byte
+target falls. A splitter is settled when a cell edge is within the tolerance, or its cell holds one row only. Within one
+text (a hot group) the rounds go on over the ids, and within one id over the row numbers, so nothing is too alike to be
+split. The driver sees at most cells x splitters counts a round, whatever the input's size.
 
 Equal texts are neighbours, so they share a shard unless a splitter has to fall among them; a splitter that falls into a
 group moves to the group's nearer end if that costs less than group_slack of a shard.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from itertools import accumulate
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,30 @@ from pyspark.sql import functions as F
 from lodevec.llm.common import staged, table, text_or_empty
 
 SIZE_OVERHEAD = 16
+#: What rows are ordered by, in turn; row is unique.
+KEYS = ("h", "id", "row")
+LEAST, MOST = -(2**63), 2**63 - 1
+Key = tuple[int, ...]
+
+
+class _Open(NamedTuple):
+    """Keys of a level between low and high, the levels before being fixed, in which targets fall; below: bytes before."""
+
+    fixed: Key
+    low: int
+    high: int
+    below: int
+    targets: list[int]
+
+    @property
+    def level(self) -> str:
+        return KEYS[len(self.fixed)]
+
+    def holds(self) -> Column:
+        out = F.col(self.level).between(self.low, self.high)
+        for name, value in zip(KEYS, self.fixed, strict=False):
+            out &= F.col(name) == value
+        return out
 
 
 def _cell(key: Column, low: int, high: int, cells: int) -> Column:
@@ -30,97 +55,105 @@ def _cell(key: Column, low: int, high: int, cells: int) -> Column:
     return F.shiftright(key, shift) - F.lit(low >> shift)
 
 
-def splitters(rows: DataFrame, shards: int, cells: int = 1024, tolerance: float = 0.001, group_slack: float = 0.01) -> list[tuple[int, int]]:
-    """rows: h, id, size (all long, not null; h in 0 to 2^62). The (h, id) at which shards 1, 2, ... begin."""
+def _after(fixed: Key, value: int) -> Key:
+    """The least key beyond all that begin with fixed and value."""
+    prefix = [*fixed, value]
+    while prefix and prefix[-1] == MOST:
+        prefix.pop()
+    return _padded((*prefix[:-1], prefix[-1] + 1)) if prefix else (MOST,) * len(KEYS)
+
+
+def _padded(key: Key) -> Key:
+    return key + (LEAST,) * (len(KEYS) - len(key))
+
+
+def splitters(rows: DataFrame, shards: int, cells: int = 1024, tolerance: float = 0.001, group_slack: float = 0.01) -> list[Key]:
+    """rows: h, id, row, size (all long, not null; h in 0 to 2^62). The (h, id, row) at which shards 1, 2, ... begin."""
     whole = rows.agg(F.sum("size"), F.min("h"), F.max("h")).first()
     total = int(whole[0] or 0)
     if not total or shards < 2:
         return []
     mean = total / shards
-    #: level, fixed h, lowest and highest key of the level, bytes below, targets that fall inside
-    open_cells = [("h", None, int(whole[1]), int(whole[2]), 0, [round(i * mean) for i in range(1, shards)])]
-    found: dict[int, tuple[int, int]] = {}
-    least = -(2**63)
+    open_cells = [_Open((), int(whole[1]), int(whole[2]), 0, [round(i * mean) for i in range(1, shards)])]
+    found: dict[int, Key] = {}
     while open_cells:
-        parts = []
-        for k, (level, h, low, high, _, _) in enumerate(open_cells):
-            here = F.col(level).between(low, high)
-            if h is not None:
-                here &= F.col("h") == h
-            parts.append(F.when(here, F.struct(F.lit(k).alias("k"), _cell(F.col(level), low, high, cells).cast("long").alias("cell"))))
+        parts = [F.when(c.holds(), F.struct(F.lit(k).alias("k"), _cell(F.col(c.level), c.low, c.high, cells).cast("long").alias("cell"), F.col(c.level).alias("key"))) for k, c in enumerate(open_cells)]
         counts = (
-            rows.select("h", "id", "size", F.coalesce(*parts).alias("at")).where("at IS NOT NULL").groupBy("at.k", "at.cell")
-            .agg(F.sum("size").alias("bytes"), F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("id").alias("i0"), F.max("id").alias("i1")).collect()
+            rows.select("size", F.coalesce(*parts).alias("at")).where("at IS NOT NULL").groupBy("at.k", "at.cell")
+            .agg(F.sum("size").alias("bytes"), F.min("at.key").alias("least"), F.max("at.key").alias("most")).collect()
         )
         by: dict[int, list] = {}
         for r in counts:
             by.setdefault(r["k"], []).append(r)
         later = []
-        for k, (level, h, _, _, below, targets) in enumerate(open_cells):
+        for k, c in enumerate(open_cells):
             line = sorted(by[k], key=lambda r: r["cell"])
-            ends = [below + x for x in accumulate(r["bytes"] for r in line)]
+            ends = [c.below + x for x in accumulate(r["bytes"] for r in line)]
             inside: dict[int, list[int]] = {}
-            for t in targets:
+            for t in c.targets:
                 i = min(bisect_left(ends, t), len(line) - 1)
                 r, start = line[i], ends[i] - line[i]["bytes"]
-                first = (r["h0"], least if level == "h" else r["i0"])
-                after = (line[i + 1]["h0"], least if level == "h" else line[i + 1]["i0"]) if i + 1 < len(line) else None
-                one_text, one_key = r["h0"] == r["h1"], r["h0"] == r["h1"] and r["i0"] == r["i1"]
-                near = min(t - start, ends[i] - t)
-                slack = group_slack * mean if one_text and level == "h" else tolerance * mean
-                if near <= slack or one_key:
-                    if after is None:
-                        after = (r["h1"] + 1, least) if level == "h" or r["i1"] == 2**63 - 1 else (r["h1"], r["i1"] + 1)
-                    found[t] = first if t - start <= ends[i] - t else after
+                one = r["least"] == r["most"]
+                slack = group_slack * mean if one and c.level == KEYS[0] else tolerance * mean
+                if min(t - start, ends[i] - t) <= slack or (one and c.level == KEYS[-1]):
+                    nearer = t - start <= ends[i] - t
+                    found[t] = _padded((*c.fixed, r["least"])) if nearer else _after(c.fixed, r["most"])
                 else:
                     inside.setdefault(i, []).append(t)
             for i, ts in inside.items():
                 r, start = line[i], ends[i] - line[i]["bytes"]
-                later.append(("id", r["h0"], r["i0"], r["i1"], start, ts) if r["h0"] == r["h1"] else ("h", None, r["h0"], r["h1"], start, ts))
+                fixed = (*c.fixed, r["least"]) if r["least"] == r["most"] else c.fixed
+                later.append(_Open(fixed, LEAST, MOST, start, ts) if len(fixed) > len(c.fixed) else _Open(fixed, r["least"], r["most"], start, ts))
         open_cells = later
     return [found[round(i * mean)] for i in range(1, shards)]
 
 
-def shard_of(at: list[tuple[int, int]]) -> Column:
-    """How many splitters are at or below (h, id): a balanced tree of comparisons."""
+def shard_of(at: list[Key]) -> Column:
+    """How many splitters are at or below (h, id, row): a balanced tree of comparisons."""
+
+    def reached(key: Key) -> Column:
+        out = F.col(KEYS[-1]) >= key[-1]
+        for name, value in reversed(list(zip(KEYS[:-1], key[:-1], strict=True))):
+            out = (F.col(name) > value) | ((F.col(name) == value) & out)
+        return out
 
     def tree(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         mid = (low + high) // 2
-        h, i = at[mid]
-        return F.when((F.col("h") > h) | ((F.col("h") == h) & (F.col("id") >= i)), tree(mid + 1, high)).otherwise(tree(low, mid))
+        return F.when(reached(at[mid]), tree(mid + 1, high)).otherwise(tree(low, mid))
 
     return tree(0, len(at)).cast("int")
 
 
 def shard_by_bytes(rows: DataFrame, shards: int, per_cell: int = 100_000, **how) -> DataFrame:
-    """rows: h, id, size and any more columns -> the same with shard and slot, the place in the shard (gapless from 0).
+    """rows: h, id, row, size and any more columns -> the same with shard and slot, the place in the shard (gapless from 0).
 
-    Slots are counted in cells of a shard, dealt by a hash of the id, so no task holds a whole shard: the counts of the
-    cells (at most shards x 4096) are added up first, and the one exchange numbers the rows within each cell.
+    Slots are counted in cells of a shard, dealt by a hash of the row number, so no task holds a whole shard: the counts
+    of the cells (at most shards x 4096) are added up first, and the one exchange numbers the rows within each cell.
     Repeated rows get places of their own. A table with no rows gives no rows.
     """
     at = splitters(rows, shards, **how)
     cells = max(8, min(4096, rows.count() // (shards * per_cell) + 1))
-    dealt = rows.withColumns({"shard": shard_of(at), "_cell": F.pmod(F.xxhash64("id", "h"), F.lit(cells)).cast("int")})
+    dealt = rows.withColumns({"shard": shard_of(at), "_cell": F.pmod(F.xxhash64("row"), F.lit(cells)).cast("int")})
     counts = dealt.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("n")).collect()
     base, done = [], {}
     for r in sorted(counts, key=lambda r: (r["shard"], r["_cell"])):
         base.append((r["shard"], r["_cell"], done.get(r["shard"], 0)))
         done[r["shard"]] = done.get(r["shard"], 0) + r["n"]
     bases = F.broadcast(rows.sparkSession.createDataFrame(base, "shard int, _cell int, _base long"))
-    numbered = dealt.withColumn("_place", F.expr("row_number() OVER (PARTITION BY shard, _cell ORDER BY h, id)"))
+    numbered = dealt.withColumn("_place", F.expr("row_number() OVER (PARTITION BY shard, _cell ORDER BY h, id, row)"))
     return numbered.join(bases, ["shard", "_cell"]).withColumn("slot", F.col("_base") + F.col("_place") - 1).drop("_base", "_place", "_cell")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
     """All documents in shards of near-equal bytes (law "bytes"). Null texts count as empty, null ids sort as the
-    smallest; very long texts are as good as any, but a shard cannot be evener than its longest document."""
+    smallest; rows that are equal in everything can be in different shards; very long texts are as good as any, but a
+    shard cannot be evener than its longest document."""
     text = text_or_empty()
     rows = staged(
         table(spark, sf_dir, "documents").select(
-            "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.shiftrightunsigned(F.xxhash64(text), 2).alias("h"),
+            "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id"), F.monotonically_increasing_id().alias("row"), F.shiftrightunsigned(F.xxhash64(text), 2).alias("h"),
             (F.octet_length(text) + SIZE_OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         ),
         "sizes",

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import ascii_lower, staged, table, text_or_empty
+from lodevec.llm.common import HEAVY, ascii_lower, staged, table, text_or_empty
 
 # The rules of the query.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -115,10 +115,19 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], margin: float =
     seeds = per_host.select("host", "pages", F.explode(F.create_map(F.lit("trust"), F.col("trust"), F.lit("distrust"), F.col("distrust"))).alias("kind", "n")).where("n > 0")
     ranks = propagate(links_of(parsed.select("host", "html")), seeds.select("kind", "host", (F.col("n") / F.col("pages")).alias("seed")))
     per = ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"))
-    suspects = staged(per.where(F.col("distrust") > F.col("trust") + margin).select(F.col("host").alias("s_host"), "trust", "distrust"), "suspects")
-    free = parsed.drop("html").withColumn("s_host", F.when(F.col("by_rule").isNull(), F.col("host")).otherwise(F.concat(F.lit("/"), F.xxhash64("page_id", "path").cast("string"))))
+    suspects = staged(
+        per.where(F.col("distrust") > F.col("trust") + margin).join(per_host.select("host", "pages"), "host")
+        .select(F.col("host").alias("s_host"), "trust", "distrust", "pages"), "suspects",
+    )
+    # Pages that a rule judges, or without a host, ask for no host's ranks. Of the hosts that are asked for, those with very
+    # many pages are broadcast; there are fewer than 1 / HEAVY.
+    asks = F.when(F.col("by_rule").isNull() & (F.col("host") != ""), F.col("host")).otherwise(F.concat(F.lit("/"), F.xxhash64("page_id", "path").cast("string")))
+    free, floor = parsed.drop("html").withColumn("s_host", asks), parsed.count() * HEAVY
+    hot = F.broadcast(suspects.where(F.col("pages") > floor))
     method = F.when(F.col("distrust").isNull(), "allow").otherwise("block")
-    return free.join(suspects.hint("merge"), "s_host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), "trust", "distrust")
+    few = free.join(hot.select("s_host"), "s_host", "left_anti").join(suspects.hint("merge"), "s_host", "left")
+    found = free.join(hot, "s_host").unionByName(few)
+    return found.select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), "trust", "distrust")
 
 
 def op8_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:

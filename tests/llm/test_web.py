@@ -1,4 +1,5 @@
 import base64
+import collections
 import hashlib
 import io
 import random
@@ -214,6 +215,63 @@ def test_urls(spark, sf_dir):
     check_urls(queries.QUERIES["op8_link_propagation"](spark, sf_dir).collect(), urls)
 
 
+def verdicts_by_hand(pages):
+    """pages: (page_id, url, html). Rules, then PageRank from seeds by plain iteration, in dictionaries."""
+    at = {}
+    for i, url, html in pages:
+        host, path = parsed(url)
+        at.setdefault(host, []).append((i, path, by_rule(host, path)[1], html or ""))
+    links = collections.Counter()
+    for host, rows in at.items():
+        for *_, html in rows:
+            for dst in re.findall(url_filters.LINK, html, re.ASCII):
+                links[host, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in dst)] += 1
+        above = host.split(".", 1)[1] if host.count(".") >= 2 and not host.startswith(".") and not host.endswith(".") else ""
+        if above:
+            links[host, above] += 1
+            links[above, host] += 1
+    links = {(a, b): n for (a, b), n in links.items() if a and b and a != b}
+    ranks = {}
+    for kind, verdict, edges in (("trust", "allow", links), ("distrust", "block", {(b, a): n for (a, b), n in links.items()})):
+        seeds = {h: sum(v == verdict for _, _, v, _ in rows) / len(rows) for h, rows in at.items() if h}
+        seeds = {h: x for h, x in seeds.items() if x}
+        out = collections.Counter()
+        for (a, _), n in edges.items():
+            out[a] += n
+        rank = grown = {h: 0.15 * x / sum(seeds.values()) for h, x in seeds.items()}
+        for _ in range(400):
+            new = collections.defaultdict(float)
+            for (a, b), n in edges.items():
+                if a in grown:
+                    new[b] += 0.85 * grown[a] * n / out[a]
+            grown = new
+            rank = {h: rank.get(h, 0) + new.get(h, 0) for h in rank.keys() | new.keys()}
+        ranks[kind] = rank
+    bad = {h for h in at if h and ranks["distrust"].get(h, 0) > ranks["trust"].get(h, 0)}
+    return sorted((str(i), verdict or ("block" if host in bad else "allow")) for host, rows in at.items() for i, _, verdict, _ in rows)
+
+
+def test_verdicts_against_brute_force(spark, sf_dir):
+    base = sf_dir.rsplit("/", 1)[0] + "/sf0.01"
+    pages = [tuple(r) for r in spark.read.parquet(f"{base}/pages.parquet").select("page_id", "url", "html").collect()]
+    got = queries.QUERIES["op8_link_propagation"](spark, base).collect()
+    assert sorted((str(r["page_id"]), r["verdict"]) for r in got) == verdicts_by_hand(pages)
+
+
+def test_verdicts_of_made_up_links(spark):
+    """Hosts that link to blocked ones, one of them with half of all pages, null urls, hosts that nothing reaches."""
+    r = random.Random(8)
+    hosts = ["example.org", "a.example.org", "x.com", "m.x.com", "far.net", "bad.net", "WWW.Bad.net", "hub.io"]
+    rows = []
+    for i in range(400):
+        host = "hub.io" if i % 2 else r.choice(hosts)
+        html = " ".join(f'<a href="{r.choice(["http://", "https://", "//"])}{r.choice(hosts)}/p">' for _ in range(r.randint(0, 3)))
+        rows.append((i, None if i % 37 == 0 else f"http://{host}{r.choice(['/es/', '/en/1', '/fr/', '/de/', '/', ''])}{i}?q", html))
+    got = url_filters.judged(spark.createDataFrame(rows, PAGES), url_filters.RULES).collect()
+    assert sorted((str(r["page_id"]), r["verdict"]) for r in got) == verdicts_by_hand(rows)
+    assert {r["verdict"] for r in got if r["rule"] is None} == {"allow", "block"}
+
+
 def test_urls_odd(spark, odd_pages):
     df, rows = odd_pages
     check_urls(url_filters.judged(df, url_filters.RULES).collect(), [(i, u) for i, u, _ in rows])

@@ -2,9 +2,9 @@
 
 Many voters look at a text: lexicons written down here, patterns of its characters, and terms (words, and beginnings of
 words) mined from labelled training rows, each of which fires or not. A generative label model treats the true class as
-hidden: expectation maximisation estimates each voter's rate of firing in either class, with the given label as one more
-noisy voter, and the correlation of voters within a class discounts those that only repeat others. Its posteriors are
-the labels on which a linear (logistic) classifier of the voters is trained; that classifier scores every text.
+hidden: expectation maximisation estimates each voter's rate of firing in either class, on which voter it depends there
+and how strongly, with the given label as one more noisy voter. Its posteriors are the labels on which a linear
+(logistic) classifier of the voters is trained; that classifier scores every text.
 
 The model is fitted on a sample bounded by SAMPLE: terms are counted on the executors, and the driver gets some 30 bytes
 a row, which voters fire. Scoring is one pass over the texts with no exchange.
@@ -132,27 +132,70 @@ def mined(sample: DataFrame, rows1: int, rows0: int) -> list[int]:
     return [r["term"] & (1 << 64) - 1 for r in strong.orderBy(F.desc("g"), "term").limit(TERMS).collect()]
 
 
+def _tree(strength: np.ndarray, least: float) -> np.ndarray:
+    """Each voter's parent in a maximum spanning forest of edges of at least that strength; -1 for roots (Prim's way)."""
+    n = len(strength)
+    parent, best, out = np.full(n, -1), np.zeros(n), np.ones(n, bool)
+    for _ in range(n):
+        k = int(np.argmax(np.where(out, best, -1.0)))
+        out[k] = False
+        if best[k] < least:
+            parent[k] = -1
+        closer = out & (strength[k] > best)
+        parent[closer], best[closer] = k, strength[k][closer]
+    return parent
+
+
 def label_model(votes: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posteriors of class 1; each voter's rates of firing in class 0 and 1; each voter's discount for correlation.
+    """Posteriors of class 1; each voter's rates of firing in class 0 and 1; how much of each voter is its own: one over one
+    and the sum of squared correlations, within classes, with those it depends on.
 
-    Starts at the given labels; the label is a voter of its own, so rows that most voters contradict can change sides.
+    The model: a hidden class; the given label, right with some probability; voters that form a forest, each firing with a
+    probability that depends on the class and on whether its parent fires. Expectation maximisation estimates all of
+    these; the forest is the one of the largest mutual information within classes (Chow and Liu), of which only edges
+    count that chance does not explain. Starts at the given labels; rows that most voters contradict can change sides.
     """
-    v = votes.astype(np.float64)
-    q = np.where(label == 1, 0.95, 0.05)
+    v, n = votes.astype(np.float64), votes.shape[1]
+    q, own, rates = np.where(label == 1, 0.95, 0.05), np.ones(n), np.zeros((2, n))
     for _ in range(rounds):
-        r1, r0 = weight * q, weight * (1 - q)
-        p1, p0 = (r1 @ v + 0.1) / (r1.sum() + 0.5), (r0 @ v + 0.1) / (r0.sum() + 0.5)
-        centred = (v - np.outer(q, p1) - np.outer(1 - q, p0)) * np.sqrt(weight)[:, None]
-        scatter = centred.T @ centred
-        deviation = np.sqrt(np.maximum(np.diag(scatter), 1e-9))
-        correlation = np.clip(scatter / np.outer(deviation, deviation), 0, 1)
-        discount = 1 / np.maximum((correlation**2).sum(axis=1), 1)
-        l1, l0 = (r1 @ label + 1) / (r1.sum() + 1.2), (r0 @ label + 0.2) / (r0.sum() + 1.2)
-        given = np.where(label == 1, np.log(l1 / l0), np.log((1 - l1) / (1 - l0)))
-        fires, silent = np.log(p1 / p0), np.log((1 - p1) / (1 - p0))
-        z = np.log(r1.sum() / r0.sum()) + given + v @ (discount * fires) + (1 - v) @ (discount * silent)
+        row = (weight * (1 - q), weight * q)
+        many = np.array([r.sum() for r in row])
+        both = [(v * r[:, None]).T @ v for r in row]
+        rates = np.stack([(np.diag(j) + 0.1) / (m + 0.5) for j, m in zip(both, many, strict=True)])
+        strength, squared = np.zeros((n, n)), np.zeros((n, n))
+        for j, m, p in zip(both, many, rates, strict=True):
+            joint = np.clip((j + 0.5 * np.outer(p, p)) / (m + 0.5), 1e-9, None)
+            for x, y in ((joint, np.outer(p, p)), (p[:, None] - joint, np.outer(p, 1 - p)), (p[None] - joint, np.outer(1 - p, p)), (1 - p[:, None] - p[None] + joint, np.outer(1 - p, 1 - p))):
+                x = np.clip(x, 1e-12, None)
+                strength += 2 * m * x * np.log(x / np.clip(y, 1e-12, None))
+            spread = p * (1 - p)
+            squared += m / many.sum() * np.clip((joint - np.outer(p, p)) ** 2 / np.outer(spread, spread), 0, 1)
+        parent = _tree(strength, EVIDENCE)
+        edge = np.flatnonzero(parent >= 0)
+        up = parent[edge]
+        loads = np.zeros(n)
+        np.add.at(loads, edge, squared[edge, up])
+        np.add.at(loads, up, squared[edge, up])
+        own = 1 / (1 + loads)
+        z = np.zeros(len(v))
+        pairs = v[:, edge] * v[:, up]
+        for sign, j, m, p in zip((-1, 1), both, many, rates, strict=True):
+            # A vote's log probability is const + a vote + b parent + c vote x parent; roots have no parent.
+            fires, silent = np.log(p), np.log1p(-p)
+            const, a, c = silent.copy(), fires - silent, np.zeros(len(edge))
+            if len(edge):
+                count = np.diag(j)[up]
+                on = (j[edge, up] + p[edge]) / (count + 1)  # with the weight of one row drawn towards its own rate
+                off = (np.diag(j)[edge] - j[edge, up] + p[edge]) / (m - count + 1)
+                on, off = np.clip(on, 1e-6, 1 - 1e-6), np.clip(off, 1e-6, 1 - 1e-6)
+                const[edge], a[edge] = np.log1p(-off), np.log(off) - np.log1p(-off)
+                np.add.at(a, up, np.log1p(-on) - np.log1p(-off))
+                c = np.log(on) - np.log1p(-on) - np.log(off) + np.log1p(-off)
+            z += sign * (const.sum() + v @ a + pairs @ c + np.log(max(m, 1e-9)))
+        right = (row[1] @ label + 1) / (many[1] + 1.2), (row[0] @ label + 0.2) / (many[0] + 1.2)
+        z += np.where(label == 1, np.log(right[0] / right[1]), np.log((1 - right[0]) / (1 - right[1])))
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return q, np.stack([p0, p1]), discount
+    return q, rates, own
 
 
 def linear(votes: np.ndarray, q: np.ndarray, weight: np.ndarray, penalty: float = 0.05, rounds: int = 30) -> tuple[np.ndarray, float]:

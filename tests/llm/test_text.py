@@ -488,6 +488,26 @@ def test_label_model_outvotes_a_wrong_label():
     assert toxicity.label_model(twice, given_, np.ones(2000))[2][0] < 0.7 * discount[0]
 
 
+def test_label_model_estimates_rates_and_dependence():
+    """Of voters drawn from a known forest: their rates, who depends on whom, and posteriors by the model's own formula."""
+    r = np.random.default_rng(4)
+    y = r.random(8000) < 0.4
+    a = r.random(8000) < np.where(y, 0.6, 0.05)
+    b = r.random(8000) < np.where(y, np.where(a, 0.9, 0.2), np.where(a, 0.7, 0.02))  # depends on a
+    others = [r.random(8000) < np.where(y, 0.5, 0.1) for _ in range(4)]
+    votes = np.stack([a, b, *others], axis=1)
+    q, rates, own = toxicity.label_model(votes, y.astype(float), np.ones(8000))
+    assert np.abs(rates[1] - votes[y].mean(axis=0)).max() < 0.05 and np.abs(rates[0] - votes[~y].mean(axis=0)).max() < 0.05
+    assert own[0] < 0.85 and own[1] < 0.85 and (own[2:] > 0.97).all()
+    strength = np.zeros((5, 5))
+    strength[0, 1] = strength[1, 0] = 50
+    strength[1, 2] = strength[2, 1] = 40
+    strength[0, 2] = strength[2, 0] = 45
+    strength[3, 4] = strength[4, 3] = 3
+    tree = toxicity._tree(strength, 10)
+    assert sorted((k, int(p)) for k, p in enumerate(tree) if p >= 0) == [(1, 0), (2, 0)]
+
+
 def test_mixing_meets_targets(spark, sf_dir, docs):
     rows = mixing.op3_soft_mixing(spark, sf_dir).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in docs.collect())

@@ -30,6 +30,8 @@ from lodevec.llm.words import U, mix, raw_bytes, slices, words
 SAMPLE, BUCKETS = 3000, 4096
 #: Rounds at most; how near totals are to be to the targets, or to those of the least squares, in shares of the targets' sum.
 ROUNDS, TOLERANCE, NEAR = 60, 1e-6, 1e-5
+#: Cells of a posterior's scale in which rows are added up for most rounds; rounds over all rows after these, at most.
+GRID, POLISH = 4096, 8
 # The production targets, shares of all tokens by domain.
 TARGETS = {"low": 0.12, "high": 0.88}
 
@@ -182,34 +184,51 @@ def rates(members: DataFrame, targets: list[float], least: float = 0.0, rounds:
     the sum of targets, when the totals are shown to lie within NEAR of those of the least squares (no rates meet the
     targets), or after rounds, which is logged as a warning. The round with the least error counts, not the last one.
 
+    A rate depends on the posterior alone, so most rounds go over rows added up by posteriors that agree to 1 / GRID; then
+    up to POLISH rounds go over all rows, from the rates found and with each row's own posterior, and it is these that end
+    as said above.
+
     The proof is the problem's dual: a vector that no posterior has a negative product with bounds from below what any
     rates reach. The residual, less its least product with a posterior (which sum to one), is such a vector; half the
     squared error is at most the gap above that bound, and the totals are at most sqrt(2 x gap) from the best ones. Where
     targets are out of reach, the exact least squares would repeat a few documents of the outermost posteriors without
     end, so running out of rounds is no failure there.
     """
-    k = len(targets)
-    t = np.array(targets)
+    k, t = len(targets), np.array(targets)
     p = [F.col("_p")[i] for i in range(k)]
-    first = members.agg(F.sum("_tokens"), *(F.sum(F.col("_tokens") * p[i]) for i in range(k))).first()
+    tokens = F.col("_tokens").cast("double")
+    cells = members.groupBy(*(F.floor(x * GRID).alias(f"g{i}") for i, x in enumerate(p))).agg(F.sum(tokens).alias("_tokens"), *(F.sum(tokens * x).alias(f"s{i}") for i, x in enumerate(p)))
+    coarse = staged(cells.where("_tokens > 0").select("_tokens", F.array(*(F.col(f"s{i}") / F.col("_tokens") for i in range(k))).alias("_p"), *(f"s{i}" for i in range(k))), "posteriors")
+    first = coarse.agg(F.sum("_tokens"), *(F.sum(f"s{i}") for i in range(k))).first()
     total, lowest = float(first[0] or 0), least * np.array([float(x or 0) for x in first[1:]])
     if not total:
         return Rates(F.lit(0.0), np.zeros(k), "met" if not t.any() else "least squares")
-    start, history, reached = max(float(t.sum() / total), least), [], np.zeros(k)
-    error, best, kept, pace = np.inf, np.inf, (0, reached), 1.0
-    residual, end = np.zeros(k), "rounds"
+    start = max(float(t.sum() / total), least)
+    steps, _, _ = _solved(coarse, t, total, lowest, start, least, [], rounds, tolerance)
+    steps, reached, end = _solved(members, t, total, lowest, start, least, steps, min(rounds, POLISH), tolerance)
+    log.log(logging.WARNING if end == "rounds" else logging.INFO, "mixing: %s, targets %s, expected totals %s", end, t.tolist(), reached.tolist())
+    return Rates(_rate(steps, start, least), reached, end)
+
+
+def _solved(members: DataFrame, t: np.ndarray, total: float, lowest: np.ndarray, start: float, least: float, steps: list[np.ndarray], rounds: int, tolerance: float) -> tuple[list[np.ndarray], np.ndarray, str]:
+    """Projected gradient from the given steps on: the steps up to the best round, its totals, and how it ended."""
+    k, history = len(t), list(steps)
+    p = [F.col("_p")[i] for i in range(k)]
+    error, best, kept, pace = np.inf, np.inf, (0, np.zeros(k)), 1.0
+    residual, end = None, "rounds"
     free = F.when(F.col("rate") > least, F.col("_tokens")).otherwise(0)
     for _ in range(rounds):
         rated = members.select("_tokens", "_p", _rate(history, start, least).alias("rate"))
-        slope = sum((p[i] * float(residual[i]) for i in range(k)), F.lit(0.0))  # of the round before
+        slope = sum((p[i] * float(residual[i]) for i in range(k)), F.lit(0.0)) if residual is not None else F.lit(0.0)  # of the round before
         sums = rated.agg(
             *(F.sum(F.col("_tokens") * F.col("rate") * p[i]) for i in range(k)), *(F.sum(free * p[i] * p[j]) for i in range(k) for j in range(k)), F.min(slope)
         ).first()
-        dual = residual + max(0.0, -float(sums[-1]))
-        gap = (residual @ residual + dual @ dual) / 2 + dual @ (t - lowest)
-        if history and np.sqrt(2 * max(gap, 0.0)) <= NEAR * t.sum():
-            end = "least squares"
-            break
+        if residual is not None:
+            dual = residual + max(0.0, -float(sums[-1]))
+            gap = (residual @ residual + dual @ dual) / 2 + dual @ (t - lowest)
+            if np.sqrt(2 * max(gap, 0.0)) <= NEAR * t.sum():
+                end = "least squares"
+                break
         reached, gram = np.array([float(x) for x in sums[:k]]), np.array([float(x) for x in sums[k:-1]]).reshape(k, k)
         if np.trace(gram) < 1e-6 * total:
             gram = total * np.eye(k)  # every rate is at the least
@@ -222,8 +241,7 @@ def rates(members: DataFrame, targets: list[float], least: float = 0.0, rounds:
             break
         pace = min(1.0, pace * 1.5) if error < last else pace / 2
         history.append(pace * np.linalg.inv(gram + 1e-9 * (np.trace(gram) + total) * np.eye(k)) @ residual)
-    log.log(logging.WARNING if end == "rounds" else logging.INFO, "mixing: %s, targets %s, expected totals %s", end, t.tolist(), kept[1].tolist())
-    return Rates(_rate(history[: kept[0]], start, least), kept[1], end)
+    return history[: kept[0]], kept[1], end
 
 
 def targets_for(members: DataFrame, weights: list[float]) -> list[float]:

@@ -33,7 +33,7 @@ from lodevec.llm.words import U, mix, shingles, slices
 THRESHOLD, WORDS = 0.8, 5
 #: Rounds of pivots; rows of a bucket up to which its pairs are listed; rows and shingles of a block of larger ones, about;
 #: columns of a matrix at once.
-ROUNDS, SMALL, BLOCK, BLOCK_SHINGLES, COLUMNS = 2, 64, 512, 1 << 20, 4096
+ROUNDS, SMALL, BLOCK, BLOCK_SHINGLES, COLUMNS = 2, 64, 256, 1 << 20, 4096
 SIGNED = "row long, id long, text_hash long, name1 long, name2 long, n long, keys array<long>"
 LINKS = "a long, b long, u long, v long, similarity double"
 NO_ID = 2**63 - 1

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodevec.operators import knn, pq
@@ -267,6 +267,13 @@ def grouped(vectors: DataFrame, coarse: KMeans) -> DataFrame:
     return rows.hint("rebalance", "partition").sortWithinPartitions("partition", "key")
 
 
+def bounds(grouped_: DataFrame) -> DataFrame:
+    """partition, begin, end: the rows of each partition (from 0, end exclusive) when partitions lie one after the other."""
+    sizes = grouped_.groupBy("partition").agg(F.count(F.lit(1)).alias("n"))
+    ends = Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, 0)  # a row for each partition
+    return sizes.withColumn("end", F.sum("n").over(ends)).select("partition", (F.col("end") - F.col("n")).alias("begin"), "end")
+
+
 def residuals(grouped_: DataFrame, coarse: KMeans) -> DataFrame:
     """grouped_ with each vector less its partition's centroid."""
     c, names = coarse.centroids, grouped_.columns

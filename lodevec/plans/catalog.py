@@ -299,6 +299,11 @@ def group_sizes(spark, sf_dir):
     return index.grouped(keyed(vectors(spark, sf_dir)), start(spark, sf_dir)).groupBy("partition").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(lloyd_sql(0, "SELECT c::INT AS partition, (sum(n) OVER (ORDER BY c) - n)::BIGINT AS begin, (sum(n) OVER (ORDER BY c))::BIGINT AS end FROM (SELECT c, count(*) AS n FROM a0 GROUP BY c)").replace(" AS end", ' AS "end"'))
+def group_bounds(spark, sf_dir):
+    return index.bounds(index.grouped(keyed(vectors(spark, sf_dir)), start(spark, sf_dir)))
+
+
 @query(lloyd_sql(0, "SELECT a.key, l.j::INT AS j, round(l.x - c.x, 6) AS x FROM a0 a JOIN l ON l.key = a.key JOIN c0 c ON c.c = a.c AND c.j = l.j"))
 def residuals(spark, sf_dir):
     coarse = start(spark, sf_dir)

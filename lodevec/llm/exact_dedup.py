@@ -48,9 +48,11 @@ class DigestIndex:
         whole = [tuple(map(int, m.groups())) for m in names if m and "_SUCCESS" in listed(self.spark, f"{self.path}/{m[0]}")]
         return sorted(s for s in whole if not any(o[0] <= s[0] and s[1] <= o[1] and o[:2] != s[:2] for o in whole))
 
+    def _path(self, segment: tuple[int, int, int]) -> str:
+        return f"{self.path}/segment-{segment[0]}-{segment[1]}-{segment[2]}"
+
     def _table(self, segment: tuple[int, int, int]) -> str:
-        first, last, buckets = segment
-        at = f"{self.path}/segment-{first}-{last}-{buckets}"
+        at, buckets = self._path(segment), segment[2]
         name = f"digest_index_{hashlib.md5(at.encode()).hexdigest()[:16]}"
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({COLUMNS}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{at}'")
         if name not in self.tables:
@@ -59,6 +61,7 @@ class DigestIndex:
 
     def _write(self, rows: DataFrame, first: int, last: int, many: int) -> None:
         buckets = self.buckets or max(LEAST_BUCKETS, 1 << (max(1, many) // PER_BUCKET).bit_length())
+        removed(self.spark, self._path((first, last, buckets)))  # what a job that died while it committed may have left
         rows.repartition(buckets, "digest").sortWithinPartitions("digest").write.insertInto(self._table((first, last, buckets)))
 
     def rows(self) -> DataFrame:
@@ -102,8 +105,8 @@ class DigestIndex:
             rows = self.rows()
             self._write(rows, old[0][0], old[-1][1], rows.count())
             self.drop()
-            for first, last, buckets in old:
-                removed(self.spark, f"{self.path}/segment-{first}-{last}-{buckets}")
+            for s in old:
+                removed(self.spark, self._path(s))
 
     def drop(self) -> None:
         """Forgets the session's tables; the files stay."""

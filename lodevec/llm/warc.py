@@ -159,6 +159,7 @@ class Source:
     def __init__(self, file, size: int):
         self.file, self.size = file, size
         self.begin, self.held = 0, b""
+        self.found: dict[bytes, tuple[int, int]] = {}
 
     def __call__(self, pos: int, n: int) -> bytes:
         """Up to n bytes from pos; fewer only where the file ends."""
@@ -169,13 +170,19 @@ class Source:
         return self.held[pos - self.begin : pos - self.begin + n]
 
     def find(self, mark: bytes, pos: int) -> int:
-        """Where mark next begins at or after pos; the size if nowhere."""
-        while pos < self.size:
-            some = self(pos, WINDOW)
-            if (k := some.find(mark)) >= 0:
-                return pos + k
-            pos += max(1, len(some) - len(mark) + 1)
-        return self.size
+        """Where mark next begins at or after pos; the size if nowhere. The last answer is kept, so that many searches that
+        end in the same place read the bytes before it once."""
+        first, at = self.found.get(mark, (1, 0))
+        if not first <= pos <= at:
+            first = at = pos
+            while at < self.size:
+                some = self(at, WINDOW)
+                if (k := some.find(mark)) >= 0:
+                    at += k
+                    break
+                at += max(1, len(some) - len(mark) + 1)
+            self.found[mark] = first, min(at, self.size)
+        return self.found[mark][1]
 
 
 @dataclass
@@ -202,10 +209,10 @@ class Salvage:
 
     def _record(self, source: Source, pos: int) -> tuple[Record | None, int, bool | None]:
         """The record whose version line is at pos, where it ends, and whether it has a block digest that fits."""
-        if source(pos, len(LINE)) != LINE:
+        if not re.fullmatch(rb"WARC/1\.[01]\r\n", source(pos, len(VERSION) + 2)):
             raise Damaged("no version line")
         cut = source.find(END, pos)
-        if cut >= source.size:
+        if cut >= source.size or source.find(b"\r\n" + LINE, pos) < cut:
             raise Damaged("no end of the header")
         h = _header(source(pos, cut - pos))
         n, begin = _number(h["content-length"]), cut + len(END)
@@ -243,7 +250,7 @@ class Salvage:
         """Each record that passes all checks, in order."""
         source = Source(self.file, self.size)
         zipped = source(0, 2) == MAGIC[:2] or (source(0, 5) != LINE[:5] and source.find(MAGIC, 0) < source.find(LINE, 0))
-        pos, lost, reason, next_line = 0, None, "", -1
+        pos, lost, reason = 0, None, ""
         while pos < self.size:
             try:
                 if source(pos, len(MAGIC)) == MAGIC and zipped:
@@ -257,9 +264,8 @@ class Salvage:
             except Damaged as e:
                 if lost is None:
                     lost, reason = pos, str(e)
-                if next_line <= pos:
-                    next_line = source.find(LINE, pos + 1)
-                pos = min(source.find(MAGIC, pos + 1), next_line) if zipped else next_line
+                line = source.find(LINE, pos + 1)
+                pos = min(source.find(MAGIC, pos + 1), line) if zipped else line
                 continue
             if lost is not None:
                 self.gaps.append(Gap(lost, pos, reason))

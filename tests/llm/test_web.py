@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -187,6 +188,15 @@ def test_salvage_of_any_damage(kind):
         assert salvage.gaps or len(got) == len(known) or kind == "plain"  # nothing there guards a header's letters
 
 
+def test_junk_takes_linear_time():
+    """Very many version lines and members' beginnings, none of which lead anywhere."""
+    parts = archive(2, False)
+    for junk in (b"WARC/1.1 " * 150_000, b"WARC/1.1\r\n" * 100_000, b"WARC/1.1\r\nA: b\r\n" * 80_000, b"\x1f\x8b\x08" * 100_000 + b"WARC/1.1 " * 50_000):
+        t = time.perf_counter()
+        ids, gaps = read(parts[0] + junk + b"\r\n\r\n" + parts[1])
+        assert ids == [0, 1] and len(gaps) == 1 and time.perf_counter() - t < 30
+
+
 def parsed(url):
     if not url or "://" not in url:
         return "", ""

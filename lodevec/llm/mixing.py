@@ -6,8 +6,9 @@ least squares: the domains' expected token totals, sum of rate x tokens x poster
 
 The gradient for one document is its tokens times its posterior's product with the residual, a vector of one number a
 domain. Steps are scaled by 1 / tokens for each document and by the inverse of sum(tokens x posterior x posterior') for
-the residual (over the documents whose rate is free to move), which makes the problem well conditioned; a document's rate then follows from the residuals so far, which
-is all that a round of the loop has to pass on: one aggregation to a few numbers, no state per document.
+the residual (over the documents whose rate is free to move), which makes the problem well conditioned. A document's rate
+then follows from its posterior and the residuals so far, which is all that a round of the loop has to pass on: one
+aggregation to a few numbers, no state per document.
 """
 
 from __future__ import annotations

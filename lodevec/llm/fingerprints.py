@@ -33,7 +33,8 @@ EMPTY = 0xFFFF
 BATCH = 1 << 20
 #: Bytes of a part of the texts, about, and most parts by size (more only if shuffles have more): a part's texts go through a
 #: task a batch at a time, so larger ones take longer but no more memory.
-PART_BYTES, MOST_PARTS = 64 << 20, 8192
+#: Cuts that are looked for; more parts are equal shares of the ranges between them.
+PART_BYTES, MOST_PARTS, CUTS = 64 << 20, 1 << 18, 512
 _LEAST = -(2**63)
 BASE = U(0x9E3779B97F4A7C15)
 
@@ -200,7 +201,9 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.withColumn("h", F.xxhash64("text"))
-    cuts = _cuts(docs, partitions or _parts_of(docs))
+    parts = partitions or _parts_of(docs)
+    cuts = _cuts(docs, min(parts, CUTS))
+    each = -(-parts // (len(cuts) + 1))
 
     def reached(cut: tuple[int | None, int]) -> Column:
         i, h = cut
@@ -215,6 +218,8 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
         return F.when(F.coalesce(reached(cuts[mid]), F.lit(False)), tree(mid + 1, high)).otherwise(tree(low, mid))
 
     dealt = docs.withColumn("part", tree(0, len(cuts)).cast("int"))
+    if each > 1:
+        dealt = dealt.withColumn("part", F.col("part") * each + _share_of(docs, cuts, each))
     tops = dealt.groupBy("part").agg(F.max(F.struct("id", F.bitwise_not("h").alias("not_h"))).alias("top")).orderBy("part").collect()
     # The first row of each part is copied to the part before; that of the first part to the last.
     before = [(r["part"], r["top"]["id"], ~r["top"]["not_h"], tops[k - 1]["part"]) for k, r in enumerate(tops)]
@@ -223,7 +228,29 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     to = F.struct(F.col("part"), F.lit(False).alias("ghost")), F.struct(F.col("before").alias("part"), F.lit(True).alias("ghost"))
     copies = dealt.join(firsts, "part").select("id", "text", "h", F.explode(F.when(is_first, F.array(*to)).otherwise(F.array(to[0]))).alias("to"))
     placed = copies.select("to.part", "to.ghost", "id", "h", "text")
-    return placed.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "ghost", F.col("id").desc_nulls_last(), "h", "text").drop("h")
+    return placed.repartitionById((len(cuts) + 1) * each, "part").sortWithinPartitions("part", "ghost", F.col("id").desc_nulls_last(), "h", "text").drop("h")
+
+
+def _share_of(docs: DataFrame, cuts: list[tuple[int | None, int]], each: int) -> Column:
+    """Which of `each` equal shares of the range between two cuts a row is in, by how far its id is below the range's first
+    one, and its hash as a fraction of that. part is the range's number."""
+    top, low = docs.agg(F.max("id"), F.min("id")).first()
+    begins = [(top, _LEAST), *cuts]
+    from_, to = [(h - _LEAST) / (1 << 64) for _, h in begins], []
+    for (i, _), nxt in zip(begins, [*cuts, None], strict=True):
+        if nxt is not None and (nxt[0] is None) == (i is None):
+            to.append((0 if i is None else i - nxt[0]) + (nxt[1] - _LEAST) / (1 << 64))
+        else:
+            to.append((0 if i is None else i - low) + 1.0)  # the last of the ids, or of all
+
+    def at(values: list[float] | list[int]) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), F.col("part") + 1)
+
+    first = at([0 if i is None else i for i, _ in begins])
+    fraction = (F.col("h").cast("double") - float(_LEAST)) / float(1 << 64)
+    key = F.coalesce((first - F.col("id")).cast("double"), F.lit(0.0)) + fraction
+    share = F.floor((key - at(from_)) / at([max(b - a, 1e-9) for a, b in zip(from_, to, strict=True)]) * each)
+    return F.greatest(F.lit(0), F.least(F.lit(each - 1), share)).cast("int")
 
 
 def _parts_of(docs: DataFrame) -> int:

@@ -335,6 +335,21 @@ def test_fingerprints(spark, docs, texts):
     check_fingerprints(fingerprints.fingerprint_pairs(docs).collect(), sorted(texts.items(), reverse=True))
 
 
+def test_parts_between_cuts(spark, docs, texts, odd, odd_rows, monkeypatch):
+    """More parts than cuts: the order stays, and parts stay even."""
+    monkeypatch.setattr(fingerprints, "CUTS", 3)
+    monkeypatch.setattr(fingerprints, "_parts_of", lambda _: 20)
+    check_fingerprints(fingerprints.fingerprint_pairs(docs).collect(), sorted(texts.items(), reverse=True))
+    sizes = collections.Counter(r["part"] for r in fingerprints.with_next(docs.select(F.col("doc_id").alias("id"), "text")).where("NOT ghost").collect())
+    assert len(sizes) >= 15 and max(sizes.values()) <= 3 * len(texts) / 20
+    hot = spark.createDataFrame([(None, f"null {i}") for i in range(400)] + [(7, f"seven {i}") for i in range(400)] + [(i, f"text {i}") for i in range(100, 500)], "id long, text string")
+    sizes = collections.Counter(r["part"] for r in fingerprints.with_next(hot).where("NOT ghost").collect())
+    assert sum(sizes.values()) == 1200 and max(sizes.values()) <= 3 * 1200 / 20
+    h = {r["text"]: r["h"] for r in hot.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(((r["id"], r["text"]) for r in hot.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), h[x[1]], x[1].encode()))
+    check_fingerprints(fingerprints.fingerprint_pairs(hot.withColumnRenamed("id", "doc_id")).collect(), ordered)
+
+
 def test_fingerprints_odd(spark, odd, odd_rows, clashing, none):
     texts_ = [(i, t or "") for i, t, *_ in odd_rows]
     h = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for _, t in texts_], "t string").select("t", F.xxhash64("t").alias("h")).collect()}

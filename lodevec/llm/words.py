@@ -1,8 +1,8 @@
 """Words and word shingles of whole batches of texts, as arrays of hashes.
 
 A word is a run of ASCII letters and digits and of any characters beyond ASCII, lower-cased. Its hash adds up a random
-number for each byte and place (tabulation, which no two words can be made to share as with a polynomial), mixes that, and
-adds up what the pieces of PIECE bytes give; a shingle's is one of its words' hashes in order.
+number for each byte and place (tabulation; a polynomial modulo 2^64 has pairs of words that share a hash whatever its base
+is), mixes that, and adds up what the pieces of PIECE bytes give; a shingle's is one of its words' hashes in order.
 """
 
 from __future__ import annotations

@@ -286,4 +286,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
 
 def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents")).drop("text_hash").withColumnRenamed("id", "doc_id")
+    """linked: the most similar text that the document's was linked with, as id:similarity."""
+    found = near_classes(table(spark, sf_dir, "documents"))
+    linked = F.when(F.col("similarity").isNotNull(), F.concat_ws(":", F.coalesce(F.col("linked_id").cast("string"), F.lit("")), F.format_string("%.6f", "similarity")))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept", "copies", "links", linked.alias("linked"))

@@ -23,13 +23,19 @@ def default_limit(partitions: int) -> int:
     return max(partitions // 20, 5)
 
 
+def spread(vectors: DataFrame) -> DataFrame:
+    """vectors in equal parts, one for each core at least: training passes over them many times, each time as long as its
+    longest task."""
+    return vectors.repartition(max(vectors.rdd.getNumPartitions(), vectors.sparkSession.sparkContext.defaultParallelism))
+
+
 class Progress(Protocol):
     def __call__(self, task: str, done: int, total: int, note: str = "") -> None: ...
 
 
 def build(vectors: DataFrame, metric: str = "l2", clusters: int = 256, sections: int = 25, iterations: int = 100, partitioned: bool = False, partitions: int | None = None, limit: int | None = None, path: str | None = None, progress: Progress | None = None) -> index.FlatPQIndex | index.IVFPQIndex:
-    """vectors: key, vector. Cosine indices are built of unit vectors. Training passes over the vectors once a round, so
-    they are kept in memory and on disk meanwhile. With a path the index is saved there, what was kept is let go, and the
+    """vectors: key, vector. Cosine indices are built of unit vectors. Training passes over the vectors (or
+    their residuals) once a round, so they are spread evenly and kept in memory and on disk meanwhile. With a path the index is saved there, what was kept is let go, and the
     index returned is the saved one, whose queries read only what they probe; otherwise it encodes vectors when asked, and
     what is kept stays."""
     if not 1 <= clusters <= 1 << 16:
@@ -46,7 +52,7 @@ def build(vectors: DataFrame, metric: str = "l2", clusters: int = 256, sections:
 
     if metric == "cosine":
         vectors = vectors.withColumn("vector", normalize(F.col("vector")))
-    held = [vectors.select("key", "vector").persist(StorageLevel.MEMORY_AND_DISK)]
+    held = [spread(vectors.select("key", "vector")).persist(StorageLevel.MEMORY_AND_DISK)]
     if not partitioned:
         log.info("training the quantizer")
         found = index.FlatPQIndex.build(held[0], pq.train(held[0], sections, clusters, iterations, report=of_pq), metric)
@@ -54,10 +60,13 @@ def build(vectors: DataFrame, metric: str = "l2", clusters: int = 256, sections:
         n = partitions or default_partitions(held[0].count())
         log.info("clustering into %d partitions", n)
         coarse = kmeans.train(held[0], n, iterations, report=of_kmeans)
-        held.append(index.grouped(held[0], coarse).persist(StorageLevel.MEMORY_AND_DISK))
+        # Of the vectors as they are spread: grouped() lays out small tables as a single task's work.
+        apart = coarse.assign(held[0], "partition").select("partition", "key", "vector")
+        held.append(index.residuals(apart, coarse).persist(StorageLevel.MEMORY_AND_DISK))
         log.info("training the quantizer on residuals")
-        quantizer = pq.train(index.residuals(held[1], coarse), sections, clusters, iterations, report=of_pq)
-        found = index.IVFPQIndex.build(held[1], quantizer, coarse, metric, index.LimitGroups(limit or default_limit(n)))
+        quantizer = pq.train(held[1], sections, clusters, iterations, report=of_pq)
+        held.append(index.grouped(held[0], coarse).persist(StorageLevel.MEMORY_AND_DISK))
+        found = index.IVFPQIndex.build(held[2], quantizer, coarse, metric, index.LimitGroups(limit or default_limit(n)))
     if path is None:
         return found
     log.info("writing the index")

@@ -162,6 +162,25 @@ def test_kmeans_no_iterations_is_one_update(spark, clustered):
     assert np.allclose(kmeans.train(v, 3, 0, start=start).centroids, kmeans.iterate(v, start, 1).centroids)
 
 
+@pytest.mark.parametrize("part", [False, True])
+def test_training_uses_every_core(spark, clustered, monkeypatch, part):
+    """However small the table: its rounds are many."""
+    seen, train = [], pq.train
+    monkeypatch.setattr(pq, "train", lambda v, *a, **b: seen.append([r["count"] for r in v.groupBy(F.spark_partition_id()).count().collect()]) or train(v, *a, **b))
+    build(frame(spark, clustered).coalesce(1), "l2", 8, 2, 2, partitioned=part, partitions=2 if part else None)
+    assert len(seen[0]) >= spark.sparkContext.defaultParallelism and max(seen[0]) < 1.5 * len(clustered) / len(seen[0])
+
+
+def test_fingerprint_says_whether_an_index_changed():
+    r = np.random.default_rng(0)
+    x, index = r.normal(size=(300, 5)), r.integers(0, 9, 300)
+    p, other = r.permutation(300), index.copy()
+    other[17] += 1
+    once = arrays.fingerprint(arrays.hashes(x), index)
+    parts = sum((arrays.fingerprint(arrays.hashes(x[s]), index[s]) for s in (p[:100], p[100:])), np.zeros(1, np.uint64))
+    assert parts[0] == once and arrays.fingerprint(arrays.hashes(x), other) != once
+
+
 def test_pq_idempotent_and_better_with_more(spark, clustered):
     v = frame(spark, clustered).persist()
     errors = []

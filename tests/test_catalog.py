@@ -3,10 +3,15 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
+from lodevec.operators import kmeans
+from lodevec.plans import catalog
 
 SQL = {k: v for k, v in entry.oracle_sql().items() if not k.startswith("op") and k != "pipeline"}
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
@@ -30,6 +35,21 @@ def test_equals_sql(spark, sf_dir, name):
     pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=0, atol=1.5e-6)
 
 
+def test_converged_equals_sql_beyond_its_rounds(spark, tmp_path):
+    """Over vectors that go on changing clusters after the rounds of the SQL."""
+    x = np.random.default_rng(3).normal(size=(3000, 64)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": np.arange(len(x), dtype=np.int32) % 10}), tmp_path / "embeddings.parquet")
+    v = catalog.keyed(catalog.vectors(spark, str(tmp_path)))
+    said = []
+    kmeans.train(v, 3, catalog.ROUNDS + 1, start=catalog.start(spark, str(tmp_path), [0, 1, 2]), report=said.append)
+    assert not said[-1].converged
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    got = entry.queries()["kmeans_converged"](spark, str(tmp_path)).toPandas().sort_values("cluster").reset_index(drop=True)
+    want = c.sql(SQL["kmeans_converged"]).df().sort_values("cluster").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got[list(want.columns)], want, check_dtype=False, rtol=0, atol=1.5e-5)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 250
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodevec.operators import knn, pq
-from lodevec.operators.arrays import CELLS, Best, distances, keys_of, lists, matrix, unit
+from lodevec.operators.arrays import CELLS, Best, distances, keys_of, lists, matrix, offer, unit
 from lodevec.operators.kmeans import KMeans
 
 METRICS = ("l2", "cosine")
 
+#: Bytes of a flat index that go to all executors; queries that a task answers at once; codes that it decodes at once.
+SENT, ANSWERED, DECODED = 1 << 26, 2048, 1 << 14
+
 
 @dataclass(frozen=True)
 class LimitGroups:
@@ -113,9 +117,14 @@ class FlatPQIndex(Index):
         return self.quantizer.decode(codes.select("key", "codes"))
 
     def query(self, queries: DataFrame, k: int, block: int | None = None) -> DataFrame:
-        """queries: query_id, vector -> query_id, rank, key, distance (squared, to the reconstructions)."""
+        """queries: query_id, vector -> query_id, rank, key, distance (squared, to the reconstructions).
+
+        Up to SENT bytes of codes and keys go to all executors, where each query is answered at once, so nothing is
+        shuffled but queries. A larger index stays where it is, and queries go there in blocks."""
         quantizer = self.quantizer
         key_type, id_type = knn.types_of(queries, self.codes)
+        if block is None and (held := self._held(key_type)) is not None:
+            return self._answered(queries, k, held, key_type, id_type)
 
         def feed(best: Best, q: np.ndarray, batch: pa.RecordBatch) -> None:
             _score(best, quantizer, np.arange(len(q)), q, quantizer.unpacked(batch.column(1)), keys_of(batch.column(0)))
@@ -123,6 +132,43 @@ class FlatPQIndex(Index):
         parts = [knn.scan(self.codes, ["key", "codes"], ids, _asked(q, self.metric), k, key_type, id_type, feed) for ids, q in knn.query_blocks(queries, k, block)]
         return knn.together(parts, queries.sparkSession, id_type, key_type)
 
+    def _held(self, key_type: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Keys and packed codes, if they are SENT bytes at most, with 8 bytes for a number and what Python takes for others."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((keys_of(b.column(0)), b"".join(b.column(1).to_pylist())))], pa.binary())], ["rows"])
+
+        size, codes = pq.packed_size(self.quantizer.width, len(self.quantizer.ranges)), self.codes.select("key", "codes")
+        each = F.octet_length("key") * 2 + 64 if key_type == "string" else F.lit(8)
+        n, keys = codes.agg(F.count(F.lit(1)), F.sum(each)).first()
+        if not n or n * size + keys > SENT:
+            return None
+        found = [pickle.loads(r["rows"]) for r in codes.mapInArrow(run, "rows binary").collect()]
+        return np.concatenate([f[0] for f in found]), np.frombuffer(b"".join(f[1] for f in found), np.uint8).reshape(n, size)
+
+    def _answered(self, queries: DataFrame, k: int, held: tuple[np.ndarray, np.ndarray], key_type: str, id_type: str) -> DataFrame:
+        quantizer, metric, m = self.quantizer, self.metric, len(self.quantizer.ranges)
+        context = self.codes.sparkSession.sparkContext
+        sent = context.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, codes = sent.value
+            for b in batches:
+                for at in range(0, b.num_rows, ANSWERED):
+                    ids = b.column(0).slice(at, ANSWERED)
+                    q = _asked(matrix(b.column(1).slice(at, ANSWERED), quantizer.dimension), metric)
+                    best = Best(len(q), k)
+                    for to in range(0, len(codes), DECODED):
+                        x = quantizer.decode_rows(pq.unpack_rows(codes[to : to + DECODED], quantizer.width, m))
+                        offer(best, q, x, keys[to : to + DECODED])
+                    i, key, d = best.rows()
+                    rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), pa.array(rank.astype(np.int32)), pa.array(key.tolist(), knn.arrow_type(key_type)), pa.array(d, pa.float64())], ["query_id", "rank", "key", "distance"])
+
+        few = queries.select("query_id", "vector").repartition(max(context.defaultParallelism, -(-queries.count() // ANSWERED)))
+        return few.mapInArrow(run, f"query_id {id_type}, rank int, key {key_type}, distance double")
+
     def save(self, path: str) -> None:
         self.codes.sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/codes")
         self.quantizer.frame(self.codes.sparkSession).coalesce(1).write.mode("overwrite").parquet(f"{path}/codebook")

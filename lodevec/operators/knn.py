@@ -52,7 +52,7 @@ def scan(vectors: DataFrame, columns: list[str], ids: list, q: np.ndarray, k: in
         i, key, d = best.rows()
         for at in range(0, max(len(i), 1), 1 << 17):
             to = at + (1 << 17)
-            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in i[at:to]], _arrow(id_type)), pa.array(key[at:to].tolist(), _arrow(key_type)), pa.array(d[at:to], pa.float64())], ["query_id", "key", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in i[at:to]], arrow_type(id_type)), pa.array(key[at:to].tolist(), arrow_type(key_type)), pa.array(d[at:to], pa.float64())], ["query_id", "key", "distance"])
 
     found = vectors.select(*columns).mapInArrow(run, f"query_id {id_type}, key {key_type}, distance double")
     return top_k(found, ["query_id"], k).select("query_id", "rank", "key", "distance")
@@ -67,7 +67,7 @@ def together(parts: list[DataFrame], spark, id_type: str, key_type: str) -> Data
     return out
 
 
-def _arrow(kind: str) -> pa.DataType:
+def arrow_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 

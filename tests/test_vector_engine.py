@@ -94,6 +94,42 @@ def test_near_distances_find_what_a_sort_finds(seed, rows, queries, k, whole):
         assert got.get(i, []) == want[:k]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 60), st.integers(1, 9), st.sampled_from([1, 3, 50]), st.booleans(), st.sampled_from([1.0, 1e-8, 1e9, 1e20]))
+def test_offer_finds_what_a_sort_finds(seed, rows, queries, k, whole, scale):
+    """With ties (whole numbers), equal vectors, NaN and infinite ones, and norms that single precision can't hold."""
+    r = np.random.default_rng(seed)
+    x = (r.integers(0, 3, (rows, 4)).astype(float) if whole else r.normal(size=(rows, 4)) * 10) * scale
+    x[r.random(rows) < 0.1], x[r.random(rows) < 0.05] = np.nan, np.inf
+    q, best, key = x[r.integers(0, rows, queries)], arrays.Best(queries, k), r.permutation(rows)
+    for at in range(0, rows, 7):
+        arrays.offer(best, q, x[at : at + 7], key[at : at + 7])
+    got = {}
+    for i, name, d in zip(*best.rows(), strict=True):
+        got.setdefault(int(i), []).append((round(float(d), 9), int(name)))
+    for i in range(queries):
+        want = sorted((round(float(np.einsum("i,i", q[i] - v, q[i] - v)), 9), int(n)) for v, n in zip(x, key, strict=True) if np.isfinite(v).all() and np.isfinite(q[i]).all())[:k]
+        if scale > 1:  # no ninth place in such numbers
+            assert [round(d / scale**2, 6) for d, _ in got.get(i, [])] == [round(d / scale**2, 6) for d, _ in want]
+        else:
+            assert got.get(i, []) == want
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_flat_search_shuffles_queries_only(spark, clustered, monkeypatch, metric):
+    """Each query is answered in one place, as in blocks that go to the index."""
+    v = frame(spark, clustered, [f"k{i:03d}" for i in range(len(clustered))])
+    found, q = build(v, metric, 8, 3, 2), v.select(F.col("key").alias("query_id"), "vector")
+    here = found.query(q, 7)
+    there = found.query(q, 7, block=150)
+    plan = [x._jdf.queryExecution().optimizedPlan().toString() for x in (here, there)]
+    assert "Window" not in plan[0] and "Window" in plan[1]
+    a, b = ({(r["query_id"], r["rank"]): (r["key"], round(r["distance"], 9)) for r in x.collect()} for x in (here, there))
+    assert a == b and len(a) == 7 * len(clustered)
+    monkeypatch.setattr(index, "SENT", 100)
+    assert "Window" in found.query(q, 7)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def peak(f):
     """MB that numpy and Python take at most while f runs."""
     import tracemalloc

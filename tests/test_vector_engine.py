@@ -161,6 +161,35 @@ def test_nearest_ties_and_nan():
     assert i.tolist() == [1, 0] and d.tolist() == [0.0, 0.25]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 40), st.integers(1, 9), st.booleans(), st.sampled_from([1.0, 1e-3, 1e20]))
+def test_nearest_is_the_first_of_the_least(seed, rows, k, whole, scale):
+    """With ties (whole numbers), equal centroids, NaN vectors, near ties and norms that single precision can't hold."""
+    r = np.random.default_rng(seed)
+    make = lambda n: (r.integers(0, 3, (n, 3)).astype(float) if whole else r.normal(size=(n, 3)).round(3) + r.normal(size=(n, 3)) * 1e-8) * scale
+    x, c = make(rows), make(k)
+    c[r.random(k) < 0.3] = 0
+    x[r.random(rows) < 0.1] = np.nan
+    index, d = arrays.nearest(x, c)
+    for v, i, at in zip(x, index, d, strict=True):
+        if np.isnan(v).any():
+            assert i == 0 and np.isnan(at)
+            continue
+        every = ((v - c) ** 2).sum(axis=1)
+        assert np.isclose(at, every.min(), rtol=1e-9, atol=1.1e-9)
+        if scale == 1:
+            assert i == np.flatnonzero(np.round(every, 9) == np.round(every, 9).min())[0]
+
+
+def test_training_finds_each_code_once_a_round(spark, clustered, monkeypatch):
+    calls, near = [], pq.nearest
+    monkeypatch.setattr(pq, "nearest", lambda x, c: calls.append(len(x)) or near(x, c))
+    monkeypatch.setattr(kmeans, "tally", lambda v, count: count(iter(v.toArrow().to_batches())))
+    said = []
+    pq.train(frame(spark, clustered).coalesce(1), 2, 4, 3, report=said.append)
+    assert sum(calls) <= len(said) * 2 * len(clustered)
+
+
 def test_normalize_zero(spark):
     out = frame(spark, [[0, 0], [3, 4]]).select(fv.normalize(F.col("vector")).alias("u"), fv.norm(F.col("vector")).alias("n")).collect()
     assert np.isnan(out[0]["u"]).all() and out[1]["u"] == [0.6, 0.8] and out[1]["n"] == 5
